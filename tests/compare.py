@@ -1,0 +1,83 @@
+"""Compare registered queries with their oracle: ``python tests/compare.py [folder] [names...]``."""
+
+from __future__ import annotations
+
+import sys
+import time
+from pathlib import Path
+
+import duckdb
+import pandas as pd
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+
+
+def oracle_connection(folder: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    for name in TABLES.split():
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{folder}/{name}.parquet')")
+    return con
+
+
+def canonical(frame: pd.DataFrame) -> pd.DataFrame:
+    """Columns by name, every value as text, rows sorted."""
+    frame = frame.reindex(sorted(frame.columns), axis=1)
+    out = pd.DataFrame(index=frame.index)
+    for c in frame.columns:
+        s = frame[c]
+        if pd.api.types.is_float_dtype(s):
+            out[c] = s.map(lambda v: "NULL" if pd.isna(v) else f"{v + 0.0:.6f}")
+        else:
+            out[c] = s.map(lambda v: "NULL" if pd.isna(v) else (f"{v + 0.0:.6f}" if isinstance(v, float) else str(v)))
+    return out.sort_values(list(out.columns)).reset_index(drop=True)
+
+
+def numeric_as_float(a: pd.DataFrame, b: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """Integer columns holding NULLs turn into floats in one engine only: treat both alike."""
+    for c in set(a.columns) & set(b.columns):
+        both = a[c], b[c]
+        if all(pd.api.types.is_numeric_dtype(s) and not pd.api.types.is_bool_dtype(s) for s in both):
+            a[c], b[c] = (s.astype("float64") for s in both)
+    return a, b
+
+
+def differences(spark_frame: pd.DataFrame, oracle_frame: pd.DataFrame) -> str | None:
+    if sorted(spark_frame.columns) != sorted(oracle_frame.columns):
+        return f"columns {sorted(set(spark_frame.columns) ^ set(oracle_frame.columns))}"
+    if len(spark_frame) != len(oracle_frame):
+        return f"rows {len(spark_frame)} != {len(oracle_frame)}"
+    a, b = (canonical(f) for f in numeric_as_float(spark_frame, oracle_frame))
+    if a.equals(b):
+        return None
+    wrong = a.ne(b)
+    columns = [c for c in a.columns if wrong[c].any()]
+    row = wrong.any(axis=1).idxmax()
+    return f"values in {columns}: {a.loc[row, columns].to_dict()} != {b.loc[row, columns].to_dict()} ({int(wrong.any(axis=1).sum())} rows)"
+
+
+def main(argv: list[str]) -> int:
+    import __spark_entry__ as entry
+    from courtlake.session import local_session
+
+    folder = argv[0] if argv else "/root/testdata/sf0.01"
+    spark = local_session()
+    con = oracle_connection(folder)
+    queries, oracle = entry.queries(), entry.oracle_sql()
+    failed = 0
+    for name in argv[1:] or queries:
+        start = time.time()
+        try:
+            got = queries[name](spark, folder).toPandas()
+            took = time.time() - start
+            verdict = differences(got, con.execute(oracle[name]).df()) if name in oracle else None
+        except Exception as e:  # noqa: BLE001
+            verdict, took, got = f"{type(e).__name__}: {str(e)[:600]}", time.time() - start, []
+        failed += verdict is not None
+        print(f"{'ok  ' if verdict is None else 'FAIL'} {name} rows={len(got)} {took:.2f}s {verdict or ''}", flush=True)
+    return failed
+
+
+if __name__ == "__main__":
+    sys.exit(main(sys.argv[1:]))
