@@ -62,8 +62,11 @@ def report(checks: list[Check]) -> DataFrame:
         else:
             rows.append(check.failures().select(F.lit(check.name).alias("check_name"), "failures"))
     for group in by_table.values():
-        counts = group[0].table.agg(*[F.count_if(F.col(c.column).isNull()).alias(c.name) for c in group])
-        pairs = F.array(*[F.struct(F.lit(c.name).alias("check_name"), F.col(c.name).alias("failures")) for c in group])
-        rows.append(counts.select(F.inline(pairs)))
+        slots = {f"_c{n}": c for n, c in enumerate(group)}
+        counts = group[0].table.agg(*[F.count_if(F.col(c.column).isNull()).alias(slot) for slot, c in slots.items()])
+        pairs = [
+            F.struct(F.lit(c.name).alias("check_name"), F.col(slot).alias("failures")) for slot, c in slots.items()
+        ]
+        rows.append(counts.select(F.inline(F.array(*pairs))))
     combined = reduce(DataFrame.unionByName, rows)
     return combined.withColumn("passed", F.col("failures") == 0)

@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from courtlake.functions.casting import number_or_zero, whole
 from courtlake.operators import keyed, quality
-from courtlake.plans import features, impact, leaderboards, lookups, marts, staging
+from courtlake.plans import features, impact, leaderboards, lookups, marts, prediction, staging
+from courtlake.plans.scaling import ColumnScaler
 from courtlake.sources import driver_tables as tables
 from courtlake.sources.backfill import active_teams, team_lookup
 from courtlake.sources.daily import counted
+from courtlake.session import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -498,3 +500,38 @@ def dq_report(i: Inputs) -> DataFrame:
                   _drafted(i.players), "person_id"),
         ]
     )
+
+
+# --- models --------------------------------------------------------------------------------------
+
+
+@query
+def feature_scaling(i: Inputs) -> DataFrame:
+    matrix = cut_lineage(features.game_features(i.games, i.team_games))
+    return rounded(ColumnScaler(inputCols=features.GAME_FEATURES).fit(matrix).transform(matrix))
+
+
+@query
+def train_split(i: Inputs) -> DataFrame:
+    split = prediction.in_training("game_id").alias("in_training")
+    return i.games.select("game_id", "game_date", split)
+
+
+@query
+def predict_game(i: Inputs) -> DataFrame:
+    rows = i.games.select("game_id", "game_date", "home_team_id", "away_team_id", "home_score", "away_score")
+    matrix = cut_lineage(features.prior_game_features(rows, i.team_games))
+    return prediction.predict_games(prediction.fit_game_model(matrix), matrix)
+
+
+@query
+def predict_player(i: Inputs) -> DataFrame:
+    games, keys = i.player_games, i.player_keys
+    targets = {f"target_{t}": F.coalesce(F.col(t), F.lit(0)).cast("double") for t in features.PLAYER_TARGETS}
+    labelled = games.withColumns(targets)
+    past = features.player_features(labelled, ORDER, leak_free=True, probe=keys, carry=tuple(targets))
+    model = prediction.fit_player_model(cut_lineage(past), ["person_id", *ORDER])
+    current = features.player_features(games, ORDER, probe=keys)
+    projected = prediction.project_players(model, current, features.player_form(games, ORDER), ORDER)
+    stats = [F.col("projections")[t].alias(t) for t in features.PLAYER_TARGETS]
+    return projected.select("person_id", *stats, "confidence_score")
