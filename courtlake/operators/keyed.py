@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from courtlake.operators.skew import fits_broadcast, join_measured
+from courtlake.operators.skew import fits_broadcast
 from courtlake.operators.windows import top_per_key
 from courtlake.session import cut_lineage
 
@@ -23,10 +23,10 @@ def build_lookup(df: DataFrame, on: list[str], value: str, sequence: Column) ->
 def lookup_join(df: DataFrame, lookup: DataFrame, on: dict[str, str], value: str, name: str) -> DataFrame:
     """Replace key columns of ``df`` by the looked-up value; rows without a match are dropped.
 
-    ``on`` maps columns of ``df`` to those of ``lookup``.
+    ``on`` maps columns of ``df`` to those of ``lookup``, which the caller should have measured.
     """
     renamed = lookup.select(*[F.col(theirs).alias(ours) for ours, theirs in on.items()], F.col(value).alias(name))
-    return join_measured(df, renamed, list(on)).drop(*on)
+    return df.join(renamed, list(on)).drop(*on)
 
 
 def insert_if_absent(batch: DataFrame, existing: DataFrame, on: list[str], order: list[Column]) -> DataFrame:
@@ -38,7 +38,7 @@ def insert_if_absent(batch: DataFrame, existing: DataFrame, on: list[str], order
     """
     usable = batch.dropna(subset=on)
     fresh = cut_lineage(latest_per_key(usable, on, order))
-    known = existing.select(*on)
+    known = existing.select(*on).distinct()  # a repeated key must not crowd one task of the join
     wanted = fresh.select(*on)
     if fits_broadcast(wanted):
         known = known.join(F.broadcast(wanted), on, "left_semi")

@@ -1,6 +1,6 @@
 """Keeping joins and windows even when one key holds a large part of the rows.
 
-Joins: ``join_measured`` broadcasts a derived table only after counting it, and leaves a
+Joins: ``measured`` marks a derived table for broadcast only after counting it, and leaves a
 larger one to a shuffle join, where adaptive execution splits skewed partitions.
 
 Windows: adaptive execution cannot split a window partition, so ``HotKeys`` and
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
-from operator import and_
+from operator import add, and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,27 +28,22 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Count the rows, then the bytes, of a materialised table against the broadcast bound."""
-    if df.count() > max_rows:
-        return False
-    sizes = [F.octet_length(F.col(n)) if t == "string" else F.lit(16) for n, t in df.dtypes]
-    width = reduce(lambda a, b: a + b, (F.coalesce(s, F.lit(0)) for s in sizes))
-    used = df.agg(F.sum(width.cast("long"))).first()[0]
-    return (used or 0) <= max_bytes
-
-
-def join_measured(
-    big: DataFrame, derived: DataFrame, on: list[str], how: str = "inner", max_rows: int = BROADCAST_ROWS
-) -> DataFrame:
-    """Join a derived table (an aggregate, a lookup) to a large one.
-
-    ``derived`` is computed once and measured. Within the bound it is broadcast and ``big``
-    is not shuffled; beyond it both sides are shuffled on the key.
+    """Whether a materialised table is within the broadcast bound, by rows and by bytes of text."""
+    sizes = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
+    fixed = F.lit(16 * len(df.columns))
+    width = reduce(add, sizes, fixed).cast("long")
+    rows, used = df.agg(F.count(F.lit(1)), F.sum(width)).first()
+    return rows <= max_rows and (used or 0) <= max_bytes
+
+
+def measured(derived: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Compute a derived table (an aggregate, a lookup) once, and mark it for broadcast if it fits.
+
+    A join with the result leaves the other side unshuffled when the table is within the bound.
+    Beyond it both sides are shuffled on the key.
     """
     derived = cut_lineage(derived)
-    if fits_broadcast(derived, max_rows):
-        derived = F.broadcast(derived)
-    return big.join(derived, on, how)
+    return F.broadcast(derived) if fits_broadcast(derived, max_rows) else derived
 
 
 @dataclass(frozen=True)
@@ -122,9 +117,7 @@ def place_in_blocks(df: DataFrame, on: list[str], at: str, before: int, hot: Hot
         F.min("_from").over(Window.partitionBy(*on, "_place.block")).alias("_offset"),
         "_total",
     )
-    placed = cut_lineage(placed)
-    if fits_broadcast(placed):
-        placed = F.broadcast(placed)
+    placed = measured(placed)
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in on] + [F.col("_day").eqNullSafe(F.col("_on_day"))]
     joined = dated.join(placed, reduce(and_, same), "left")
     return joined.select(

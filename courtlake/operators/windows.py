@@ -14,16 +14,12 @@ from courtlake.operators.skew import HOT_ROWS, HotKeys, place_in_blocks
 
 @dataclass(frozen=True)
 class Timeline:
-    """What a window builder may use: frames, and the place of a row on its key's timeline.
-
-    ``step`` numbers the rows of a window partition and serves as the x-axis of a trend.
-    """
+    """What a window builder may use: frames, and the place of a row on its key's timeline."""
 
     spec: WindowSpec
     reach: int
     position: Column
     total: Column
-    step: Column
 
     def last(self, rows: int) -> WindowSpec:
         """The current row and the ones before it, ``rows`` in all."""
@@ -63,21 +59,14 @@ def over_timeline(
     hot = HotKeys.find(df if probe is None else probe, on, floor_rows)
     if hot is None:
         spec = Window.partitionBy(*on).orderBy(*order)
-        stepped = df.withColumn("_step", F.row_number().over(spec))
-        line = Timeline(spec, reach, F.col("_step"), F.count(F.lit(1)).over(Window.partitionBy(*on)), F.col("_step"))
-        return stepped.select(*df.columns, *build(line))
+        total = F.count(F.lit(1)).over(Window.partitionBy(*on))
+        return df.select("*", *build(Timeline(spec, reach, F.row_number().over(spec), total)))
     placed = place_in_blocks(df, on, at, reach, hot)
     spec = Window.partitionBy(*on, "_block").orderBy(*order)
-    stepped = placed.withColumn("_step", F.row_number().over(spec))
     counted = F.count(F.lit(1)).over(Window.partitionBy(*on, "_block"))
-    line = Timeline(
-        spec,
-        reach,
-        F.col("_offset") + F.col("_step"),
-        F.coalesce(F.col("_total"), counted),
-        F.col("_step"),
-    )
-    built = stepped.select(*df.columns, "_halo", *build(line))
+    position = F.col("_offset") + F.row_number().over(spec)
+    line = Timeline(spec, reach, position, F.coalesce(F.col("_total"), counted))
+    built = placed.select(*df.columns, "_halo", *build(line))
     return built.filter(~F.col("_halo")).drop("_halo")
 
 
@@ -85,9 +74,47 @@ def rolling_means(frame: WindowSpec, columns: list[str], suffix: str) -> list[Co
     return [F.avg(c).over(frame).alias(c + suffix) for c in columns]
 
 
-def rolling_slopes(line: Timeline, frame: WindowSpec, columns: list[str], suffix: str = "_trend") -> list[Column]:
-    """Least-squares slope per row step; NULL until the frame holds two rows."""
-    return [F.regr_slope(F.col(c), line.step).over(frame).alias(c + suffix) for c in columns]
+def history(line: Timeline, columns: list[str], back: int) -> list[Column]:
+    """The values of the ``back`` previous rows, as columns ``_ago_<rows>_<column>``.
+
+    ``slope_of`` turns them into a trend with plain arithmetic. That is several times cheaper than
+    a regression aggregate, which starts anew on every frame.
+    """
+    if back > line.reach:
+        raise ValueError(f"looking {back} rows back needs reach >= {back}, have {line.reach}")
+    return [F.lag(c, n).over(line.spec).alias(_ago(c, n)) for n in range(1, back + 1) for c in columns]
+
+
+def history_columns(columns: list[str], back: int) -> list[str]:
+    return [_ago(c, n) for n in range(1, back + 1) for c in columns]
+
+
+def _ago(column: str, rows: int) -> str:
+    return f"_ago_{rows}_{column}" if rows else column
+
+
+def _values(column: str, first: int, last: int) -> list[str]:
+    """SQL names of a column ``first`` to ``last`` rows ago; 0 is the row itself."""
+    return [f"`{_ago(column, n)}`" for n in range(first, last + 1)]
+
+
+def _total(values: list[str], factors: list[int] | None = None) -> str:
+    weighted = factors or [1] * len(values)
+    return " + ".join(f"{f}D * coalesce({v}, 0D)" for v, f in zip(values, weighted, strict=True))
+
+
+def _known(values: list[str], factors: list[int] | None = None) -> str:
+    weighted = factors or [1] * len(values)
+    return " + ".join(f"if({v} IS NULL, 0D, {f}D)" for v, f in zip(values, weighted, strict=True))
+
+
+def slope_of(column: str, first: int, last: int) -> Column:
+    """Least-squares slope per row over the known values; NULL below two of them."""
+    values = _values(column, first, last)
+    steps = [last - first - n for n in range(len(values))]  # the oldest value is at 0
+    count, x, y = _known(values), _known(values, steps), _total(values)
+    xx, xy = _known(values, [s * s for s in steps]), _total(values, steps)
+    return F.expr(f"(({count}) * ({xy}) - ({x}) * ({y})) / nullif(({count}) * ({xx}) - ({x}) * ({x}), 0D)")
 
 
 def rest_days(line: Timeline, at: str, first: int = 2) -> Column:

@@ -6,8 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from courtlake.functions.boxscore import projection_confidence
-from courtlake.operators.skew import HOT_ROWS, join_measured
-from courtlake.operators.windows import Timeline, over_timeline, rest_days, rolling_means, rolling_slopes, top_per_key
+from courtlake.operators.skew import HOT_ROWS, fits_broadcast, measured
+from courtlake.operators.windows import (
+    Timeline,
+    history,
+    history_columns,
+    over_timeline,
+    rest_days,
+    rolling_means,
+    slope_of,
+    top_per_key,
+)
 from courtlake.session import cut_lineage
 
 # The statistics behind each model, in the order of the feature matrix.
@@ -29,8 +38,6 @@ GAME_FEATURES = [f"{c}_{side}" for side in ("home", "away") for c in ["team_id",
 PLAYER_FEATURES = [f"{c}{s}" for c in ROLLED_STATS for s in ("_5_game_avg", "_10_game_avg", "_trend")] + [
     "opp_def_rating", "rest_days", "home_away_diff",
 ]
-WINDOW_REACH = 10
-
 _PLAYER = ["person_id"]
 
 
@@ -47,9 +54,10 @@ def team_training_frame(team_games: DataFrame, games: DataFrame, since: Column)
     return team_games.filter(F.col("game_date") >= since).join(sides, "game_id")
 
 
-def games_of(training: DataFrame) -> DataFrame:
-    """The distinct games behind team rows."""
-    return training.select("game_id", "home_team_id", "away_team_id", "home_score", "away_score").dropDuplicates()
+def games_of(team_games: DataFrame, games: DataFrame) -> DataFrame:
+    """The distinct games behind team rows. Ids are made distinct before they meet the games."""
+    sides = games.select("game_id", "home_team_id", "away_team_id", "home_score", "away_score")
+    return team_games.select("game_id").distinct().join(sides, "game_id")
 
 
 def team_averages(team_games: DataFrame) -> DataFrame:
@@ -62,10 +70,10 @@ def _side(averages: DataFrame, side: str, extra: list[str]) -> DataFrame:
 
 
 def _with_sides(games: DataFrame, averages: DataFrame, extra: list[str]) -> DataFrame:
-    averages = cut_lineage(averages)
+    averages = measured(averages)
     wide = games
     for side in ("home", "away"):
-        wide = join_measured(wide, _side(averages, side, extra), [f"{side}_team_id", *extra])
+        wide = wide.join(_side(averages, side, extra), [f"{side}_team_id", *extra])
         wide = wide.withColumn(f"team_id_{side}", F.col(f"{side}_team_id"))
     return wide
 
@@ -121,28 +129,33 @@ def player_training_frame(player_games: DataFrame, players: DataFrame, since: Co
     return player_games.filter(F.col("game_date") >= since).join(names, "person_id")
 
 
-def _timeline(df, order, reach, build, floor_rows, probe):
-    return over_timeline(df, _PLAYER, "game_date", order, reach, build, floor_rows, probe)
+def _means(line: Timeline, n: int, leak_free: bool = False) -> list[Column]:
+    frame = line.prior(n) if leak_free else line.last(n)
+    return rolling_means(frame, ROLLED_STATS, f"_{n}_game_avg")
+
+
+def _with_slopes(wide: DataFrame, first: int = 0, n: int = 5) -> DataFrame:
+    """Trends over ``n`` rows, the newest ``first`` rows ago, in place of the history columns."""
+    slopes = [slope_of(c, first, first + n - 1).alias(f"{c}_trend") for c in ROLLED_STATS]
+    return wide.select("*", *slopes).drop(*history_columns(ROLLED_STATS, first + n - 1))
 
 
 def player_rolling(
     player_games: DataFrame, order: list[str], floor_rows: int = HOT_ROWS, probe: DataFrame | None = None
 ) -> DataFrame:
     """Means over the last 5 and 10 games of ten statistics."""
-
-    def build(line: Timeline) -> list[Column]:
-        return [c for n in (5, 10) for c in rolling_means(line.last(n), ROLLED_STATS, f"_{n}_game_avg")]
-
-    rows = player_games.select("person_id", *order, *[c for c in ROLLED_STATS])
-    return _timeline(rows, order, 9, build, floor_rows, probe)
+    rows = player_games.select("person_id", *order, *ROLLED_STATS)
+    build = lambda line: [*_means(line, 5), *_means(line, 10)]
+    return over_timeline(rows, _PLAYER, "game_date", order, 9, build, floor_rows, probe)
 
 
 def player_trend(
     player_games: DataFrame, order: list[str], floor_rows: int = HOT_ROWS, probe: DataFrame | None = None
 ) -> DataFrame:
     """Slope over the last 5 games of ten statistics."""
-    rows = player_games.select("person_id", *order, *[c for c in ROLLED_STATS])
-    return _timeline(rows, order, 4, lambda line: rolling_slopes(line, line.last(5), ROLLED_STATS), floor_rows, probe)
+    rows = player_games.select("person_id", *order, *ROLLED_STATS)
+    build = lambda line: history(line, ROLLED_STATS, 4)
+    return _with_slopes(over_timeline(rows, _PLAYER, "game_date", order, 4, build, floor_rows, probe))
 
 
 def player_rest_days(
@@ -150,7 +163,7 @@ def player_rest_days(
 ) -> DataFrame:
     rows = player_games.select("person_id", *order)
     build = lambda line: [rest_days(line, "game_date").alias("rest_days")]
-    return _timeline(rows, order, 1, build, floor_rows, probe)
+    return over_timeline(rows, _PLAYER, "game_date", order, 1, build, floor_rows, probe)
 
 
 def _scoring_context(player_games: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -172,7 +185,10 @@ def _scoring_context(player_games: DataFrame) -> tuple[DataFrame, DataFrame]:
     parts = cut_lineage(parts)
     opponents = parts.groupBy("opponent_team_id").agg(mean("all").alias("opp_def_rating"))
     players = parts.groupBy("person_id").agg((mean("home") - mean("away")).alias("home_away_diff"))
-    return opponents, players
+    # Neither aggregate can have more rows than the parts.
+    if fits_broadcast(parts):
+        return F.broadcast(opponents), F.broadcast(players)
+    return measured(opponents), measured(players)
 
 
 def player_features(
@@ -189,18 +205,18 @@ def player_features(
     earlier. ``carry`` names further columns to keep.
     """
 
+    first = 1 if leak_free else 0
+
     def build(line: Timeline) -> list[Column]:
-        five, ten = (line.prior(n) if leak_free else line.last(n) for n in (5, 10))
-        rolled = rolling_means(five, ROLLED_STATS, "_5_game_avg") + rolling_means(ten, ROLLED_STATS, "_10_game_avg")
-        trends = rolling_slopes(line, five, ROLLED_STATS)
-        return [*rolled, *trends, rest_days(line, "game_date").alias("rest_days")]
+        means = [*_means(line, 5, leak_free), *_means(line, 10, leak_free)]
+        return [*means, *history(line, ROLLED_STATS, 4 + first), rest_days(line, "game_date").alias("rest_days")]
 
     needed = dict.fromkeys(["person_id", *order, "opponent_team_id", *ROLLED_STATS, *carry])
     rows = player_games.select(*needed)
-    rolled = _timeline(rows, order, WINDOW_REACH, build, floor_rows, probe)
+    wide = over_timeline(rows, _PLAYER, "game_date", order, 9 + first, build, floor_rows, probe)
+    rolled = _with_slopes(wide, first)
     opponents, players = _scoring_context(player_games)
-    wide = join_measured(rolled, opponents, ["opponent_team_id"], "left")
-    wide = join_measured(wide, players, _PLAYER, "left")
+    wide = rolled.join(opponents, "opponent_team_id", "left").join(players, _PLAYER, "left")
     filled = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in PLAYER_FEATURES]
     return wide.select("person_id", *order, *[c for c in carry if c not in order], *filled)
 

@@ -11,6 +11,7 @@ from courtlake.operators.grouped import zscores
 from courtlake.session import cut_lineage
 
 METRICS = list(RATING_WEIGHTS)
+CALENDAR_YEARS = 10_000  # a season is a calendar year, so there cannot be more of them
 
 
 def season_efficiency(stg_player_games: DataFrame) -> DataFrame:
@@ -34,7 +35,8 @@ def season_scores(stg_player_games: DataFrame) -> DataFrame:
     The per-season table is small beside the box scores and is needed twice, so it is
     written once: the box scores are read a single time.
     """
-    return zscores(cut_lineage(season_efficiency(stg_player_games)), ["season_year"], METRICS)
+    seasons = cut_lineage(season_efficiency(stg_player_games))
+    return zscores(seasons, ["season_year"], METRICS, most_groups=CALENDAR_YEARS)
 
 
 def player_impact_rating(stg_player_games: DataFrame) -> DataFrame:

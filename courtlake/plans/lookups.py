@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from courtlake.functions.calendar import on_day
-from courtlake.operators.skew import join_measured
+from courtlake.operators.skew import measured
 from courtlake.session import cut_lineage
 
 _PLAYER_CARD = (
@@ -75,7 +75,7 @@ def team_roster(stg_player_games: DataFrame, stg_players: DataFrame) -> DataFram
     """
     seen = cut_lineage(stg_player_games.groupBy("team_id", "person_id").agg(F.max("season_year").alias("season_year")))
     latest = seen.groupBy("team_id").agg(F.max("season_year").alias("season_year"))
-    current = join_measured(seen, latest, ["team_id", "season_year"], "left_semi")
+    current = seen.join(measured(latest), ["team_id", "season_year"], "left_semi")
     return current.join(stg_players.select(*_PLAYER_CARD), "person_id")
 
 

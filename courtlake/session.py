@@ -19,6 +19,21 @@ def local_session(app: str = "courtlake", cores: int | str = "*", partitions: in
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    return tune(spark)
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Runtime settings the plans count on; cluster sizes are left to the caller.
+
+    Forcing the skew rule lets a join on a crowded key be split even where the step after it groups
+    by the same key, at the price of one more shuffle in that case only. The JVM does not compile
+    methods above 8000 bytes of code: where a wide projection would generate one, splitting it
+    into smaller methods outside whole-stage generation is several times faster.
+    """
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from courtlake import schemas
 from courtlake.functions import casting as cast
 from courtlake.operators.keyed import build_lookup, latest_per_key, lookup_join
+from courtlake.operators.skew import measured
 from courtlake.sources.files import read_text_csv
 
 Typing = Callable[[Column], Column]
@@ -154,7 +155,7 @@ def read_backfill(spark: SparkSession, folder: str, current_year: int, league: s
     """The five source tables from a folder of historical files."""
     raw_histories = read_text_csv(spark, f"{folder}/{TEAM_HISTORIES.file}").withColumn("_line", _file_order())
     histories = TEAM_HISTORIES.typed(raw_histories, keep=("_line",))
-    lookup = team_lookup(histories, F.col("_line"))
+    lookup = measured(team_lookup(histories, F.col("_line")))
     player_rows = resolve_teams(PLAYER_STATISTICS.read(spark, folder), lookup)
     team_rows = TEAM_STATISTICS.read(spark, folder)
     return {

@@ -16,8 +16,22 @@ TIE_BREAKERS = ["k_line", "k_part", "k_price", "k_qty", "k_disc", "k_tax"]
 PLAYER_GAME_ORDER = ["game_date", "game_id", *TIE_BREAKERS]
 
 
+SCHEMAS = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "orders": """o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE,
+        o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING""",
+    "lineitem": """l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE,
+        l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_linestatus STRING,
+        l_shipdate TIMESTAMP_NTZ""",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def _int(c: Column) -> Column:
@@ -91,8 +105,9 @@ def player_games(spark: SparkSession, folder: str) -> DataFrame:
         "o_orderkey", F.col("c_nationkey").cast("bigint").alias("opponent_team_id")
     )
     sides = supplier.select("s_suppkey", F.col("s_nationkey").cast("bigint").alias("team_id"))
-    joined = line.join(sides, F.col("l_suppkey") == F.col("s_suppkey")).join(
-        hosts, F.col("l_orderkey") == F.col("o_orderkey")
+    # The player join comes last: where it shuffles, what follows finds the rows already by player.
+    joined = line.join(hosts, F.col("l_orderkey") == F.col("o_orderkey")).join(
+        sides, F.col("l_suppkey") == F.col("s_suppkey")
     )
     order, part = F.col("l_orderkey"), F.col("l_partkey")
     defensive, offensive = _int(F.round(F.col("l_tax") * 100)), _int(part % 6)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from courtlake.operators import skew
 from courtlake.operators.grouped import zscores
-from courtlake.operators.windows import over_timeline, rest_days, rolling_means, rolling_slopes, top_per_key
+from courtlake.operators.windows import history, history_columns, over_timeline, rest_days, rolling_means, slope_of, top_per_key
 
 SCHEMA = "k long, at timestamp_ntz, seq long, v double, w double"
 
@@ -26,10 +26,10 @@ def series(values, k=1):
 
 def build_all(line):
     return [
+        *history(line, ["v"], 5),
         *rolling_means(line.last(5), ["v"], "_mean5"),
         *rolling_means(line.last(10), ["v", "w"], "_mean10"),
         *rolling_means(line.prior(3), ["v"], "_prior3"),
-        *rolling_slopes(line, line.last(5), ["v"]),
         rest_days(line, "at").alias("rest"),
         line.position.alias("position"),
         line.recency.alias("recency"),
@@ -37,7 +37,9 @@ def build_all(line):
 
 
 def windowed(df, floor_rows):
-    return over_timeline(df, ["k"], "at", ["at", "seq"], 10, build_all, floor_rows)
+    built = over_timeline(df, ["k"], "at", ["at", "seq"], 10, build_all, floor_rows)
+    trends = {"v_trend": slope_of("v", 0, 4), "v_prior_trend": slope_of("v", 1, 5)}
+    return built.withColumns(trends).drop(*history_columns(["v"], 5))
 
 
 def test_rolling_goldens(spark):
@@ -48,6 +50,15 @@ def test_rolling_goldens(spark):
     assert [r["recency"] for r in rows] == [6, 5, 4, 3, 2, 1]
 
 
+def test_unknown_values_are_skipped(spark):
+    rows = windowed(timeline(spark, series([3, 5, 4, 9])).withColumn("v", F.when(F.col("seq") != 1, F.col("v"))), 10**6)
+    got = rows.orderBy("seq").collect()
+    assert [r["v_mean5"] for r in got] == pytest.approx([3, 3, 3.5, 16 / 3])
+    assert got[1]["v_trend"] is None  # a single known value
+    assert got[2]["v_trend"] == pytest.approx(0.5)  # values 3 and 4, two rows apart
+    assert got[3]["v_trend"] == pytest.approx(np.polyfit([0, 2, 3], [3, 4, 9], 1)[0])
+
+
 def test_rest_days_golden(spark):
     rows = [(1, dt.datetime(2024, 1, 1, 23), 0, 0.0, 0.0), (1, dt.datetime(2024, 1, 3, 1), 1, 0.0, 0.0)]
     assert [r["rest"] for r in windowed(timeline(spark, rows), 10**6).orderBy("seq").collect()] == [2, 1]
@@ -79,6 +90,7 @@ def brute_force(rows):
         g["w_mean10"] = g["w"].rolling(10, min_periods=1).mean()
         g["v_prior3"] = g["v"].shift(1).rolling(3, min_periods=1).mean()
         g["v_trend"] = g["v"].rolling(5, min_periods=2).apply(lambda x: np.polyfit(range(len(x)), x, 1)[0])
+        g["v_prior_trend"] = g["v_trend"].shift(1)
         g["rest"] = g["at"].diff().dt.days.fillna(2).astype("int64")
         g["position"] = range(1, len(g) + 1)
         g["recency"] = range(len(g), 0, -1)
@@ -124,13 +136,15 @@ def test_hot_keys_are_at_most_one_per_partition(spark):
 def test_frame_beyond_reach_is_refused(spark):
     with pytest.raises(ValueError, match="reach"):
         over_timeline(timeline(spark, series([1])), ["k"], "at", ["at"], 3, lambda line: [F.avg("v").over(line.last(5))])
+    with pytest.raises(ValueError, match="reach"):
+        over_timeline(timeline(spark, series([1])), ["k"], "at", ["at"], 3, lambda line: history(line, ["v"], 4))
 
 
-def test_join_measured_is_the_same_both_ways(spark):
+def test_measured_join_is_the_same_both_ways(spark):
     big = spark.range(1000).select((F.col("id") % 7).alias("k"), "id")
     small = spark.range(5).select(F.col("id").alias("k"), (F.col("id") * 10).alias("x"))
-    broadcast = skew.join_measured(big, small, ["k"])
-    shuffled = skew.join_measured(big, small, ["k"], max_rows=1)
+    broadcast = big.join(skew.measured(small), "k")
+    shuffled = big.join(skew.measured(small, max_rows=1), "k")
     assert "BroadcastHashJoin" in plan(broadcast)
     assert sorted(map(tuple, broadcast.collect())) == sorted(map(tuple, shuffled.collect()))
 
