@@ -36,9 +36,14 @@ def since(ts: Column, day: dt.date) -> Column:
     return ts >= _midnight(day)
 
 
+def instant(ts: dt.datetime) -> Column:
+    """A zoneless timestamp literal. Passing it as text keeps the machine's zone out of it."""
+    return F.lit(ts.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def within_last_days(ts: Column, as_of: dt.date, days: int) -> Column:
     return since(ts, as_of - dt.timedelta(days=days))
 
 
 def _midnight(day: dt.date) -> Column:
-    return F.lit(day.isoformat()).cast("timestamp_ntz")
+    return instant(dt.datetime.combine(day, dt.time()))

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from courtlake.functions.calendar import instant
 from courtlake.functions.casting import number_or_zero, whole
 from courtlake.operators import keyed, quality
 from courtlake.operators.skew import measured
@@ -26,7 +27,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 ORDER = tables.PLAYER_GAME_ORDER
 AS_OF = dt.date(2001, 6, 1)
 SEASON = 1998
-LOADED_UNTIL = "2000-01-01"
+TRAIN_SINCE = dt.date(1998, 1, 1)
+LOADED_UNTIL = dt.datetime(2000, 1, 1)
 
 _CARD = ["height", "body_weight", "country", "draft_year", "draft_round", "draft_number"]
 _QUERIES: dict[str, Query] = {}
@@ -269,17 +271,15 @@ def player_form(i: Inputs) -> DataFrame:
 
 @query
 def train_team_frame(i: Inputs) -> DataFrame:
-    since = F.lit("1998-01-01").cast("timestamp_ntz")
     return chosen(
-        features.team_training_frame(i.team_games, i.games, since), "game_id", "team_id", "game_date", "team_score",
+        features.team_training_frame(i.team_games, i.games, TRAIN_SINCE), "game_id", "team_id", "game_date", "team_score",
         "opponent_score", "win", "field_goals_percentage", "home_team_id", "away_team_id", "home_score", "away_score",
     )
 
 
 @query
 def train_player_frame(i: Inputs) -> DataFrame:
-    since = F.lit("1998-01-01").cast("timestamp_ntz")
-    return features.player_training_frame(i.player_games, i.players, since).select(
+    return features.player_training_frame(i.player_games, i.players, TRAIN_SINCE).select(
         "person_id", *ORDER, "points", "num_minutes", "first_name", "last_name"
     )
 
@@ -430,7 +430,7 @@ def _redelivered(df: DataFrame) -> DataFrame:
 
 
 def _absent(df: DataFrame, on: list[str], order: list[str]) -> DataFrame:
-    loaded = df.filter(F.col("game_date") < F.lit(LOADED_UNTIL).cast("timestamp_ntz"))
+    loaded = df.filter(F.col("game_date") < instant(LOADED_UNTIL))
     return keyed.insert_if_absent(_redelivered(df), loaded, on, [F.col(c) for c in order])
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from courtlake.functions.boxscore import projection_confidence
+from courtlake.functions.calendar import since as on_or_after
 from courtlake.operators.skew import HOT_ROWS, fits_broadcast, measured
 from courtlake.operators.windows import (
     Timeline,
@@ -48,10 +51,10 @@ def _as_number(name: str) -> Column:
 # --- games ---------------------------------------------------------------------------------------
 
 
-def team_training_frame(team_games: DataFrame, games: DataFrame, since: Column) -> DataFrame:
+def team_training_frame(team_games: DataFrame, games: DataFrame, since: dt.date) -> DataFrame:
     """Team box scores from a date on, with the sides and score of their game."""
     sides = games.select("game_id", "home_team_id", "away_team_id", "home_score", "away_score")
-    return team_games.filter(F.col("game_date") >= since).join(sides, "game_id")
+    return team_games.filter(on_or_after(F.col("game_date"), since)).join(sides, "game_id")
 
 
 def games_of(team_games: DataFrame, games: DataFrame) -> DataFrame:
@@ -123,10 +126,10 @@ def game_labels(games: DataFrame) -> DataFrame:
 # --- players -------------------------------------------------------------------------------------
 
 
-def player_training_frame(player_games: DataFrame, players: DataFrame, since: Column) -> DataFrame:
+def player_training_frame(player_games: DataFrame, players: DataFrame, since: dt.date) -> DataFrame:
     """Player box scores from a date on, with the player's names."""
     names = players.select("person_id", "first_name", "last_name")
-    return player_games.filter(F.col("game_date") >= since).join(names, "person_id")
+    return player_games.filter(on_or_after(F.col("game_date"), since)).join(names, "person_id")
 
 
 def _means(line: Timeline, n: int, leak_free: bool = False) -> list[Column]:

@@ -10,14 +10,14 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtlake.functions.calendar import within_last_days
+from courtlake.functions.calendar import instant, within_last_days
 from courtlake.functions.numbers import ratio_of_sums
 from courtlake.operators.skew import HOT_ROWS
 from courtlake.operators.windows import over_timeline
 
 
 def stamped(mart: DataFrame, load_ts: dt.datetime) -> DataFrame:
-    return mart.withColumn("calculated_at", F.lit(load_ts).cast("timestamp_ntz"))
+    return mart.withColumn("calculated_at", instant(load_ts))
 
 
 def player_season_stats(stg_player_games: DataFrame, stg_players: DataFrame, stg_teams: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from courtlake import schemas
+from courtlake.functions import calendar
 from courtlake.operators import quality
 from courtlake.plans import features, impact, marts, prediction, staging
 from courtlake.session import cut_lineage
@@ -82,14 +83,13 @@ def data_tests(games: DataFrame, rating: DataFrame, players: DataFrame) -> DataF
 
 def train(tables: Tables, since: dt.date, model_root: str) -> None:
     """Fit and save both models on box scores from ``since`` on."""
-    start = F.lit(since.isoformat()).cast("timestamp_ntz")
-    games = tables.read("public", "games").filter(F.col("game_date") >= start)
-    team_rows = tables.read("public", "team_statistics").filter(F.col("game_date") >= start)
+    games = tables.read("public", "games").filter(calendar.since(F.col("game_date"), since))
+    team_rows = tables.read("public", "team_statistics").filter(calendar.since(F.col("game_date"), since))
     matrix = cut_lineage(features.prior_game_features(games, team_rows))
     prediction.save(prediction.fit_game_model(matrix), f"{model_root}/game")
 
     players = tables.read("public", "players")
-    rows = features.player_training_frame(tables.read("public", "player_statistics"), players, start)
+    rows = features.player_training_frame(tables.read("public", "player_statistics"), players, since)
     targets = {f"target_{t}": F.coalesce(F.col(t), F.lit(0)).cast("double") for t in features.PLAYER_TARGETS}
     past = features.player_features(rows.withColumns(targets), GAME_ORDER, leak_free=True, carry=tuple(targets))
     prediction.save(prediction.fit_player_model(cut_lineage(past), ["person_id", *GAME_ORDER]), f"{model_root}/player")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from courtlake import schemas
+from courtlake.functions.calendar import instant
 from courtlake.functions.casting import identifier, timestamp
 
 GAME_TYPE = "Regular Season"  # fixed value: the type given to every daily game
@@ -59,9 +60,9 @@ def _placed(rows: DataFrame, games: DataFrame, load_ts: dt.datetime) -> DataFram
     )
     return rows.join(sides, "game_id", "left").withColumns(
         {
-            "game_date": F.coalesce("_played", F.lit(load_ts).cast("timestamp_ntz")),
+            "game_date": F.coalesce("_played", instant(load_ts)),
             "opponent_team_id": other,
-            "created_at": F.lit(load_ts).cast("timestamp_ntz"),
+            "created_at": instant(load_ts),
         }
     )
 
