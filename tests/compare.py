@@ -48,6 +48,8 @@ def differences(spark_frame: pd.DataFrame, oracle_frame: pd.DataFrame) -> str |
         return f"columns {sorted(set(spark_frame.columns) ^ set(oracle_frame.columns))}"
     if len(spark_frame) != len(oracle_frame):
         return f"rows {len(spark_frame)} != {len(oracle_frame)}"
+    if not len(spark_frame):
+        return None
     a, b = (canonical(f) for f in numeric_as_float(spark_frame, oracle_frame))
     if a.equals(b):
         return None
