@@ -81,11 +81,14 @@ def _with_sides(games: DataFrame, averages: DataFrame, extra: list[str]) -> Data
     return wide
 
 
-def game_features(games: DataFrame, team_games: DataFrame) -> DataFrame:
-    """24 features per game: team id and 11 averages over all games, for each side."""
+def game_features(games: DataFrame, team_games: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """24 features per game: team id and 11 averages over all games, for each side.
+
+    For games still to come, all averages are of the past. ``carry`` names columns to keep.
+    """
     wide = _with_sides(games, team_averages(team_games), [])
     filled = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in GAME_FEATURES]
-    return wide.select("game_id", *filled)
+    return wide.select("game_id", *carry, *filled)
 
 
 def prior_team_averages(team_games: DataFrame) -> DataFrame:
@@ -194,6 +197,11 @@ def _scoring_context(player_games: DataFrame) -> tuple[DataFrame, DataFrame]:
     return measured(opponents), measured(players)
 
 
+def opponent_strength(player_games: DataFrame) -> DataFrame:
+    """Mean points scored against each team."""
+    return player_games.groupBy("opponent_team_id").agg(F.avg("points").alias("opp_def_rating"))
+
+
 def player_features(
     player_games: DataFrame,
     order: list[str],

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from courtlake.functions.boxscore import prediction_confidence
 from courtlake.operators.windows import top_per_key
-from courtlake.plans.features import GAME_FEATURES, PLAYER_FEATURES, PLAYER_TARGETS
+from courtlake.plans.features import GAME_FEATURES, PLAYER_FEATURES, PLAYER_TARGETS, game_features
 from courtlake.plans.scaling import ColumnScaler
 
 SEED = 42
@@ -68,6 +68,11 @@ def predict_games(model: PipelineModel, features: DataFrame) -> DataFrame:
     )
 
 
+def predict_matchups(model: PipelineModel, matchups: DataFrame, team_games: DataFrame) -> DataFrame:
+    """Predictions for games to come, given ``game_id`` and both team ids."""
+    return predict_games(model, game_features(matchups, team_games, carry=("home_team_id", "away_team_id")))
+
+
 def linear(target: str, output: str) -> Estimator:
     """One pass per target: the normal equations need only a small matrix per partition."""
     return LinearRegression(labelCol=target, featuresCol="features", predictionCol=output, solver="normal", regParam=0.01)
@@ -90,14 +95,19 @@ def fit_player_model(
     return Pipeline(stages=[*_inputs(PLAYER_FEATURES), *outputs]).fit(training)
 
 
-def project_players(model: PipelineModel, features: DataFrame, form: DataFrame, order: list[str]) -> DataFrame:
+def project_players(
+    model: PipelineModel, features: DataFrame, form: DataFrame, order: list[str], opponents: DataFrame | None = None
+) -> DataFrame:
     """Next-game projection per player, from features up to and including the latest game.
 
     ``form`` supplies the confidence and leaves out players with too few games. Negative
-    predictions become 0.
+    predictions become 0. ``opponents`` names the next opponent by ``person_id`` and
+    ``opp_def_rating``, one row per player; without it the latest opponent is assumed.
     """
     newest = [F.col(c).desc() for c in order]
     latest = top_per_key(features, ["person_id"], newest, 1)
+    if opponents is not None:
+        latest = latest.drop("opp_def_rating").join(opponents.select("person_id", "opp_def_rating"), "person_id")
     predicted = model.transform(latest)
     projections = F.map_from_arrays(
         F.array(*[F.lit(t) for t in PLAYER_TARGETS]),

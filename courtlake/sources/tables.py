@@ -32,17 +32,18 @@ class Tables:
         return self.spark.read.parquet(self.path(layer, name))
 
     def append(self, df: DataFrame, layer: str, name: str) -> None:
-        df.write.mode("append").parquet(self.path(layer, name))
+        """Add rows, in as few files as their size asks for."""
+        df.hint("rebalance").write.mode("append").parquet(self.path(layer, name))
 
     def replace(self, df: DataFrame, layer: str, name: str, partition_by: list[str] | None = None) -> None:
         """Write beside the table, then swap: readers see the old or the new rows, and ``df`` may
         itself read the table."""
         final = self.path(layer, name)
         fresh = f"{self.root}/{layer}/_{name}_{uuid.uuid4().hex}"
-        writer = df.write.mode("errorifexists")
         if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(fresh)
+            # Bring the rows of a partition together, split where it is large: not one file per task and value.
+            df = df.hint("rebalance", *partition_by)
+        df.write.mode("errorifexists").partitionBy(*partition_by or []).parquet(fresh)
         retired = f"{fresh}_old"
         fs = self._fs()
         if fs.exists(self._path(final)) and not fs.rename(self._path(final), self._path(retired)):

@@ -40,7 +40,7 @@ def game_matrix(spark, folder):
     return cut_lineage(features.prior_game_features(games, tables.team_games(spark, folder)))
 
 
-def test_game_model(spark, game_matrix, tmp_path):
+def test_game_model(spark, folder, game_matrix, tmp_path):
     model = prediction.fit_game_model(game_matrix, max_iter=5, trees=2)
     got = prediction.predict_games(model, game_matrix)
     assert got.count() == game_matrix.count()
@@ -49,6 +49,9 @@ def test_game_model(spark, game_matrix, tmp_path):
         "or abs(home_win_probability + away_win_probability - 1) > 1e-9 or predicted_home_score is null"
     )
     assert bad.isEmpty()
+    matchups = spark.createDataFrame([(1, 3, 4), (2, 4, 3)], "game_id long, home_team_id long, away_team_id long")
+    ahead = prediction.predict_matchups(model, matchups, tables.team_games(spark, folder)).collect()
+    assert {(r["game_id"], r["home_team_id"], r["away_team_id"]) for r in ahead} == {(1, 3, 4), (2, 4, 3)}
     prediction.save(model, str(tmp_path / "game"))
     loaded = prediction.predict_games(prediction.load(str(tmp_path / "game")), game_matrix)
     assert loaded.exceptAll(got).isEmpty()
@@ -65,6 +68,11 @@ def test_player_model(spark, folder):
     for row in got:
         assert set(row["projections"]) == set(features.PLAYER_TARGETS)
         assert min(row["projections"].values()) >= 0 and 0 <= row["confidence_score"] <= 1
+    strength = features.opponent_strength(rows).filter("opponent_team_id = 3").select("opp_def_rating")
+    chosen = strength.withColumn("person_id", F.lit(1).cast("bigint"))
+    current = features.player_features(rows, ORDER)
+    against = prediction.project_players(model, current, form, ORDER, opponents=chosen).collect()
+    assert [r["person_id"] for r in against] == [1]
 
 
 def test_boosted_regressor_is_available():
