@@ -19,7 +19,7 @@ from courtlake.plans import features, impact, leaderboards, lookups, marts, pred
 from courtlake.plans.scaling import ColumnScaler
 from courtlake.session import cut_lineage, tune
 from courtlake.sources import driver_tables as tables
-from courtlake.sources.backfill import active_teams, team_lookup
+from courtlake.sources.backfill import LEAGUE, active_teams, team_lookup
 from courtlake.sources.daily import counted
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -400,7 +400,7 @@ def lookup_join(i: Inputs) -> DataFrame:
             F.col("team_name").alias(f"{side}_label"),
         )
         named = named.join(renamed, f"{side}_id").drop(f"{side}_id")
-    lookup = measured(team_lookup(i.teams.filter(F.col("league") == "NBA"), F.col("team_id")))
+    lookup = measured(team_lookup(i.teams.filter(F.col("league") == LEAGUE), F.col("team_id")))
     for side in ("team", "opponent_team"):
         keys = {f"{side}_city": "team_city", f"{side}_label": "team_name"}
         named = keyed.lookup_join(named, lookup, keys, "team_id", f"{side}_id")

@@ -76,3 +76,11 @@ def test_jdbc_options():
     assert (split["partitionColumn"], split["lowerBound"], split["upperBound"], split["numPartitions"]) == ("id", "0", "99", 8)
     written = jdbc.table_writer(Carrier(), "jdbc:x", "s.t", properties, 4).seen
     assert (written["mode"], written["numPartitions"], written["dbtable"]) == ("overwrite", 4, "s.t")
+
+
+def test_partitioned_write_makes_few_files(spark, tmp_path):
+    tables = Tables(spark, str(tmp_path))
+    rows = spark.range(0, 4000, 1, 16).selectExpr("id", "2000 + id % 4 AS season_year")
+    tables.replace(rows, "marts", "t", ["season_year"])
+    assert len(list((tmp_path / "marts" / "t").glob("season_year=*/*.parquet"))) <= 8
+    assert tables.read("marts", "t").count() == 4000
