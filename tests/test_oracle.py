@@ -3,9 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from courtlake.plans import catalog
+from oracle import statements
 from tests.compare import differences, oracle_connection
 
-ORACLE = entry.oracle_sql()
+ORACLE = statements()
 ROWS_ONLY = {"train_split", "predict_game", "predict_player"}
 
 
@@ -15,8 +17,9 @@ def con(folder):
 
 
 def test_each_query_has_a_statement():
-    assert set(entry.queries()) - set(ORACLE) == ROWS_ONLY
-    assert set(ORACLE) <= set(entry.queries())
+    assert set(catalog.registered()) - set(ORACLE) == ROWS_ONLY
+    assert set(ORACLE) <= set(catalog.registered())
+    assert set(catalog.registered()) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
