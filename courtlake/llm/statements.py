@@ -40,4 +40,26 @@ placed AS (
 SELECT doc_id, size, source_size, target, (size * least(epochs + CASE WHEN start + size / 2.0 <= rest THEN 1 ELSE 0 END, 3))::BIGINT AS taken FROM placed
 """
 
-STATEMENTS = {"op5_url_rules": URL_RULES, "op10_source_mix": SOURCE_MIX}
+BENCHMARK_CONTAMINATION = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE text IS NOT NULL),
+windows AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS size, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS win
+  FROM items, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) AS t(i) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT size FROM windows),
+places AS (
+  SELECT n, size, i, array_to_string(w[i:i + size - 1], ' ') AS win
+  FROM docs, sizes, unnest(generate_series(1, len(w) - size + 1)) AS t(i) WHERE len(w) >= size),
+found AS (SELECT n, p.size, i, item_id FROM places p JOIN windows USING (size, win)),
+covered AS (SELECT n, count(DISTINCT i + j) AS n_hit FROM (SELECT DISTINCT n, i, size FROM found), unnest(generate_series(0, size - 1)) AS t(j) GROUP BY n),
+named AS (SELECT n, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT n, item_id::VARCHAR AS item FROM found WHERE item_id IS NOT NULL) GROUP BY n)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered USING (n) LEFT JOIN named USING (n)
+"""
+
+STATEMENTS = {"op6_benchmark_contamination": BENCHMARK_CONTAMINATION, "op5_url_rules": URL_RULES, "op10_source_mix": SOURCE_MIX}
