@@ -62,4 +62,26 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM docs LEFT JOIN covered USING (n) LEFT JOIN named USING (n)
 """
 
-STATEMENTS = {"op6_benchmark_contamination": BENCHMARK_CONTAMINATION, "op5_url_rules": URL_RULES, "op10_source_mix": SOURCE_MIX}
+NEAR_DUPLICATES = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + least(4, len(w)) - 1], ' ') AS s
+  FROM docs, unnest(generate_series(1, len(w) - least(4, len(w)) + 1)) AS t(i) WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY x, y),
+links AS (
+  SELECT x, y FROM pairs JOIN sizes a ON x = a.doc_id JOIN sizes b ON y = b.doc_id WHERE 100 * common >= 80 * (a.n + b.n - common)),
+both_ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reached AS (
+  SELECT x, y FROM both_ways
+  UNION
+  SELECT r.x, b.y FROM reached r JOIN both_ways b ON r.y = b.x)
+SELECT d.doc_id, coalesce(max(n), 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(min(y), d.doc_id)) AS component_id,
+       d.doc_id = least(d.doc_id, coalesce(min(y), d.doc_id)) AS kept
+FROM docs d LEFT JOIN sizes s ON d.doc_id = s.doc_id LEFT JOIN reached r ON r.x = d.doc_id
+GROUP BY d.doc_id
+"""
+
+STATEMENTS = {"op1_near_duplicates": NEAR_DUPLICATES, "op6_benchmark_contamination": BENCHMARK_CONTAMINATION, "op5_url_rules": URL_RULES, "op10_source_mix": SOURCE_MIX}
