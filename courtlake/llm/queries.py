@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from courtlake.llm import decontamination, mixing, near_dup, statements, token_counts, token_store, url_filter
+from courtlake.llm import decontamination, html_text, mixing, near_dup, statements, token_counts, token_store, url_filter
 from courtlake.llm.common import table
 
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -17,6 +17,10 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_texts(table(spark, sf_dir, "pages"))
+
+
 def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
@@ -40,6 +44,7 @@ def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": near_duplicates,
+    "op2_page_texts": page_texts,
     "op3_token_ids": token_ids,
     "op5_url_rules": url_rules,
     "op6_benchmark_contamination": benchmark_contamination,
