@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from courtlake.session import ensure_checkpoint_dir
 
@@ -31,3 +32,16 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     path = shared_folder(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+SPARE = 4  # times the rows that a sample needs, which pass the hash threshold on average
+
+
+def below_share(digest: Column, needed: int, of: Column | int) -> Column:
+    """Whether a hex digest is so small that about ``SPARE * needed`` of ``of`` rows have such a one.
+
+    Bounded samples take their rows of least digest from these, so that what is sorted does not grow
+    with the table.
+    """
+    unit = F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(16**12)
+    return unit * (F.lit(of) if isinstance(of, int) else of) <= SPARE * needed

@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from courtlake.llm import decontamination, html_text, mixing, near_dup, statements, token_counts, token_store, url_filter
+from courtlake.llm import decontamination, html_text, language, mixing, near_dup, quality, statements, token_counts, token_store, url_filter
 from courtlake.llm.common import table
 
+QUALITY_SCORE = 0.7
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
@@ -33,10 +35,25 @@ def benchmark_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    net = quality.train(documents, labels.where(~held_out))
+    rows = quality.quality_scores(documents.withColumn("held_out", held_out), net, ["doc_id", "held_out"])
+    return rows.select("kept.*", "score", F.when(F.col("score") >= QUALITY_SCORE, 1).otherwise(0).alias("predicted"))
+
+
 def piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    field = language.train(documents.where(~held_out))
+    return language.languages(documents.withColumn("held_out", held_out), field, ["doc_id", "held_out"]).select("kept.*", "lang_pred", "score")
+
+
 def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -48,7 +65,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_ids": token_ids,
     "op5_url_rules": url_rules,
     "op6_benchmark_contamination": benchmark_contamination,
+    "op7_quality_scores": quality_scores,
     "op8_piece_counts": piece_counts,
+    "op9_languages": languages,
     "op10_source_mix": source_mix,
 }
 
