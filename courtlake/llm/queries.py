@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courtlake.llm import decontamination, html_text, language, mixing, near_dup, quality, statements, token_counts, token_store, url_filter
+from courtlake.llm import decontamination, html_text, language, mixing, near_dup, neighbours, quality, statements, token_counts, token_store, url_filter
 from courtlake.llm.common import table
 
 QUALITY_SCORE = 0.7
@@ -27,6 +27,10 @@ def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
+
+
 def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"), url_filter.rules_frame(spark, URL_RULES))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": near_duplicates,
     "op2_page_texts": page_texts,
     "op3_token_ids": token_ids,
+    "op4_nearest_vectors": nearest_vectors,
     "op5_url_rules": url_rules,
     "op6_benchmark_contamination": benchmark_contamination,
     "op7_quality_scores": quality_scores,
