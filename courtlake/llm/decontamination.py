@@ -105,7 +105,8 @@ def benchmark_hits(documents: DataFrame, benchmark: DataFrame, keep: list[str],
     bits = spark.sparkContext.broadcast(_filter(windows))
 
     whole = F.coalesce(F.col(text), F.lit(""))
-    rows = documents.select(F.struct(*keep).alias("kept"), F.sha2(whole, 256).alias("digest"), whole.alias("text"))
+    kept = F.struct(*keep) if keep else F.lit(0)
+    rows = documents.select(kept.alias("kept"), F.sha2(whole, 256).alias("digest"), whole.alias("text"))
     kept_type = rows.schema["kept"].dataType.simpleString()
     rows = stored(rows.mapInArrow(_document_hits(bits, lengths), f"kept {kept_type}, digest string, n_words bigint, hits {HIT}"), "document-hits")
 

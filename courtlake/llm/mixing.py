@@ -96,11 +96,25 @@ def mixing_plan(sized: DataFrame, weights: tuple[int, ...], cap: int) -> DataFra
     return stored(plan.select(F.col("source").alias("p_source"), "source_size", "target", "ranges", "epochs", "at_range", "cut"), "mix-plan")
 
 
+def _mixed(documents: DataFrame, keep: list[str], key: str, source: str, text: str, weights: tuple[int, ...], cap: int, seed: str) -> DataFrame:
+    """(kept, size, source_size, target, epochs_taken), one row per document."""
+    size, order = word_count(F.col(text)), _order_key(key, text, seed)
+    sized = stored(documents.select(F.col(source).alias("source"), order.alias("ord"), size.alias("size")), "mix-sizes")
+    plan = mixing_plan(sized, weights, cap)
+    rows = documents.select(F.struct(*keep).alias("kept"), F.col(source).alias("source"), order.alias("ord"), size.alias("size"))
+    at = _range_of(F.col("ord"), F.col("ranges"))
+    inside = (at < F.col("at_range")) | ((at == F.col("at_range")) & (F.col("ord") <= F.col("cut")))
+    times = F.col("epochs") + F.when(F.coalesce(inside, F.lit(False)), 1).otherwise(0)
+    return rows.join(plan, F.col("source").eqNullSafe(F.col("p_source"))).select(
+        "kept", "size", "source_size", "target", F.least(times, F.lit(cap)).cast("long").alias("epochs_taken")
+    )
+
+
 def mix(
-    documents: DataFrame, keep: list[str] | None = None, key: str = "doc_id", source: str = "source", text: str = "text",
+    documents: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text",
     weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: str = "mix",
 ) -> DataFrame:
-    """One row per row of ``documents``: the ``keep`` columns (default: ``key``), and size, source_size, target, epochs_taken, taken.
+    """One row per row of ``documents``: ``key``, size, source_size, target, epochs_taken, taken.
 
     Each source's documents stand in hash-random order, and the mix runs over them again and again until
     the source's target is used up: ``epochs_taken`` is how often a document comes (0 to ``cap``), and
@@ -110,18 +124,16 @@ def mix(
 
     Null texts have size 0. A null source is a source of its own, the last one. Rows alike in id, text
     and source are taken or left together. With no words at all, all targets are 0. Only ``key``,
-    ``source``, ``text`` and ``keep`` are read; other columns, of whatever name, do not matter.
+    ``source`` and ``text`` are read; other columns, of whatever name, do not matter.
     """
-    keep = [key] if keep is None else keep
-    size, order = word_count(F.col(text)), _order_key(key, text, seed)
-    sized = stored(documents.select(F.col(source).alias("source"), order.alias("ord"), size.alias("size")), "mix-sizes")
-    plan = mixing_plan(sized, weights, cap)
-    rows = documents.select(F.struct(*keep).alias("kept"), F.col(source).alias("source"), order.alias("ord"), size.alias("size"))
-    at = _range_of(F.col("ord"), F.col("ranges"))
-    inside = (at < F.col("at_range")) | ((at == F.col("at_range")) & (F.col("ord") <= F.col("cut")))
-    times = F.col("epochs") + F.when(F.coalesce(inside, F.lit(False)), 1).otherwise(0)
-    return (
-        rows.join(plan, F.col("source").eqNullSafe(F.col("p_source")))
-        .select("kept", "size", "source_size", "target", F.least(times, F.lit(cap)).cast("long").alias("epochs_taken"))
-        .select("kept.*", "size", "source_size", "target", "epochs_taken", (F.col("size") * F.col("epochs_taken")).alias("taken"))
-    )
+    rows = _mixed(documents, [key], key, source, text, weights, cap, seed)
+    return rows.select(F.col(f"kept.{key}").alias(key), "size", "source_size", "target", "epochs_taken", (F.col("size") * F.col("epochs_taken")).alias("taken"))
+
+
+def mixed_documents(
+    documents: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text",
+    weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: str = "mix",
+) -> DataFrame:
+    """The rows of ``documents``, all columns, each as often as the mix takes it (see ``mix``)."""
+    rows = _mixed(documents, documents.columns, key, source, text, weights, cap, seed)
+    return rows.select("kept", F.explode(F.array_repeat(F.lit(1), F.col("epochs_taken").cast("int")))).select("kept.*")

@@ -169,10 +169,10 @@ def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     return fit(blocks, sample.column("label").to_numpy().astype(np.float32))
 
 
-def _scorer(net: Network | None):
+def _scorer(net: Network | None, text: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, out = batch.column("text"), []
+            texts, out = batch.column("kept").field(text).fill_null("") if text else batch.column("text"), []
             for a, b in slices(pa.compute.binary_length(texts).to_pylist(), CHARS):
                 part = texts.slice(a, b - a).to_pylist()
                 out.append(net.scores(part) if net else np.full(len(part), 0.5))
@@ -191,4 +191,13 @@ def quality_scores(documents: DataFrame, net: Network | None, keep: list[str], t
     score is 0.5. Repeated rows have the same score.
     """
     rows = documents.select(F.struct(*keep).alias("kept"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.mapInArrow(_scorer(net), f"kept {rows.schema['kept'].dataType.simpleString()}, score double")
+    if text in keep:  # one copy of the text goes to the tasks
+        rows = rows.select("kept")
+    return rows.mapInArrow(_scorer(net, text if text in keep else None), f"kept {rows.schema['kept'].dataType.simpleString()}, score double")
+
+
+def without_rejected(documents: DataFrame, net: Network | None, least: float, text: str = "text") -> DataFrame:
+    """The rows of ``documents``, all columns, with a score of ``least`` or more; all rows without a network."""
+    if net is None:
+        return documents
+    return quality_scores(documents, net, documents.columns, text).where(F.col("score") >= least).select("kept.*")
