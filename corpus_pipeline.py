@@ -1,12 +1,61 @@
-"""The corpus pipeline: stages over ``documents``, each stored and read again before the next."""
+"""The corpus pipeline: stages over ``documents``, each stored and read again before the next.
+
+Quality classifier, near-duplicates, benchmark decontamination, mixing to target weights, token ids.
+All stages but the last return the columns of ``documents``; the last writes token shards and returns
+one row per document of them (see ``courtlake.llm.token_store``).
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from courtlake.llm import decontamination, mixing, near_dup, quality, token_store
+from courtlake.llm.common import stored, table
+
+QUALITY_SCORE = 0.7
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on a bounded sample of the labels, does not reject."""
+    net = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.without_rejected(docs, net, QUALITY_SCORE)
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    return near_dup.without_near_duplicates(docs, shingle=5, percent=80)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of ten words, or a whole shorter item, of the benchmark."""
+    return decontamination.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: sources weigh 1, 2, 3 in turn."""
+    return mixing.mixed_documents(docs)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in binary shards, read back: doc_id, start, n_tokens, ids_crc32."""
+    return token_store.token_digests(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("near-duplicates", dedup_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("mixing to target weights", mixing_stage),
+    ("token ids", token_stage),
+]
+
+#: SQL cannot express the classifier, nor the encoding: tests compare the stages with plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise RuntimeError("no stages yet")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs
