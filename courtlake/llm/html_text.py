@@ -33,6 +33,8 @@ ENDED_BY = {
     "tr": frozenset({"tr"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"}),
 }
 
+OUTER = 0.6
+
 _DECLARATION = re.compile(r"<!\[[^>]*>")
 _TOKENS = re.compile(r"[^a-z0-9]+")
 _DIGITS = re.compile(r"\d+")
@@ -49,6 +51,7 @@ class Page(HTMLParser):
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.parent, self.path, self.blocks = [-1], [""], []
+        self.article = [-1]  # the nearest article or main element around or at an element
         self.stack = [("", 0, False, False)]  # tag, element, skipped, inline
         self.open = Counter()
         self.buffer, self.linked = [], 0
@@ -98,6 +101,7 @@ class Page(HTMLParser):
         _, above, skipped, _ = self.stack[-1]
         classes = _DIGITS.sub("N", " ".join(sorted((attrs.get("class") or "").lower().split())))
         self.parent.append(above)
+        self.article.append(len(self.parent) - 1 if tag in ("article", "main") else self.article[above])
         self.path.append(self.path[above] if inline else xxhash.xxh3_128_hexdigest(f"{self.path[above]}/{tag}.{classes}"))
         self.stack.append((tag, len(self.parent) - 1, skipped or self._beside(tag, attrs), inline))
         self.open[tag] += 1
@@ -117,14 +121,21 @@ class Page(HTMLParser):
                 self.linked += len(data)
 
     def scores(self) -> dict[int, float]:
-        """Containers by the prose in them: a block counts for its container, half for the next one out."""
+        """Containers by the prose in them, where text in links counts against it.
+
+        A block counts in full for the container around it, for each one further out by ``OUTER`` of the
+        one before, and somewhat more than in full for the nearest article or main element.
+        """
         out: Counter = Counter()
         for element, text, linked in self.blocks:
-            worth = len(text) - 2 * linked
-            inner = self.parent[element] if self.parent[element] >= 0 else element
-            out[inner] += worth
-            if self.parent[inner] >= 0:
-                out[self.parent[inner]] += worth / 2
+            worth, share, article = len(text) - 2 * linked, 1.0, self.article[element]
+            if article >= 0:
+                out[article] += 1.2 * worth
+            at = self.parent[element] if self.parent[element] >= 0 else element
+            while at >= 0 and share > 0.05:
+                if at != article:
+                    out[at] += share * worth
+                at, share = self.parent[at], share * OUTER
         return out
 
     def text(self, container: Callable[[int], bool]) -> str:
