@@ -15,6 +15,9 @@ MISSING_TEXT = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
+#: Month/day/year, with or without a time of day, and dates with the month's name.
+DATE_FORMATS = ("M/d/yyyy", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "M/d/yyyy h:mm a", "MMM d, yyyy", "MMM d, yyyy H:mm")
+
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
@@ -56,7 +59,10 @@ def flag(c: Column, missing: bool | None = None) -> Column:
 
 
 def timestamp(c: Column) -> Column:
-    """ISO text (``T`` or blank between date and time) or month/day/year to a zoneless timestamp."""
+    """ISO text (``T`` or blank between date and time) or one of ``DATE_FORMATS`` to a zoneless timestamp.
+
+    NULL for other text; a load counts and sets aside the rows that need the date.
+    """
     iso = F.trim(c).try_cast("timestamp_ntz")
-    us = F.try_to_timestamp(F.trim(c), F.lit("M/d/yyyy")).cast("timestamp_ntz")
-    return F.coalesce(iso, us)
+    others = [F.try_to_timestamp(F.trim(c), F.lit(f)).cast("timestamp_ntz") for f in DATE_FORMATS]
+    return F.coalesce(iso, *others)

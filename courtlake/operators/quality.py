@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,10 +24,16 @@ def repeated_values(df: DataFrame, column: str) -> DataFrame:
 def orphaned_values(child: DataFrame, column: str, parent: DataFrame, field: str) -> DataFrame:
     """Values of ``column`` unknown to the parent, with their number of rows.
 
-    The child is reduced to one row per value before the join, so a frequent value costs nothing.
+    Both sides are reduced to one row per value before the join, so a frequent value costs nothing.
     """
     values = child.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n_records"))
-    return values.join(parent.select(F.col(field).alias(column)), column, "left_anti")
+    return values.join(parent.select(F.col(field).alias(column)).distinct(), column, "left_anti")
+
+
+def split_required(df: DataFrame, required: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows with all required values, and the others. No row is in both or in neither."""
+    complete = reduce(and_, [F.col(c).isNotNull() for c in required])
+    return df.filter(complete), df.filter(~complete)
 
 
 @dataclass(frozen=True)

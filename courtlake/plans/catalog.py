@@ -106,13 +106,8 @@ class Inputs:
 
 
 def _six_places(c: str) -> Column:
-    """Six decimal places, half away from zero, and no negative zero.
-
-    Plain arithmetic: Spark's own ``round`` on doubles goes through decimal text, which costs more
-    than most of the queries here.
-    """
-    value = F.col(c)
-    return (F.signum(value) * F.floor(F.abs(value) * 1e6 + 0.5) / 1e6 + F.lit(0.0)).alias(c)
+    """Six decimal places, half away from zero, and no negative zero; any magnitude, infinity and NaN."""
+    return (F.round(c, 6) + F.lit(0.0)).alias(c)
 
 
 def rounded(df: DataFrame, *exact: str) -> DataFrame:
@@ -518,20 +513,56 @@ def train_split(i: Inputs) -> DataFrame:
 
 
 @query
-def predict_game(i: Inputs) -> DataFrame:
+def game_by_id(i: Inputs) -> DataFrame:
+    return _flat_games(lookups.game_by_id(i.games, i.stg_teams, 321))
+
+
+@query
+def player_features_prior(i: Inputs) -> DataFrame:
+    return _rows(features.player_features(i.player_games, ORDER, leak_free=True, probe=i.player_keys))
+
+
+@query
+def latest_player_features(i: Inputs) -> DataFrame:
+    return _rows(features.latest_player_features(i.player_games, ORDER))
+
+
+def _game_matrix(i: Inputs) -> DataFrame:
     rows = i.games.select("game_id", "game_date", "home_team_id", "away_team_id", "home_score", "away_score")
-    matrix = cut_lineage(features.prior_game_features(rows, i.team_games))
+    return cut_lineage(features.prior_game_features(rows, i.team_games))
+
+
+def _player_matrix(i: Inputs) -> DataFrame:
+    targets = {f"target_{t}": F.coalesce(F.col(t), F.lit(0)).cast("double") for t in features.PLAYER_TARGETS}
+    labelled = i.player_games.withColumns(targets)
+    return cut_lineage(features.player_features(labelled, ORDER, leak_free=True, probe=i.player_keys, carry=tuple(targets)))
+
+
+@query
+def model_metrics(i: Inputs) -> DataFrame:
+    games, players, key = _game_matrix(i), _player_matrix(i), ["person_id", *ORDER]
+    return prediction.game_model_metrics(prediction.fit_game_model(games), games).unionByName(
+        prediction.player_model_metrics(prediction.fit_player_model(players, key), players, key)
+    )
+
+
+@query
+def predict_matchups(i: Inputs) -> DataFrame:
+    pairs = i.games.select("game_id", F.col("away_team_id").alias("home_team_id"), F.col("home_team_id").alias("away_team_id"))
+    return prediction.predict_matchups(prediction.fit_game_model(_game_matrix(i)), pairs, i.team_games)
+
+
+@query
+def predict_game(i: Inputs) -> DataFrame:
+    matrix = _game_matrix(i)
     return prediction.predict_games(prediction.fit_game_model(matrix), matrix)
 
 
 @query
 def predict_player(i: Inputs) -> DataFrame:
-    games, keys = i.player_games, i.player_keys
-    targets = {f"target_{t}": F.coalesce(F.col(t), F.lit(0)).cast("double") for t in features.PLAYER_TARGETS}
-    labelled = games.withColumns(targets)
-    past = features.player_features(labelled, ORDER, leak_free=True, probe=keys, carry=tuple(targets))
-    model = prediction.fit_player_model(cut_lineage(past), ["person_id", *ORDER])
-    current = features.player_features(games, ORDER, probe=keys)
+    games = i.player_games
+    model = prediction.fit_player_model(_player_matrix(i), ["person_id", *ORDER])
+    current = features.latest_player_features(games, ORDER)
     projected = prediction.project_players(model, current, features.player_form(games, ORDER), ORDER)
     stats = [F.col("projections")[t].alias(t) for t in features.PLAYER_TARGETS]
     return projected.select("person_id", *stats, "confidence_score")

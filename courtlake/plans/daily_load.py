@@ -9,22 +9,19 @@ from pyspark.sql import functions as F
 
 from courtlake import schemas
 from courtlake.operators.keyed import insert_if_absent
+from courtlake.operators.quality import split_required
 from courtlake.sources import daily
 from courtlake.sources.tables import Tables
 
-_KEYS = {
-    "games": ["game_id"],
-    "player_statistics": ["game_id", "person_id"],
-    "team_statistics": ["game_id", "team_id"],
-}
-
 
 def load_documents(documents: DataFrame, tables: Tables, load_ts: dt.datetime) -> None:
     """Append new games, then new player and team rows.
 
     Rows are identified by key, so loading the same documents again, or after a failure half
     way, adds only what is missing. Where the documents repeat a key, the copy that sorts highest
-    stays (one with a score before one without), whatever the order of the files.
+    stays (one with a score before one without), whatever the order of the files. Rows without a
+    required value are appended to the table's counterpart in layer ``rejects``; a repeated load
+    lists them again.
     """
     documents = documents.persist()  # parsed once for three tables; lost parts are parsed again
     try:
@@ -37,7 +34,10 @@ def load_documents(documents: DataFrame, tables: Tables, load_ts: dt.datetime) -
 
 
 def _append_absent(batch: DataFrame, name: str, tables: Tables) -> None:
-    usable = batch.dropna(subset=schemas.REQUIRED[name])
+    usable, rejected = split_required(batch, schemas.REQUIRED[name])
+    if not rejected.isEmpty():
+        tables.append(rejected, "rejects", name)
+    key = schemas.KEYS[name]
     existing = tables.read("public", name, schemas.SOURCE_TABLES[name])
-    order = [F.col(c).desc() for c in batch.columns if c not in _KEYS[name]]
-    tables.append(insert_if_absent(usable, existing, _KEYS[name], order), "public", name)
+    order = [F.col(c).desc() for c in batch.columns if c not in key]
+    tables.append(insert_if_absent(usable, existing, key, order), "public", name)

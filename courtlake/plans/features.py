@@ -197,6 +197,37 @@ def _scoring_context(player_games: DataFrame) -> tuple[DataFrame, DataFrame]:
     return measured(opponents), measured(players)
 
 
+def _earlier_days(player_games: DataFrame, key: str, sums: dict[str, Column]) -> DataFrame:
+    """Per key and day: each sum over the rows of earlier days, and the number of known values.
+
+    Daily sums come first, so the running window holds one row per key and calendar day.
+    """
+    daily = player_games.groupBy(F.col(key).alias(f"_{key}"), F.to_date("game_date").alias("_day")).agg(
+        *[F.sum(c).alias(f"_sum_{name}") for name, c in sums.items()],
+        *[F.count(c).alias(f"_n_{name}") for name, c in sums.items()],
+    )
+    before = Window.partitionBy(f"_{key}").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    means = [
+        (F.sum(f"_sum_{name}").over(before) / F.nullif(F.sum(f"_n_{name}").over(before), F.lit(0))).alias(name)
+        for name in sums
+    ]
+    return daily.select(f"_{key}", "_day", *means)
+
+
+def _with_prior_scoring(rows: DataFrame, player_games: DataFrame) -> DataFrame:
+    """Add opponent strength and home edge as they stood before the day of each row."""
+    points = F.col("points")
+    opponents = _earlier_days(player_games, "opponent_team_id", {"opp_def_rating": points})
+    players = _earlier_days(
+        player_games, "person_id", {"_home": F.when(F.col("home"), points), "_away": F.when(~F.col("home"), points)}
+    )
+    day = F.to_date("game_date")
+    for key, table in (("opponent_team_id", opponents), ("person_id", players)):
+        same = F.col(key).eqNullSafe(F.col(f"_{key}")) & day.eqNullSafe(F.col("_day"))
+        rows = rows.join(measured(table), same, "left").drop(f"_{key}", "_day")
+    return rows.withColumn("home_away_diff", F.col("_home") - F.col("_away"))
+
+
 def opponent_strength(player_games: DataFrame) -> DataFrame:
     """Mean points scored against each team."""
     return player_games.groupBy("opponent_team_id").agg(F.avg("points").alias("opp_def_rating"))
@@ -212,8 +243,9 @@ def player_features(
 ) -> DataFrame:
     """33 features per player game: rolling means, trends, opponent strength, rest, home edge.
 
-    By default the frames include the row's own game. ``leak_free=True`` ends them one game
-    earlier. ``carry`` names further columns to keep.
+    By default the frames include the row's own game, and opponent strength and home edge come from
+    all games. ``leak_free=True`` ends the frames one game earlier and takes both from the games of
+    earlier days. ``carry`` names further columns to keep.
     """
 
     first = 1 if leak_free else 0
@@ -226,12 +258,37 @@ def player_features(
     rows = player_games.select(*needed)
     wide = over_timeline(rows, _PLAYER, "game_date", order, 9 + first, build, floor_rows, probe)
     rolled = _with_slopes(wide, first)
-    opponents, players = _scoring_context(player_games)
-    wide = rolled.join(opponents, "opponent_team_id", "left").join(players, _PLAYER, "left")
+    if leak_free:
+        wide = _with_prior_scoring(rolled, player_games)
+    else:
+        opponents, players = _scoring_context(player_games)
+        wide = rolled.join(opponents, "opponent_team_id", "left").join(players, _PLAYER, "left")
     filled = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in PLAYER_FEATURES]
     return wide.select("person_id", *order, *[c for c in carry if c not in order], *filled)
 
 
+def latest_player_features(player_games: DataFrame, order: list[str]) -> DataFrame:
+    """The features of each player's latest game, as in ``player_features``.
+
+    Frames reach ten rows back at most, so only those rows of a player pass the windows; they are
+    limited per task before the shuffle. Opponent strength and home edge still come from all games.
+    """
+    newest = [F.col(c).desc() for c in order]
+    recent = top_per_key(player_games, _PLAYER, newest, 11)
+
+    def build(line: Timeline) -> list[Column]:
+        return [*_means(line, 5), *_means(line, 10), *history(line, ROLLED_STATS, 4), rest_days(line, "game_date").alias("rest_days")]
+
+    rows = recent.select(*dict.fromkeys(["person_id", *order, "opponent_team_id", *ROLLED_STATS]))
+    spec = Window.partitionBy("person_id").orderBy(*order)
+    wide = rows.select("*", *build(Timeline(spec, 10, F.lit(None), F.lit(None))))
+    latest = top_per_key(_with_slopes(wide), _PLAYER, newest, 1)
+    opponents, players = _scoring_context(player_games)
+    wide = latest.join(opponents, "opponent_team_id", "left").join(players, _PLAYER, "left")
+    filled = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in PLAYER_FEATURES]
+    return wide.select("person_id", *order, *filled)
+
+
 def player_targets(player_games: DataFrame, order: list[str]) -> DataFrame:
     """The 15 statistics to predict; a missing one counts as 0."""
     targets = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in PLAYER_TARGETS]

@@ -11,7 +11,6 @@ from courtlake.operators.grouped import zscores
 from courtlake.session import cut_lineage
 
 METRICS = list(RATING_WEIGHTS)
-CALENDAR_YEARS = 10_000  # a season is a calendar year, so there cannot be more of them
 
 
 def season_efficiency(stg_player_games: DataFrame) -> DataFrame:
@@ -36,7 +35,7 @@ def season_scores(stg_player_games: DataFrame) -> DataFrame:
     written once: the box scores are read a single time.
     """
     seasons = cut_lineage(season_efficiency(stg_player_games))
-    return zscores(seasons, ["season_year"], METRICS, most_groups=CALENDAR_YEARS)
+    return zscores(seasons, ["season_year"], METRICS)
 
 
 def player_impact_rating(stg_player_games: DataFrame) -> DataFrame:

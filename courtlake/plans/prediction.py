@@ -23,8 +23,9 @@ HIDDEN_LAYERS = [128, 64, 32]  # fixed value: widths of the game model
 
 
 def in_training(*key: str, percent: int = TRAIN_PERCENT) -> Column:
-    """A split by hash of the key: the same rows on every run and for any partitioning."""
-    return F.pmod(F.xxhash64(*key, F.lit(SEED)), F.lit(100)) < percent
+    """A split by md5 of the key: the same rows on every run, for any partitioning and in any engine."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key], F.lit(str(SEED)))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % 100 < percent
 
 
 def _inputs(columns: list[str]) -> list:
@@ -68,6 +69,70 @@ def predict_games(model: PipelineModel, features: DataFrame) -> DataFrame:
     )
 
 
+def _with_mean(training: DataFrame, held_out: DataFrame, columns: list[str]) -> DataFrame:
+    """``held_out`` with the training mean of each column as ``_mean_<column>``: what a model must beat."""
+    means = training.agg(*[F.avg(c).alias(f"_mean_{c}") for c in columns]).first()
+    return held_out.withColumns({f"_mean_{c}": F.lit(means[f"_mean_{c}"]).cast("double") for c in columns})
+
+
+def _root_mean_square(target: str, guess: str) -> Column:
+    return F.sqrt(F.avg((F.col(target) - F.col(guess)) ** 2))
+
+
+def _metric(rows: DataFrame, model: str, measures: dict[str, tuple[str, Column, Column]]) -> DataFrame:
+    """Rows (model, target, metric, value, baseline) from aggregates over ``rows``."""
+    aggregates = rows.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[c.alias(f"{kind}_{t}") for t, (_, v, b) in measures.items() for kind, c in (("value", v), ("baseline", b))],
+    )
+    lines = [
+        F.struct(
+            F.lit(model).alias("model"), F.lit(t).alias("target"), F.lit(name).alias("metric"), "n",
+            F.col(f"value_{t}").alias("value"), F.col(f"baseline_{t}").alias("baseline"),
+        )
+        for t, (name, _, _) in measures.items()
+    ]
+    return aggregates.select(F.inline(F.array(*lines)))
+
+
+def _log_loss(chance: Column) -> Column:
+    sure = F.least(F.greatest(chance, F.lit(1e-12)), F.lit(1 - 1e-12))
+    return F.avg(F.when(F.col("home_win") == 1, -F.log(sure)).otherwise(-F.log(1 - sure)))
+
+
+def game_model_metrics(model: PipelineModel, features: DataFrame) -> DataFrame:
+    """Log loss and root mean square errors on the games held out of training, beside those of the mean."""
+    won = F.when(F.col("home_score") > F.col("away_score"), 1.0).otherwise(0.0)
+    played = features.dropna(subset=["home_score", "away_score"]).withColumn("home_win", won)
+    train, held = played.filter(in_training("game_id")), played.filter(~in_training("game_id"))
+    names = ["home_win", "home_score", "away_score"]
+    scored = model.transform(_with_mean(train, held, names))
+    scores = {
+        f"{side}_score": ("rmse", _root_mean_square(f"{side}_score", f"predicted_{side}_score"), _root_mean_square(f"{side}_score", f"_mean_{side}_score"))
+        for side in ("home", "away")
+    }
+    chances = vector_to_array("_chances")[1]
+    return _metric(scored, "game", {"home_win": ("log_loss", _log_loss(chances), _log_loss(F.col("_mean_home_win")))} | scores)
+
+
+def player_model_metrics(model: PipelineModel, features: DataFrame, key: list[str]) -> DataFrame:
+    """Root mean square error of each statistic on the rows held out of training, beside that of the mean."""
+    names = [f"target_{t}" for t in PLAYER_TARGETS]
+    train, held = features.filter(in_training(*key)), features.filter(~in_training(*key))
+    scored = model.transform(_with_mean(train, held, names))
+    measures = {t: ("rmse", _root_mean_square(f"target_{t}", f"_{t}"), _root_mean_square(f"target_{t}", f"_mean_target_{t}")) for t in PLAYER_TARGETS}
+    return _metric(scored, "player", measures)
+
+
+def fit_best_game_model(features: DataFrame, iterations: tuple[int, ...] = (20, 60, 120)) -> PipelineModel:
+    """The game model whose number of iterations does best on the held-out games (log loss)."""
+    loss = {}
+    for n in iterations:
+        model = fit_game_model(features, max_iter=n)
+        loss[n] = game_model_metrics(model, features).filter("metric = 'log_loss'").first()["value"], model
+    return min(loss.items(), key=lambda entry: (entry[1][0], entry[0]))[1][1]
+
+
 def predict_matchups(model: PipelineModel, matchups: DataFrame, team_games: DataFrame) -> DataFrame:
     """Predictions for games to come, given ``game_id`` and both team ids."""
     return predict_games(model, game_features(matchups, team_games, carry=("home_team_id", "away_team_id")))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from courtlake import schemas
 from courtlake.functions import calendar
 from courtlake.operators import quality
+from courtlake.operators.keyed import latest_per_key
 from courtlake.plans import features, impact, marts, prediction, staging
 from courtlake.session import cut_lineage
 from courtlake.sources.backfill import read_backfill
@@ -18,14 +19,21 @@ from courtlake.sources.tables import Tables
 GAME_ORDER = ["game_date", "game_id"]
 
 
-def backfill(spark: SparkSession, folder: str, tables: Tables, current_year: int) -> None:
-    """Load the historical files, parents before children.
+def backfill(spark: SparkSession, folder: str, tables: Tables, current_year: int) -> dict[str, int]:
+    """Load the historical files; returns the number of rejected rows per table.
 
-    All tables are written beside the live ones before any is swapped in by ``replace``, one at a
-    time, so a failed read leaves the live tables alone.
+    All tables are written beside the live ones before any is swapped in, so a failed read leaves
+    the live tables alone. Rows without a required value (an unreadable date is one) go to layer
+    ``rejects``. Of rows that repeat a key the one with the highest values stays.
     """
+    usable, rejected = {}, {}
     for name, df in read_backfill(spark, folder, current_year).items():
-        tables.replace(df, "public", name)
+        complete, rejected[name] = quality.split_required(df, schemas.REQUIRED[name])
+        key = schemas.KEYS[name]
+        usable[name] = latest_per_key(complete, key, [F.col(c).desc() for c in df.columns if c not in key])
+    tables.replace_all(usable, "public")
+    tables.replace_all(rejected, "rejects")
+    return {name: tables.read("rejects", name).count() for name in rejected}
 
 
 def staging_views(tables: Tables) -> dict[str, DataFrame]:

@@ -95,6 +95,14 @@ REQUIRED = {
     "team_statistics": ["game_id", "team_id", "game_date"],
 }
 
+KEYS = {
+    "players": ["person_id"],
+    "teams": ["team_id"],
+    "games": ["game_id"],
+    "player_statistics": ["game_id", "person_id"],
+    "team_statistics": ["game_id", "team_id"],
+}
+
 # Ids arrive as text or as numbers and statistics as whole or decimal numbers, so both are read
 # in the wider type and cast when the document is flattened.
 _STAT_CODES = ", ".join(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from courtlake.schemas import Schema, as_ddl
 
-LAYERS = ("public", "staging", "marts", "analytics")
+LAYERS = ("public", "staging", "marts", "analytics", "rejects")
 
 
 class Tables:
@@ -36,21 +36,50 @@ class Tables:
         df.hint("rebalance").write.mode("append").parquet(self.path(layer, name))
 
     def replace(self, df: DataFrame, layer: str, name: str, partition_by: list[str] | None = None) -> None:
-        """Write beside the table, then swap: readers see the old or the new rows, and ``df`` may
-        itself read the table."""
-        final = self.path(layer, name)
-        fresh = f"{self.root}/{layer}/_{name}_{uuid.uuid4().hex}"
-        if partition_by:
-            # Bring the rows of a partition together, split where it is large: not one file per task and value.
-            df = df.hint("rebalance", *partition_by)
-        df.write.mode("errorifexists").partitionBy(*partition_by or []).parquet(fresh)
-        retired = f"{fresh}_old"
-        fs = self._fs()
-        if fs.exists(self._path(final)) and not fs.rename(self._path(final), self._path(retired)):
-            raise OSError(f"cannot set aside {final}")
-        if not fs.rename(self._path(fresh), self._path(final)):
-            raise OSError(f"cannot move {fresh} to {final}")
-        fs.delete(self._path(retired), True)
+        """Write beside the table, then swap. ``df`` may itself read the table."""
+        self.replace_all({name: df}, layer, {name: partition_by} if partition_by else None)
+
+    def replace_all(self, frames: dict[str, DataFrame], layer: str, partition_by: dict[str, list[str]] | None = None) -> None:
+        """Write all tables beside the live ones, and only then swap them in.
+
+        A failed write leaves every live table alone. A failed swap puts back the tables swapped so far.
+        Each swap is two renames: in between a reader finds no table, and readers of the old files fail
+        once these are deleted, after the last swap. On object stores a rename is a copy.
+        """
+        fs, fresh = self._fs(), {}
+        try:
+            for name, df in frames.items():
+                columns = (partition_by or {}).get(name, [])
+                fresh[name] = f"{self.root}/{layer}/_{name}_{uuid.uuid4().hex}"
+                if columns:
+                    # Bring the rows of a partition together, split where it is large: not one file per task and value.
+                    df = df.hint("rebalance", *columns)
+                df.write.mode("errorifexists").partitionBy(*columns).parquet(fresh[name])
+        except Exception:
+            for path in fresh.values():
+                fs.delete(self._path(path), True)
+            raise
+        moved: list[tuple[str, str]] = []
+        try:
+            for name, path in fresh.items():
+                final = self.path(layer, name)
+                if fs.exists(self._path(final)):
+                    self._move(final, f"{path}_old")
+                    moved.append((f"{path}_old", final))
+                self._move(path, final)
+                moved.append((final, path))
+        except OSError:
+            for now, before in reversed(moved):
+                self._move(now, before)
+            for path in fresh.values():
+                fs.delete(self._path(path), True)
+            raise
+        for path in fresh.values():
+            fs.delete(self._path(f"{path}_old"), True)
+
+    def _move(self, source: str, target: str) -> None:
+        if not self._fs().rename(self._path(source), self._path(target)):
+            raise OSError(f"cannot move {source} to {target}")
 
     def register_views(self, layer: str, frames: dict[str, DataFrame]) -> None:
         """Lazy views named ``layer_name``."""

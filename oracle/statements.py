@@ -48,12 +48,16 @@ def _frame(rows: int) -> str:
     return f"({LINE} ROWS BETWEEN {rows - 1} PRECEDING AND CURRENT ROW)"
 
 
-def _mean(c: str, rows: int) -> str:
-    return f"avg({c}) OVER {_frame(rows)}"
+def _earlier(rows: int) -> str:
+    return f"({LINE} ROWS BETWEEN {rows} PRECEDING AND 1 PRECEDING)"
 
 
-def _slope(c: str, rows: int = 5) -> str:
-    w = _frame(rows)
+def _mean(c: str, rows: int, frame=_frame) -> str:
+    return f"avg({c}) OVER {frame(rows)}"
+
+
+def _slope(c: str, rows: int = 5, frame=_frame) -> str:
+    w = frame(rows)
     return f"CASE WHEN count(*) OVER {w} < 2 THEN NULL ELSE regr_slope({c}, step) OVER {w} END"
 
 
@@ -134,6 +138,25 @@ def statements() -> dict[str, str]:
             ON f.opponent_team_id = o.opponent_team_id
         LEFT JOIN (SELECT person_id, avg(points) FILTER (home) - avg(points) FILTER (NOT home) AS edge
                    FROM player_games GROUP BY 1) d ON f.person_id = d.person_id"""
+    prior = ", ".join(
+        r(f"coalesce({e}, 0e0)", n)
+        for c in ROLLED
+        for e, n in (
+            (_mean(c, 5, _earlier), f"{c}_5_game_avg"), (_mean(c, 10, _earlier), f"{c}_10_game_avg"),
+            (_slope(c, 5, _earlier), f"{c}_trend"),
+        )
+    )
+    running = "ORDER BY CAST(game_date AS DATE) RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING"
+    rating = f"avg(points) OVER (PARTITION BY opponent_team_id {running})"
+    edge = " - ".join(
+        f"avg(CASE WHEN {side} THEN points END) OVER (PARTITION BY person_id {running})" for side in ("home", "NOT home")
+    )
+    q["player_features_prior"] = f"""SELECT {KEY}, {prior}, {r(f'coalesce({rating}, 0e0)', 'opp_def_rating')},
+        {REST}::DOUBLE AS rest_days, {r(f'coalesce({edge}, 0e0)', 'home_away_diff')} FROM {STEPPED} s"""
+    q["latest_player_features"] = f"""SELECT * FROM ({q['player_features']}) f
+        QUALIFY row_number() OVER (PARTITION BY person_id ORDER BY {FORM_LATEST}) = 1"""
+    q["train_split"] = """SELECT game_id, game_date,
+        ('0x' || substring(md5(game_id || '|42'), 1, 8))::BIGINT % 100 < 80 AS in_training FROM games"""
     columns = [f"{c}_{side}" for side in ("home", "away") for c in TEAM_STATS]
     q["game_features"] = f"SELECT game_id, team_id_home, team_id_away, {rs(*columns)} FROM game_features"
     q["game_labels"] = """SELECT game_id, CASE WHEN home_score > away_score THEN 1 ELSE 0 END AS home_win,
@@ -188,6 +211,7 @@ def statements() -> dict[str, str]:
         h.team_abbrev AS home_abbrev, a.full_name AS away_name, a.team_abbrev AS away_abbrev
         FROM games g LEFT JOIN stg_teams h ON home_team_id = h.team_id LEFT JOIN stg_teams a ON away_team_id = a.team_id"""
     q["games_with_teams"] = games
+    q["game_by_id"] = games + " WHERE game_id = 321"
     q["games_on_date"] = games + " WHERE CAST(game_date AS DATE) = DATE '1998-03-05'"
     named = f"""SELECT team_1_id, team_2_id, a.full_name AS team_1_name, b.full_name AS team_2_name, team_1_wins,
         team_2_wins, total_games, {r('avg_margin')}, last_meeting FROM head_to_head h

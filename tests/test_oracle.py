@@ -8,7 +8,7 @@ from oracle import statements
 from tests.compare import differences, oracle_connection
 
 ORACLE = statements()
-ROWS_ONLY = {"train_split", "predict_game", "predict_player"}
+ROWS_ONLY = {"predict_game", "predict_player", "predict_matchups", "model_metrics"}
 
 
 @pytest.fixture(scope="module")
