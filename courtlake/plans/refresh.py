@@ -31,7 +31,9 @@ def backfill(spark: SparkSession, folder: str, tables: Tables, current_year: int
         complete, rejected[name] = quality.split_required(df, schemas.REQUIRED[name])
         key = schemas.KEYS[name]
         usable[name] = latest_per_key(complete, key, [F.col(c).desc() for c in df.columns if c not in key])
-    tables.replace_all(usable, "public")
+        if name in schemas.FACTS:
+            usable[name] = usable[name].withColumn(schemas.SEASON, F.year("game_date"))
+    tables.replace_all(usable, "public", {name: [schemas.SEASON] for name in schemas.FACTS})
     tables.replace_all(rejected, "rejects")
     return {name: tables.read("rejects", name).count() for name in rejected}
 
@@ -64,7 +66,9 @@ def refresh(tables: Tables, as_of: dt.date, load_ts: dt.datetime) -> DataFrame:
     publish(marts.player_season_stats(player_games, players, views["stg_teams"]), "player_season_stats")
     publish(marts.team_season_stats(views["stg_team_statistics"]), "team_season_stats")
     publish(marts.head_to_head(views["stg_games"]), "head_to_head_stats", by_season=False)
-    publish(marts.recent_performance(player_games, players, as_of, GAME_ORDER), "recent_player_performance", by_season=False)
+    lately = tables.read("public", "player_statistics", schemas.PLAYER_STATISTICS, since_season=as_of.year - 1)
+    recent = marts.recent_performance(staging.stg_player_games(lately), players, as_of, GAME_ORDER)
+    publish(recent, "recent_player_performance", by_season=False)
 
     tables.replace(
         impact.player_impact_rating(player_games), "analytics", "analytics_player_impact_rating", ["season_year"]
@@ -91,13 +95,16 @@ def data_tests(games: DataFrame, rating: DataFrame, players: DataFrame) -> DataF
 
 def train(tables: Tables, since: dt.date, model_root: str) -> None:
     """Fit and save both models on box scores from ``since`` on."""
-    games = tables.read("public", "games").filter(calendar.since(F.col("game_date"), since))
-    team_rows = tables.read("public", "team_statistics").filter(calendar.since(F.col("game_date"), since))
+    def read(name: str) -> DataFrame:
+        return tables.read("public", name, schemas.SOURCE_TABLES[name], since_season=since.year)
+
+    games = read("games").filter(calendar.since(F.col("game_date"), since))
+    team_rows = read("team_statistics").filter(calendar.since(F.col("game_date"), since))
     matrix = cut_lineage(features.prior_game_features(games, team_rows))
     prediction.save(prediction.fit_game_model(matrix), f"{model_root}/game")
 
     players = tables.read("public", "players")
-    rows = features.player_training_frame(tables.read("public", "player_statistics"), players, since)
+    rows = features.player_training_frame(read("player_statistics"), players, since)
     targets = {f"target_{t}": F.coalesce(F.col(t), F.lit(0)).cast("double") for t in features.PLAYER_TARGETS}
     past = features.player_features(rows.withColumns(targets), GAME_ORDER, leak_free=True, carry=tuple(targets))
     prediction.save(prediction.fit_player_model(cut_lineage(past), ["person_id", *GAME_ORDER]), f"{model_root}/player")

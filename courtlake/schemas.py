@@ -103,6 +103,10 @@ KEYS = {
     "team_statistics": ["game_id", "team_id"],
 }
 
+#: Tables with one row per game and subject. They are stored by season: the year of the game.
+FACTS = ("games", "player_statistics", "team_statistics")
+SEASON = "season"
+
 # Ids arrive as text or as numbers and statistics as whole or decimal numbers, so both are read
 # in the wider type and cast when the document is flattened.
 _STAT_CODES = ", ".join(

@@ -18,7 +18,7 @@ class Split:
 
 
 def table_reader(
-    spark: SparkSession, url: str, table: str, properties: dict[str, str], split: Split | None = None
+    spark: SparkSession, url: str, table: str, properties: dict[str, str], split: Split | None
 ) -> DataFrameReader:
     reader = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**properties)
     if split is None:
@@ -32,9 +32,9 @@ def table_reader(
 
 
 def read_table(
-    spark: SparkSession, url: str, table: str, properties: dict[str, str], split: Split | None = None
+    spark: SparkSession, url: str, table: str, properties: dict[str, str], split: Split | None
 ) -> DataFrame:
-    """A table; without ``split`` a single task reads it all, so give one for large tables."""
+    """A table, in the ranges of ``split``. With None, to be said outright, one task reads it all."""
     return table_reader(spark, url, table, properties, split).load()
 
 

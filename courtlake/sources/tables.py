@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from courtlake.schemas import Schema, as_ddl
+from courtlake.schemas import SEASON, Schema, as_ddl
 
 LAYERS = ("public", "staging", "marts", "analytics", "rejects")
 
@@ -25,15 +26,22 @@ class Tables:
     def exists(self, layer: str, name: str) -> bool:
         return self._fs().exists(self._path(self.path(layer, name)))
 
-    def read(self, layer: str, name: str, schema: Schema | None = None) -> DataFrame:
-        """A table; with ``schema``, an empty one of that shape where there is none yet."""
+    def read(self, layer: str, name: str, schema: Schema | None = None, since_season: int | None = None) -> DataFrame:
+        """A table; with ``schema``, its columns only, and an empty one where there is none yet.
+
+        ``since_season`` opens only the partitions of that season and later ones.
+        """
         if schema is not None and not self.exists(layer, name):
             return self.spark.createDataFrame([], as_ddl(schema))
-        return self.spark.read.parquet(self.path(layer, name))
+        df = self.spark.read.parquet(self.path(layer, name))
+        if since_season is not None and SEASON in df.columns:
+            df = df.filter(F.col(SEASON) >= since_season)
+        return df if schema is None else df.select(*schema)
 
-    def append(self, df: DataFrame, layer: str, name: str) -> None:
+    def append(self, df: DataFrame, layer: str, name: str, partition_by: list[str] | None = None) -> None:
         """Add rows, in as few files as their size asks for."""
-        df.hint("rebalance").write.mode("append").parquet(self.path(layer, name))
+        columns = partition_by or []
+        df.hint("rebalance", *columns).write.mode("append").partitionBy(*columns).parquet(self.path(layer, name))
 
     def replace(self, df: DataFrame, layer: str, name: str, partition_by: list[str] | None = None) -> None:
         """Write beside the table, then swap. ``df`` may itself read the table."""

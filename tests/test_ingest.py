@@ -91,7 +91,7 @@ def test_backfill(spark, history, tmp_path):
     team_rows = rows_of(tables.read("public", "team_statistics"), "team_id")
     assert (team_rows[10]["team_score"], team_rows[10]["rebounds_total"]) == (100, 40)
     for name, schema in schemas.SOURCE_TABLES.items():
-        assert dict(tables.read("public", name).dtypes) == schema
+        assert dict(tables.read("public", name, schema).dtypes) == schema
 
 
 def test_backfill_twice_replaces(spark, history, tmp_path):

@@ -70,7 +70,7 @@ class Carrier:
 
 def test_jdbc_options():
     properties = {"user": "u", "driver": "d"}
-    plain = jdbc.table_reader(Carrier(), "jdbc:x", "s.t", properties).seen
+    plain = jdbc.table_reader(Carrier(), "jdbc:x", "s.t", properties, None).seen
     assert plain == {"format": "jdbc", "url": "jdbc:x", "dbtable": "s.t", "user": "u", "driver": "d"}
     split = jdbc.table_reader(Carrier(), "jdbc:x", "s.t", properties, jdbc.Split("id", "0", "99", 8)).seen
     assert (split["partitionColumn"], split["lowerBound"], split["upperBound"], split["numPartitions"]) == ("id", "0", "99", 8)

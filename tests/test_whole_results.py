@@ -152,3 +152,17 @@ def test_backfill_counts_what_it_rejects(spark, tmp_path):
     assert {n: lake.read("public", n).count() for n in schemas.SOURCE_TABLES} == {"players": 1, "teams": 2, "games": 1, "player_statistics": 1, "team_statistics": 1}
     assert lake.read("public", "player_statistics").first()["points"] == 25
     assert lake.read("public", "games").first()["game_date"] == dt.datetime(2024, 11, 5, 19, 30)
+
+
+def test_facts_are_stored_and_read_by_season(spark, tmp_path):
+    lake = Tables(spark, str(tmp_path))
+    kinds = schemas.SOURCE_TABLES["games"]
+    rows = spark.range(40).select(*[
+        (F.col("id") if c.endswith("_id") and k == "bigint" else F.make_timestamp_ntz(F.lit(2000) + (F.col("id") % 4).cast("int"), *[F.lit(1)] * 2, *[F.lit(0)] * 3) if c == "game_date" else F.lit(None)).cast(k).alias(c)
+        for c, k in kinds.items()
+    ])
+    lake.replace_all({"games": rows.withColumn(schemas.SEASON, F.year("game_date"))}, "public", {"games": [schemas.SEASON]})
+    late = lake.read("public", "games", kinds, since_season=2002)
+    assert late.columns == list(kinds) and late.count() == 20 and lake.read("public", "games", kinds).count() == 40
+    plan = late._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(season" in plan
