@@ -1,4 +1,5 @@
 import itertools
+import re
 import zlib
 
 import numpy as np
@@ -118,8 +119,8 @@ def test_words_of_texts():
 
 def test_code_switched_text(spark):
     field = language.train(table(spark, FOLDER, "documents"))
-    by_lang = {r.lang: r.text.split() for r in table(spark, FOLDER, "documents").where(F.length("text").between(2000, 4000)).orderBy("doc_id").collect()}
-    mixed = " ".join(by_lang["en"][:75] + by_lang["de"][:25])
+    by_lang = {r.lang: re.findall(r"[^\W\d_]+", r.text) for r in table(spark, FOLDER, "documents").where(F.length("text").between(2000, 4000)).orderBy("doc_id").collect()}
+    mixed = " ".join(by_lang["en"][60:135] + by_lang["de"][60:85])
     share = dict(zip(field.labels, field.shares([mixed])[0], strict=True))
     assert share["en"] == pytest.approx(0.75, abs=0.06) and share["de"] == pytest.approx(0.25, abs=0.06)
 

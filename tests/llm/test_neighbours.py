@@ -7,8 +7,6 @@ from courtlake.llm import neighbours
 from courtlake.llm.common import table
 
 SCHEMA = "vec_id bigint, embedding array<float>, id bigint, vector string, q string, node string"
-EVERY = F.lit(True)
-
 
 def vectors(spark, rows):
     return spark.createDataFrame([(i, v, 0, "x", None, "y") for i, v in rows], SCHEMA).repartition(2)
@@ -58,8 +56,8 @@ def test_equal_vectors_and_ties(spark):
 def test_odd_rows(spark):
     rows = [(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0, None]), (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]), (8, []), (9, [1.0, 2.0, 3.0])]
     rows += [(None, [5.0, 5.0]), (2, [0.0, 2.0]), (10, [0.0, -0.0, 0.0]), (11, [1.0, 0.0])]
-    got = answers(neighbours.nearest(vectors(spark, rows), EVERY))
+    got = answers(neighbours.nearest(vectors(spark, rows), F.lit(True)))
     assert got == {1: [(0.0, 11), (math.sqrt(5), 2)], 2: [(math.sqrt(5), 1), (math.sqrt(5), 11)], 11: [(0.0, 1), (math.sqrt(5), 2)]}
-    assert neighbours.nearest(vectors(spark, rows).limit(0), EVERY).collect() == []
-    assert answers(neighbours.nearest(vectors(spark, [(5, [1.0, 1.0])]), EVERY)) == {}
+    assert neighbours.nearest(vectors(spark, rows).limit(0), F.lit(True)).collect() == []
+    assert answers(neighbours.nearest(vectors(spark, [(5, [1.0, 1.0])]), F.lit(True))) == {}
     assert answers(neighbours.nearest(vectors(spark, rows), F.lit(False))) == {}
