@@ -12,13 +12,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from courtlake.llm.common import stored
+from courtlake.llm.words import mixed
 
 DEGREE = 24  # neighbours that a node keeps
 SAMPLE = 11  # neighbours, and nodes that have it as neighbour, of which a node introduces each to each
 ROUNDS = 3  # of neighbours of neighbours
 TABLES, BLOCK, PER_BLOCK = 4, 24, 8  # first neighbours: so many hashings into blocks of about BLOCK nodes
 FAR = 4  # random neighbours that stay, so that the graph hangs together
-BEAM = 400  # nodes that a search keeps
+BEAM = 500  # nodes that a search keeps
 ENTRIES = 8  # nodes where every search starts, beside its own
 RESCORED = 100  # nodes of a beam that are measured on the original vectors
 ROWS = 500  # adjacency lists that a search task measures at a time
@@ -52,7 +53,8 @@ def _coded(scale: float, bits: int) -> Callable:
             planes = np.random.default_rng(1).normal(size=(TABLES - 1, x.shape[1], bits))
             signs = np.einsum("nd,tdb->ntb", x, planes) > 0
             keys = (signs * (1 << np.arange(bits))).sum(axis=2, dtype=np.int64)
-            keys = np.concatenate([keys, np.zeros((len(x), 1), np.int64)], axis=1)  # the last table is random
+            chance = mixed(batch.column("node").to_numpy().view(np.uint64)) % np.uint64(1 << bits)  # the last table is random
+            keys = np.concatenate([keys, chance.astype(np.int64)[:, None]], axis=1)
             codes = [row.tobytes() for row in x.astype(np.float16)]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(codes, pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))], ["node", "code", "keys"])
 
