@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from courtlake.llm.common import stored
 from courtlake.llm.url_filter import host_and_path
 
 # Elements of HTML by their role, and words that name parts beside the article.
@@ -214,7 +215,8 @@ def main_texts(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
     Repeated rows give repeated results. Votes are combined before the shuffle, one row per host and
     path, so a crowded host is no crowded task.
     """
-    winners = host_paths(pages, url, html).withColumnRenamed("host", "w_host")
+    # stored, so that Spark knows their size: few hosts are broadcast, and the pages stay where they are
+    winners = stored(host_paths(pages, url, html).withColumnRenamed("host", "w_host"), "host-paths")
     host = host_and_path(F.col("url"))[0]
     rows = pages.select(F.col(key).alias("k"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     rows = rows.join(winners, host == F.col("w_host"), "left").select("k", "url", "html", "winner")
