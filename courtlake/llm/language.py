@@ -12,7 +12,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from courtlake.llm.common import below_share
+from courtlake.llm.common import below_share, stored
 from courtlake.llm.token_memo import slices
 
 BUCKETS = 1 << 16  # hashed letter n-grams, one table for 3-grams and one for 4-grams
@@ -221,7 +221,7 @@ def train(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: s
     rows = documents.select(F.col(lang).alias("label"), F.col(text).alias("text"), F.md5(F.concat_ws(":", F.col(key).cast("string"), F.md5(F.col(text)))).alias("hash"))
     words = F.split("text", r"\s+", SAMPLE_WORDS + 1)
     rows = rows.where(F.col("label").isNotNull() & F.col("text").isNotNull())
-    totals = rows.groupBy("label").agg(F.count("*").alias("rows"))
+    totals = stored(rows.groupBy("label").agg(F.count("*").alias("rows")), "languages")  # of known size: no shuffle of texts
     rows = rows.join(totals, "label").where(below_share(F.col("hash"), SAMPLE_DOCUMENTS, F.col("rows")))
     rows = rows.select("label", "hash", F.array_join(F.slice(words, 1, SAMPLE_WORDS), " ").alias("text"))
     sample = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE_DOCUMENTS).select("label", "hash", "text").toArrow()
