@@ -121,7 +121,7 @@ def benchmark_hits(documents: DataFrame, benchmark: DataFrame, keep: list[str],
     pairs = hits.join(windows, ["length", "print", "window"]).select("digest", "item").dropna().distinct()
     listed = F.array_sort(F.collect_list("item"))
     named = pairs.groupBy("digest").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"))
-    found = covered.join(named, "digest", "left").withColumnRenamed("digest", "h_digest")
+    found = stored(covered.join(named, "digest", "left").withColumnRenamed("digest", "h_digest"), "found")
     return rows.drop("hits"), found
 
 
