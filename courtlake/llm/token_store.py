@@ -27,7 +27,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from courtlake.llm.common import shared_folder, stored
+from courtlake.llm.common import below_share, shared_folder, stored
 from courtlake.llm.token_memo import ByteBpe, in_worker, slices
 
 MAGIC = b"CTKS0001"
@@ -135,12 +135,13 @@ def _sample_ids(definition: Broadcast) -> Callable:
 def train_dictionary(documents: DataFrame, definition: Broadcast, key: str, text: str) -> bytes:
     """A dictionary for the frames, from serialised id arrays of a bounded sample; empty if too few rows.
 
-    The sample is the ``SAMPLE_DOCUMENTS`` rows of least md5 of the text, a stretch of each from a place
-    that depends on the text. It only affects the size of the files.
+    The sample is the ``SAMPLE_DOCUMENTS`` rows of least md5 of key and text, a stretch of each from a
+    place that depends on that md5. It only affects the size of the files.
     """
     length = F.length(text)
     start = F.floor(F.greatest(length - SAMPLE_CHARS, F.lit(0)) * (F.conv(F.substring("hash", 9, 6), 16, 10).cast("double") / float(16**6))).cast("int") + 1
-    rows = documents.select(F.col(text), F.md5(text).alias("hash")).where(length > 0)
+    digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.md5(text)))
+    rows = documents.select(F.col(text), digest.alias("hash")).where((length > 0) & below_share(F.col("hash"), SAMPLE_DOCUMENTS, documents.count()))
     rows = rows.select("hash", F.substr(F.col(text), start, F.lit(SAMPLE_CHARS)).alias("text")).orderBy("hash", "text").limit(SAMPLE_DOCUMENTS)
     samples = [row.ids for row in rows.select("text").mapInArrow(_sample_ids(definition), "ids binary").collect()]
     samples = [bytes(s) for s in samples if len(s) >= 8]
