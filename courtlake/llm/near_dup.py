@@ -17,6 +17,7 @@ from courtlake.llm.words import WordHashes, blank_words, gram_hashes, mixed
 PERMUTATIONS = 48  # each gives two values, its minimum and its maximum
 ROWS = 4  # values of a band: pairs at 0.8 miss all 24 bands with probability 3e-6
 BANDS = 2 * PERMUTATIONS // ROWS
+HEAD = 32  # shingles of a set that the pair bounds look at
 _AT_ONCE = 8  # permutations evaluated together
 
 
@@ -98,8 +99,9 @@ def _further_pairs(members: DataFrame, sets: DataFrame, roots: DataFrame, percen
 
     The classes in question are those of buckets that hold several components. An exact prefix filter
     finds their pairs: with shingles from the rarest to the commonest, two sets of ``percent`` share one
-    among the first of each, and those of the smaller set may be fewer. A set's shingles that no other
-    set has bound what it can share, which rules out the far members of a large family.
+    among the first of each, and those of the smaller set may be fewer. Shingles before the first shared
+    one, and those that no other set has, bound what two sets can share; this rules out the far members
+    of a large family before a pair is made. The bound needs only the first ``HEAD`` shingles of a set.
     """
     root = F.coalesce("root", F.col("cls"))
     members = members.join(roots, F.col("cls") == F.col("node"), "left").select("bucket", "cls", root.alias("root"))
@@ -116,14 +118,19 @@ def _further_pairs(members: DataFrame, sets: DataFrame, roots: DataFrame, percen
     short_prefix = n - F.ceil(2 * n * percent / (100 + percent)) + 1 - own
     first = lambda length: F.slice("shared", 1, F.greatest(length, F.lit(0)).cast("int"))
     counted = stored(counted.select("cls", "root", "n", "own", first(long_prefix).alias("long"), F.greatest(short_prefix, F.lit(0)).alias("short")), "prefixes")
-    place = F.posexplode("long").alias("at", "shingle")
-    longer = counted.select("cls", "root", "n", "own", "short", place).select("cls", "root", "n", "own", F.col("shingle.token").alias("token"), (F.col("at") < F.col("short")).alias("index"))
-    a, b = longer.alias("a"), longer.where("index").alias("b")
-    most = F.least(F.col("a.n") - F.col("a.own"), F.col("b.n") - F.col("b.own"))
+    head = F.slice(F.transform("long", lambda x: x["token"]), 1, HEAD).alias("head")
+    placed = counted.select("cls", "root", "n", "own", "short", head, F.posexplode("long").alias("at", "shingle"))
+    placed = placed.select("cls", "root", "n", "own", "head", "at", F.col("shingle.token").alias("token"), (F.col("at") < F.col("short")).alias("index"))
+    a, b = placed.alias("a"), placed.where("index").alias("b")
+    i, j, n_a, n_b = F.col("a.at"), F.col("b.at"), F.col("a.n"), F.col("b.n")
+    rest = F.least(n_a - F.col("a.own") - i, n_b - F.col("b.own") - j)  # the shared shingle and what may follow it
+    heads = F.size(F.array_intersect(F.slice("a.head", F.lit(1), F.least(i, F.lit(HEAD))), F.slice("b.head", F.lit(1), F.least(j, F.lit(HEAD)))))
+    before = F.least(i, j, heads + F.greatest(i - HEAD, F.lit(0)) + F.greatest(j - HEAD, F.lit(0)))
+    first_shared = (heads == 0) | (i > HEAD) | (j > HEAD)
     condition = (
         (F.col("a.token") == F.col("b.token")) & (F.col("a.root") != F.col("b.root"))
-        & ((F.col("a.n") > F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.cls") > F.col("b.cls"))))
-        & _linked(most, F.col("a.n"), F.col("b.n"), percent)
+        & ((n_a > n_b) | ((n_a == n_b) & (F.col("a.cls") > F.col("b.cls"))))
+        & _linked(F.least(i, j) + rest, n_a, n_b, percent) & first_shared & _linked(before + rest, n_a, n_b, percent)
     )
     return stored(a.join(b, condition).select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct(), "further-pairs")
 
@@ -138,8 +145,13 @@ def duplicate_classes(documents: DataFrame, key: str, text: str, shingle: int, p
     # documents of the same set are one class: copies meet no other copy
     classes = signed.where("n > 0").groupBy("cls").agg(F.max("bands").alias("bands"))
     members = stored(classes.select("cls", F.explode("bands").alias("bucket")), "buckets")
-    leaders = members.groupBy("bucket").agg(F.min("cls").alias("leader"), F.count("*").alias("size")).where("size > 1").select("bucket", "leader")
-    members = stored(members.join(leaders, "bucket"), "shared-buckets")
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    shared = stored(members.join(sizes, "bucket"), "shared-buckets")
+    # the set with the most company over all its buckets is the likeliest to be near the others
+    company = shared.groupBy("cls").agg(F.sum("size").alias("company"))
+    leaders = shared.join(company, "cls").groupBy("bucket").agg(F.max(F.struct("company", "cls")).alias("most"))
+    leaders = stored(leaders.select("bucket", F.col("most.cls").alias("leader")), "leaders")
+    members = stored(shared.select("cls", "bucket").join(leaders, "bucket"), "led-buckets")
 
     sample = F.min(F.struct("content", "k"))
     texts = signed.select("cls", "content", "k").join(members.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(sample.alias("of"))
@@ -172,8 +184,8 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
 
     Each permutation of a set's hashes gives two signature values, its minimum and its maximum, so 48
     evaluations per shingle make 96 values: 24 bands of 4. Equal sets are one class from the start.
-    In each bucket the least class is confirmed against every other on full sets, which costs one pair
-    per member. Buckets that then still hold several components go through an exact prefix filter over
+    In each bucket the class with the most company (in all its buckets) is confirmed against every other
+    on full sets, which costs one pair per member. Buckets that then still hold several components go through an exact prefix filter over
     their full sets, which leaves out no pair that could link; no bucket is cut or skipped.
 
     Null, empty and blank texts have no shingles and are linked with nothing. A null key is no smallest
@@ -182,7 +194,7 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     """
     signed, roots = duplicate_classes(documents, key, text, shingle, percent)
     rows = stored(_with_component(signed, roots), "near-duplicates")
-    least = rows.groupBy("component").agg(F.min("k").alias("component_id")).withColumnRenamed("component", "c")
+    least = stored(rows.groupBy("component").agg(F.min("k").alias("component_id")).withColumnRenamed("component", "c"), "component-ids")
     joined = rows.join(least, F.col("component") == F.col("c"))
     return joined.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("k").eqNullSafe(F.col("component_id")).alias("kept"))
 
@@ -196,7 +208,7 @@ def without_near_duplicates(documents: DataFrame, key: str = "doc_id", text: str
     signed, roots = duplicate_classes(documents, key, text, shingle, percent)
     rows = stored(_with_component(signed, roots), "near-duplicates")
     rank = F.struct(F.col("k").isNull().alias("last"), "k", "content")
-    best = rows.groupBy("component").agg(F.min(rank).alias("best")).withColumnRenamed("component", "c")
+    best = stored(rows.groupBy("component").agg(F.min(rank).alias("best")).withColumnRenamed("component", "c"), "component-ids")
     same = F.col("k").eqNullSafe(F.col("best.k")) & (F.col("content") == F.col("best.content"))
     away = rows.join(best, F.col("component") == F.col("c")).where(~same).select(F.col("k").alias("away_k"), F.col("content").alias("away_content")).distinct()
     content = F.sha2(F.coalesce(documents[text], F.lit("")), 256)
