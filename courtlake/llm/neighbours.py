@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from courtlake.llm.common import stored
 from courtlake.llm.words import mixed
@@ -19,12 +20,12 @@ SAMPLE = 11  # neighbours, and nodes that have it as neighbour, of which a node
 ROUNDS = 3  # of neighbours of neighbours
 TABLES, BLOCK, PER_BLOCK = 4, 24, 8  # first neighbours: so many hashings into blocks of about BLOCK nodes
 FAR = 4  # random neighbours that stay, so that the graph hangs together
-BEAM = 500  # nodes that a search keeps
+BEAM = 500  # nodes that a search keeps; more for a k above its half
 ENTRIES = 8  # nodes where every search starts, beside its own
-RESCORED = 100  # nodes of a beam that are measured on the original vectors
-ROWS = 500  # adjacency lists that a search task measures at a time
+ROWS = 250  # adjacency lists that a search task measures at a time
 
-MEMBERS = "array<struct<node:bigint,code:binary,worst:float>>"
+TOP = 500  # the power of two near which the largest component of doubles is put, so that squares neither overflow nor vanish
+MOST = float(np.finfo(np.float64).max)
 EDGE_NAMES = ["u", "v", "d"]
 
 
@@ -43,30 +44,35 @@ def usable_vectors(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.groupBy("id").agg(F.min("vector").alias("vector"))
 
 
-def _coded(scale: float, bits: int) -> Callable:
+def _coded(kind: str, shift: int, bits: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(node, vector) to (node, code, keys): 16-bit floats, and a block key per table."""
+        """(node, vector) to (node, code, keys): the vector's own floats, moved by a power of two, and a block key per table."""
         for batch in batches:
             if not len(batch):
                 continue
-            x = np.stack(batch.column("vector").to_numpy(zero_copy_only=False)) / scale
+            x = np.stack(batch.column("vector").to_numpy(zero_copy_only=False))
+            x = np.ldexp(x, shift)
             planes = np.random.default_rng(1).normal(size=(TABLES - 1, x.shape[1], bits))
             signs = np.einsum("nd,tdb->ntb", x, planes) > 0
             keys = (signs * (1 << np.arange(bits))).sum(axis=2, dtype=np.int64)
             chance = mixed(batch.column("node").to_numpy().view(np.uint64)) % np.uint64(1 << bits)  # the last table is random
             keys = np.concatenate([keys, chance.astype(np.int64)[:, None]], axis=1)
-            codes = [row.tobytes() for row in x.astype(np.float16)]
+            codes = [row.tobytes() for row in x.astype(kind)]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(codes, pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))], ["node", "code", "keys"])
 
     return run
 
 
+def _vectors(codes: pa.Array, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(codes.to_pylist()), kind).reshape(len(codes), -1).astype(np.float64)
+
+
 def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Squared distances of paired rows; the same two rows always give the same number."""
     return ((a - b) ** 2).sum(axis=-1)
 
 
-def _introduced(most: int) -> Callable:
+def _introduced(most: int, kind: str) -> Callable:
     """Members of a group to edges: to each member its ``most`` nearest others that beat its worst neighbour."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,12 +83,12 @@ def _introduced(most: int) -> Callable:
                 nodes = inner.field("node").to_numpy()
                 if len(nodes) < 2:
                     continue
-                codes = np.frombuffer(b"".join(inner.field("code").to_pylist()), np.float16).reshape(len(nodes), -1).astype(np.float32)
+                codes = _vectors(inner.field("code"), kind)
                 d = _squares(codes[:, None], codes[None])
                 np.fill_diagonal(d, np.inf)
                 order = np.argsort(d, axis=1, kind="stable")[:, :most]
                 near = np.take_along_axis(d, order, 1)
-                row, at = np.nonzero(near < np.minimum(inner.field("worst").to_numpy(), np.float32(3e38))[:, None])
+                row, at = np.nonzero(near < np.minimum(inner.field("worst").to_numpy(), MOST)[:, None])
                 for column, values in zip(out, (nodes[row], nodes[order[row, at]], near[row, at]), strict=True):
                     column.append(values)
             if out[0]:
@@ -91,8 +97,8 @@ def _introduced(most: int) -> Callable:
     return run
 
 
-def _introduce(groups: DataFrame, most: int) -> DataFrame:
-    return groups.select("members").mapInArrow(_introduced(most), "u bigint, v bigint, d float")
+def _introduce(groups: DataFrame, most: int, kind: str) -> DataFrame:
+    return groups.select("members").mapInArrow(_introduced(most, kind), "u bigint, v bigint, d double")
 
 
 def _best(edges: DataFrame) -> DataFrame:
@@ -112,7 +118,7 @@ def _mixed_up(*columns) -> Column:
     return F.xxhash64(*[F.col(c) if isinstance(c, str) else F.lit(c) for c in columns])
 
 
-def neighbour_graph(nodes: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+def neighbour_graph(nodes: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
     """The graph (u, neighbours) of ``nodes`` (node, code, keys), and random edges (u, v) that stay.
 
     The first neighbours come from blocks of about ``BLOCK`` nodes: hashes by random hyperplanes, split at
@@ -121,12 +127,12 @@ def neighbour_graph(nodes: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     that beat a list's worst entry are passed on. Both samples are bounded per node, so a node that very
     many lists contain is in a bounded number of groups.
     """
-    endless = F.lit(float("inf")).cast("float")
+    endless = F.lit(float("inf"))
     keyed = nodes.select("node", "code", F.posexplode("keys").alias("t", "key"))
     sizes = keyed.groupBy("t", "key").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     keyed = keyed.join(sizes, ["t", "key"]).withColumn("part", F.pmod(_mixed_up("node", "t"), F.col("parts")))
     blocks = stored(keyed.groupBy("t", "key", "part").agg(_members("node", endless)), "blocks")
-    graph = stored(_best(_introduce(blocks, PER_BLOCK)), "graph")
+    graph = stored(_best(_introduce(blocks, PER_BLOCK, kind)), "graph")
     chance = blocks.where(F.col("t") == TABLES - 1).select(F.col("members.node").alias("all"))
     chance = chance.select("all", F.posexplode("all").alias("at", "u"))
     around = F.transform(F.sequence(F.lit(1), F.lit(FAR)), lambda i: F.get("all", ((F.col("at") + i) % F.size("all")).cast("int")))
@@ -142,7 +148,7 @@ def neighbour_graph(nodes: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
         pairs = sampled.select(F.col("u").alias("centre"), F.col("v").alias("m")).unionByName(sampled.select(F.col("v").alias("centre"), F.col("u").alias("m"))).distinct()
         known = codes.join(graph.select(F.col("u").alias("m"), worst.alias("worst")), "m", "left").select("m", "code", F.coalesce("worst", endless).alias("worst"))
         groups = pairs.join(known, "m").groupBy("centre").agg(_members("m", F.col("worst")))
-        graph = stored(_best(_edges(graph).unionByName(_introduce(groups, DEGREE))), "graph")
+        graph = stored(_best(_edges(graph).unionByName(_introduce(groups, DEGREE, kind))), "graph")
     return graph, far
 
 
@@ -156,49 +162,52 @@ def _adjacency(graph: DataFrame, far: DataFrame, nodes: DataFrame) -> DataFrame:
     return links.groupBy("u").agg(F.collect_list(F.struct("v", "code")).alias("links"))
 
 
-def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(q, code, bound, links) to (q, v, d): linked nodes nearer than the bound, at most a beam per query."""
-    for whole in batches:
-        for a in range(0, len(whole), ROWS):
-            batch = whole.slice(a, ROWS)
-            links = batch.column("links")
-            counts = links.value_lengths().to_numpy()
-            inner = links.flatten()
-            if not len(inner):
-                continue
-            x = np.frombuffer(b"".join(inner.field("code").to_pylist()), np.float16).reshape(len(inner), -1).astype(np.float32)
-            own = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.float16).reshape(len(batch), -1).astype(np.float32)
-            q = np.repeat(batch.column("q").to_numpy(), counts)
-            v, d = inner.field("v").to_numpy(), _squares(x, np.repeat(own, counts, axis=0))
-            keep = np.flatnonzero(d < np.repeat(batch.column("bound").to_numpy(), counts))
-            _, first = np.unique(np.stack([q[keep], v[keep]]), axis=1, return_index=True)
-            keep = keep[first]
-            keep = keep[np.lexsort((v[keep], d[keep], q[keep]))]
-            new = np.flatnonzero(np.diff(q[keep], prepend=q[keep][:1] - 1)) if len(keep) else keep
-            rank = np.arange(len(keep)) - np.repeat(new, np.diff(new, append=len(keep)))
-            keep = keep[rank < BEAM]
-            yield pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(v[keep]), pa.array(d[keep])], ["q", "v", "d"])
-
-
-def _search(queries: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+def _measured(most: int, kind: str) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(q, code, bound, links) to (q, v, d): linked nodes nearer than the bound, at most ``most`` per query."""
+        for whole in batches:
+            for a in range(0, len(whole), ROWS):
+                batch = whole.slice(a, ROWS)
+                links = batch.column("links")
+                counts = links.value_lengths().to_numpy()
+                inner = links.flatten()
+                if not len(inner):
+                    continue
+                x, own = _vectors(inner.field("code"), kind), _vectors(batch.column("code"), kind)
+                q = np.repeat(batch.column("q").to_numpy(), counts)
+                v, d = inner.field("v").to_numpy(), _squares(x, np.repeat(own, counts, axis=0))
+                keep = np.flatnonzero(d < np.repeat(batch.column("bound").to_numpy(), counts))
+                _, first = np.unique(np.stack([q[keep], v[keep]]), axis=1, return_index=True)
+                keep = keep[first]
+                keep = keep[np.lexsort((v[keep], d[keep], q[keep]))]
+                new = np.flatnonzero(np.diff(q[keep], prepend=q[keep][:1] - 1)) if len(keep) else keep
+                rank = np.arange(len(keep)) - np.repeat(new, np.diff(new, append=len(keep)))
+                keep = keep[rank < most]
+                yield pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(v[keep]), pa.array(d[keep])], ["q", "v", "d"])
+
+    return run
+
+
+def _search(queries: DataFrame, nodes: DataFrame, links: DataFrame, most: int, kind: str) -> DataFrame:
     """(q, v, d): the beam of each query (q, code) when none of its nodes is left to look around from.
 
     A step looks around from all nodes of the beam that it has not yet looked around from. Beams are rows;
-    a query never has more than its beam, and what a task passes on is limited to a beam per query.
+    a query never has more than ``most``, and what a task passes on is limited to as many per query.
     """
-    endless = F.lit(float("inf")).cast("float")
-    entries = nodes.orderBy(_mixed_up("node", 7), "node").limit(ENTRIES).select(F.collect_list("node").alias("e")).first().e
-    starts = F.array_distinct(F.concat(F.array("q"), F.lit(entries).cast("array<bigint>")))
-    # entries are measured like all others once some node leads to them; until then they only lead on
-    beam = stored(queries.select("q", F.explode(starts).alias("v"), F.lit(3e38).cast("float").alias("d"), F.lit(False).alias("done")), "beam")
+    endless = F.lit(float("inf"))
+    measure = lambda rows: rows.select("q", "code", "bound", "links").mapInArrow(_measured(most, kind), "q bigint, v bigint, d double")
+    entries = nodes.orderBy(_mixed_up("node", 7), "node").limit(ENTRIES).select(F.collect_list(F.struct(F.col("node").alias("v"), "code")).alias("links"))
+    entries = measure(queries.withColumn("bound", endless).crossJoin(F.broadcast(entries)))
+    starts = queries.select("q", F.col("q").alias("v"), F.lit(0.0).alias("d")).unionByName(entries).distinct()
+    beam = stored(starts.withColumn("done", F.lit(False)), "beam")
     nearest = Window.partitionBy("q").orderBy("d", "v")
     while True:
-        bounds = beam.groupBy("q").agg(F.when(F.count("*") >= BEAM, F.max("d")).otherwise(endless).alias("bound"))
+        bounds = beam.groupBy("q").agg(F.when(F.count("*") >= most, F.max("d")).otherwise(endless).alias("bound"))
         front = beam.where("not done").select("q", F.col("v").alias("u")).join(bounds, "q").join(queries, "q")
-        near = front.hint("shuffle_hash").join(links, "u").select("q", "code", "bound", "links").mapInArrow(_measured, "q bigint, v bigint, d float")
+        near = measure(front.hint("shuffle_hash").join(links, "u"))
         rows = beam.withColumn("done", F.lit(True)).unionByName(near.withColumn("done", F.lit(False)))
         rows = rows.groupBy("q", "v").agg(F.min("d").alias("d"), F.max("done").alias("done"))
-        beam = stored(rows.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= BEAM).drop("rank"), "beam")
+        beam = stored(rows.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= most).drop("rank"), "beam")
         if beam.where("not done").isEmpty():
             return beam.select("q", "v", "d")
 
@@ -215,9 +224,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_i
     same distance, its ``k + 1`` least ids are all that an answer can need. Vectors that take no part
     are told in ``usable_vectors``; a query among them has no answer, and an empty table gives none.
 
-    The graph is built on vectors scaled to 16-bit floats; the best of each search are then measured on
-    the original vectors. A search that ends next to its own node's links finds about 96 of 100 true
-    neighbours on uniform vectors of 64 dimensions, which are the hardest case.
+    Graph and search measure the original vectors in double precision: floats travel as they are, other
+    numbers as doubles moved by one power of two, which rounds nothing. So the answer is the ``k`` nearest
+    of all that a search has met, however close they lie together or far one of them lies away.
     """
     spark = vectors.sparkSession
     rows = stored(usable_vectors(vectors, key, vector), "vectors")
@@ -230,24 +239,22 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_i
     asked = rows.where(is_query).join(least, "vector").select(F.col("id").alias("query_id"), F.col("node").alias("q"))
     asked = stored(asked, "queries")
 
-    n, scale = plain.agg(F.count("*"), F.max(F.array_max(F.transform("vector", F.abs)))).first()
+    exact = isinstance(vectors.schema[vector].dataType.elementType, T.FloatType | T.ByteType | T.ShortType)  # as 32-bit floats
+    kind, most = "f4" if exact else "f8", max(BEAM, 2 * k)
+    n, largest = plain.agg(F.count("*"), F.max(F.array_max(F.transform("vector", F.abs)))).first()
     bits = max(0, math.ceil(math.log2(max(n, 1) / BLOCK)))
-    nodes = stored(plain.mapInArrow(_coded(scale or 1.0, bits), "node bigint, code binary, keys array<bigint>"), "codes")
-    graph, far = neighbour_graph(nodes, n)
+    power = TOP if exact else math.frexp(largest or 1.0)[1]
+    nodes = stored(plain.mapInArrow(_coded(kind, TOP - power, bits), "node bigint, code binary, keys array<bigint>"), "codes")
+    graph, far = neighbour_graph(nodes, kind)
     links = _adjacency(graph, far, nodes).sortWithinPartitions("u").persist(StorageLevel.MEMORY_AND_DISK)
     queries = stored(asked.select("q").distinct().join(nodes.select(F.col("node").alias("q"), "code"), "q"), "query-codes")
-    beam = _search(queries, nodes, links)
+    beam = _search(queries, nodes, links, most, kind)
     links.unpersist()
 
-    best = Window.partitionBy("q").orderBy("d", "v")
-    near = beam.where(F.col("v") != F.col("q")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= RESCORED).select("q", "v")
-    near = near.unionByName(queries.select("q", F.col("q").alias("v")))
-    side = lambda name: plain.select(F.col("node").alias(name), F.col("vector").alias(f"{name}_vector"))
-    gap = F.zip_with("q_vector", "v_vector", lambda a, b: (a - b) * (a - b))
-    score = F.sqrt(F.aggregate(gap, F.lit(0.0), lambda total, x: total + x))
-    scored = near.join(side("q"), "q").join(side("v"), "v").select("q", "v", score.alias("score"))
+    score = F.sqrt("d") * 2.0 ** (1 - TOP) * 2.0 ** (power - 1)
     first = Window.partitionBy("q").orderBy("score", "v")
-    scored = stored(scored.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k + 1).drop("rank"), "nearest-nodes")
+    scored = beam.select("q", "v", score.alias("score")).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k + 1)
+    scored = stored(scored.drop("rank"), "nearest-nodes")
     found = scored.join(members, "v").join(asked, "q").where(F.col("id") != F.col("query_id"))
     order = Window.partitionBy("query_id").orderBy("score", "id")
     found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

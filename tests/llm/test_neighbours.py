@@ -61,3 +61,26 @@ def test_odd_rows(spark):
     assert neighbours.nearest(vectors(spark, rows).limit(0), F.lit(True)).collect() == []
     assert answers(neighbours.nearest(vectors(spark, [(5, [1.0, 1.0])]), F.lit(True))) == {}
     assert answers(neighbours.nearest(vectors(spark, rows), F.lit(False))) == {}
+
+
+def test_near_copies_and_a_far_component(spark):
+    draw = np.random.default_rng(5)
+    base = draw.normal(size=64)
+    base /= np.linalg.norm(base)
+    family = [(i, (base + 1e-5 * draw.normal(size=64)).astype(np.float32).tolist()) for i in range(1500)]
+    other = [(i, draw.normal(size=64).astype(np.float32).tolist()) for i in range(1500, 2000)]
+    asked = set(range(0, 2000, 40))
+    for far in ([], [(2000, [1e8] + [0.0] * 63)]):
+        rows = family + other + far
+        assert recall(answers(neighbours.nearest(vectors(spark, rows), F.col("id") % 40 == 0)), exact(rows, 10, asked)) >= 0.95
+
+
+def test_doubles_of_any_size(spark):
+    draw = np.random.default_rng(6)
+    for size in (1e-200, 1.0, 1e308):
+        rows = [(i, ((1 + 1e-12 * draw.normal(size=6)) * size).tolist()) for i in range(200)]
+        df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+        got, numbers = answers(neighbours.nearest(df, F.col("id") < 5, k=3)), dict(rows)
+        for q in range(5):
+            want = sorted((math.dist(numbers[q], x), i) for i, x in rows if i != q)[:3]
+            assert np.allclose([s / size for s, _ in got[q]], [s / size for s, _ in want], rtol=1e-9, atol=0)
