@@ -20,12 +20,14 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("aside audio button canvas dialog footer form head iframe input math menu nav noscript object option script select style svg template textarea title video".split())
+SKIPPED = frozenset("audio button canvas head iframe input math noscript object option script select style svg template textarea title video".split())
+BESIDE_TAGS = frozenset("aside dialog footer form menu nav".split())
 BESIDE = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer form login "
     "masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related replies reply share sharing "
     "sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+TALK = frozenset("comment comments disqus replies reply".split())
 ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 #: An open element of the first kind ends where one of the second begins.
 ENDED_BY = {
@@ -35,6 +37,7 @@ ENDED_BY = {
 }
 
 OUTER = 0.6
+MOST, MOST_TALK = 0.5, 0.9  # an element with more of the page's prose than this is not beside the article, whatever its name
 
 _DECLARATION = re.compile(r"<!\[[^>]*>")
 _TOKENS = re.compile(r"[^a-z0-9]+")
@@ -47,25 +50,62 @@ class Page(HTMLParser):
     An element is a number; ``parent`` and ``path`` give its parent and the digest of its generalised
     path: tags with their classes from the root, digits replaced, so that its size does not grow with
     the depth. ``blocks`` has (element, text, characters inside links) of blocks not beside the article.
+
+    What lies beside the article is decided when the whole page is known, for a name or tag is a guess:
+    see ``_kept``.
     """
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.parent, self.path, self.blocks = [-1], [""], []
         self.article = [-1]  # the nearest article or main element around or at an element
+        self.beside = [-1]  # the nearest element around or at an element that seems to lie beside the article
+        self.talk = set()  # those of them that seem to hold comments
         self.stack = [("", 0, False, False)]  # tag, element, skipped, inline
         self.open = Counter()
-        self.buffer, self.linked = [], 0
+        self.pieces, self.buffer = [], []  # blocks as (element, pieces); a piece is (element, text, whether in a link)
         self.feed(_DECLARATION.sub("", html))
         self.close()
         self._flush()
+        kept = self._kept()
+        for element, pieces in self.pieces:
+            pieces = [x for x in pieces if self.beside[x[0]] in kept]
+            if text := " ".join("".join(x[1] for x in pieces).split()):
+                self.blocks.append((element, text, sum(len(x[1]) for x in pieces if x[2])))
 
     def _flush(self) -> None:
-        text = " ".join("".join(self.buffer).split()) if self.buffer else ""
-        if text:
+        if self.buffer:
             element = next(e for _, e, _, inline in reversed(self.stack) if not inline)
-            self.blocks.append((element, text, self.linked))
-        self.buffer, self.linked = [], 0
+            self.pieces.append((element, self.buffer))
+            self.buffer = []
+
+    def _kept(self) -> set[int]:
+        """Elements that seemed to lie beside the article and do not; -1 stands for no such element around.
+
+        Prose counts for the nearest such element. One with most of the page's prose is no side matter.
+        If no article or main element lies outside all of them, neither is the one with most prose in
+        such elements, of those that the fewest others surround. What surrounds a kept one is kept.
+        """
+        prose, article = Counter(), Counter()
+        for _, pieces in self.pieces:
+            for e, text, linked in pieces:
+                worth = 0 if linked else len(" ".join(text.split()))
+                prose[self.beside[e]] += worth
+                if self.article[e] >= 0:
+                    article[self.beside[e]] += worth
+        total, kept = prose.total(), {-1}
+        above, depth = {}, {-1: 0}
+        for e in sorted(set(self.beside) - {-1}):  # parents come first
+            above[e] = self.beside[self.parent[e]]
+            depth[e] = depth[above[e]] + 1
+        inside = [e for e in above if prose[e] > total * (MOST_TALK if e in self.talk else MOST)]
+        if article[-1] == 0 and +article:
+            inside.append(min((e for e in above if article[e]), key=lambda e: (depth[e], -article[e], e)))
+        for e in inside:
+            while e not in kept:
+                kept.add(e)
+                e = above[e]
+        return kept
 
     def _pop(self) -> None:
         tag, _, _, inline = self.stack[-1]
@@ -74,20 +114,24 @@ class Page(HTMLParser):
         self.stack.pop()
         self.open[tag] -= 1
 
-    def _beside(self, tag: str, attrs: dict) -> bool:
-        if tag in SKIPPED or attrs.get("role") in ROLES or "hidden" in attrs:
-            return True
+    def _seems_beside(self, tag: str, attrs: dict) -> tuple[bool, bool]:
+        """Whether an element seems to lie beside the article, and whether it seems to hold comments."""
+        named = False, False
+        if tag not in ("html", "body", "article", "main", "header"):
+            names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split()
+            parts = [[x for x in _TOKENS.split(name) if x] for name in names]
+            words = {x for p in parts if p for x in (p[0], p[-1])}  # words in the middle tell of other things, such as a wrapper
+            named = not BESIDE.isdisjoint(words), not TALK.isdisjoint(words)
+        if tag in BESIDE_TAGS or attrs.get("role") in ROLES or "hidden" in attrs:
+            return True, named[1]
         if tag == "header":  # a page's header; an article's own header holds its title
-            return not (self.open["article"] or self.open["main"])
-        if tag in ("html", "body", "article", "main"):
-            return False
-        names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower()
-        return names != " " and not BESIDE.isdisjoint(_TOKENS.split(names))
+            return not (self.open["article"] or self.open["main"]), False
+        return named
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in VOID:
             if tag == "br":
-                self.buffer.append(" ")
+                self.buffer.append((self.stack[-1][1], " ", False))
             elif tag == "hr":
                 self._flush()
             return
@@ -104,7 +148,11 @@ class Page(HTMLParser):
         self.parent.append(above)
         self.article.append(len(self.parent) - 1 if tag in ("article", "main") else self.article[above])
         self.path.append(self.path[above] if inline else xxhash.xxh3_128_hexdigest(f"{self.path[above]}/{tag}.{classes}"))
-        self.stack.append((tag, len(self.parent) - 1, skipped or self._beside(tag, attrs), inline))
+        seems, talk = self._seems_beside(tag, attrs)
+        self.beside.append(len(self.parent) - 1 if seems else self.beside[above])
+        if talk:
+            self.talk.add(len(self.parent) - 1)
+        self.stack.append((tag, len(self.parent) - 1, skipped or tag in SKIPPED, inline))
         self.open[tag] += 1
 
     def handle_endtag(self, tag: str) -> None:
@@ -117,9 +165,7 @@ class Page(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.stack[-1][2]:
-            self.buffer.append(data)
-            if self.open["a"]:
-                self.linked += len(data)
+            self.buffer.append((self.stack[-1][1], data, self.open["a"] > 0))
 
     def scores(self) -> dict[int, float]:
         """Containers by the prose in them, where text in links counts against it.
@@ -206,7 +252,8 @@ def main_texts(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
 
     Each page's containers are scored by the prose in them, without blocks in menus, page headers,
     footers, sidebars, notices, adverts, forms, scripts, styles and comments, which are told by element,
-    role, class or id. Pages vote on generalised tag-class paths; per host the path with the most votes
+    role, or the first or last part of a class or id. An element told so that holds the article or most
+    of the page's prose, such as a form or layout around the whole page, is not left out. Pages vote on generalised tag-class paths; per host the path with the most votes
     wins, and the text of every page is taken again from its containers on that path. A page without one
     uses its own best container. Character references are decoded, white space in a block becomes one
     space, and blocks are joined by one space in page order.

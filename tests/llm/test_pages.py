@@ -82,3 +82,14 @@ def test_deep_and_broken_pages():
     assert html_text.page_text("<main><table><tr><td>x<td>y<tr><td>z</table></main>", None) == "x y z"
     sections = "".join(f"<section><div><p>{'word ' * n}end</p></div></section>" for n in (90, 20, 5))
     assert html_text.page_text(f"<body><div><article>{sections}</article></div><p>outside</body>", None).count("end") == 3
+
+
+def test_names_and_forms_around_the_article():
+    side = '<div class="sidebar"><p>Popular things.</p></div><div id="comments"><article class="comment"><p>A reader says a lot.</p></article></div>'
+    for wrap in ("div class='content-sidebar-wrap'", "div class='has-sidebar'", "div class='no-sidebar'", "div class='elementor-widget-container'", "div class='nav-scrolled page'", "form id='aspnetForm'", "span class='no-sidebar'"):
+        end = wrap.split()[0]
+        for inner in (f"<article><p>{BODY}</p></article>", f"<div class='post'><p>{BODY} {BODY}</p></div>"):
+            html = f"<body><{wrap}><div class='menu-open'>{inner}{side}</div></{end}><footer>Site</footer></body>"
+            assert html_text.page_text(html, None) == " ".join([BODY] * inner.count(BODY)), (wrap, inner)
+    # an article outside what seems to lie beside it leaves comments out, however they are marked
+    assert html_text.page_text(f"<article><p>{BODY}</p></article>{side}", None) == BODY
