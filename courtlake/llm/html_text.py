@@ -37,7 +37,10 @@ ENDED_BY = {
 }
 
 OUTER = 0.6
-MOST, MOST_TALK = 0.5, 0.9  # an element with more of the page's prose than this is not beside the article, whatever its name
+MOST, MOST_SURE = 0.5, 0.9  # an element with more of the page's prose than this is not beside the article, whatever its name or tag
+NEARLY = 0.95  # of a page's prose is held by its own container
+SHARE = 0.05  # of a host's votes makes a path one of the host's
+HALF, LITTLE = 0.5, 0.2  # of a page's prose: a path of its host with the first is taken, none is with less than the second
 
 _DECLARATION = re.compile(r"<!\[[^>]*>")
 _TOKENS = re.compile(r"[^a-z0-9]+")
@@ -58,9 +61,10 @@ class Page(HTMLParser):
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.parent, self.path, self.blocks = [-1], [""], []
+        self.tag = [""]
         self.article = [-1]  # the nearest article or main element around or at an element
         self.beside = [-1]  # the nearest element around or at an element that seems to lie beside the article
-        self.talk = set()  # those of them that seem to hold comments
+        self.sure = set()  # those of them that do so by their tag, or seem to hold comments
         self.stack = [("", 0, False, False)]  # tag, element, skipped, inline
         self.open = Counter()
         self.pieces, self.buffer = [], []  # blocks as (element, pieces); a piece is (element, text, whether in a link)
@@ -82,9 +86,10 @@ class Page(HTMLParser):
     def _kept(self) -> set[int]:
         """Elements that seemed to lie beside the article and do not; -1 stands for no such element around.
 
-        Prose counts for the nearest such element. One with most of the page's prose is no side matter.
-        If no article or main element lies outside all of them, neither is the one with most prose in
-        such elements, of those that the fewest others surround. What surrounds a kept one is kept.
+        There are none if text of an article or main element lies outside all elements that seemed so.
+        Prose counts for the nearest such element. One with most of the page's prose is no side matter;
+        without one that with most prose in article or main elements, of those that the fewest others
+        surround. What surrounds a kept one is kept.
         """
         prose, article = Counter(), Counter()
         for _, pieces in self.pieces:
@@ -94,12 +99,14 @@ class Page(HTMLParser):
                 if self.article[e] >= 0:
                     article[self.beside[e]] += worth
         total, kept = prose.total(), {-1}
+        if article[-1]:
+            return kept
         above, depth = {}, {-1: 0}
         for e in sorted(set(self.beside) - {-1}):  # parents come first
             above[e] = self.beside[self.parent[e]]
             depth[e] = depth[above[e]] + 1
-        inside = [e for e in above if prose[e] > total * (MOST_TALK if e in self.talk else MOST)]
-        if article[-1] == 0 and +article:
+        inside = [e for e in above if prose[e] > total * (MOST_SURE if e in self.sure else MOST)]
+        if not inside and +article:
             inside.append(min((e for e in above if article[e]), key=lambda e: (depth[e], -article[e], e)))
         for e in inside:
             while e not in kept:
@@ -115,7 +122,7 @@ class Page(HTMLParser):
         self.open[tag] -= 1
 
     def _seems_beside(self, tag: str, attrs: dict) -> tuple[bool, bool]:
-        """Whether an element seems to lie beside the article, and whether it seems to hold comments."""
+        """Whether an element seems to lie beside the article, and whether its tag says so or it seems to hold comments."""
         named = False, False
         if tag not in ("html", "body", "article", "main", "header"):
             names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split()
@@ -123,7 +130,7 @@ class Page(HTMLParser):
             words = {x for p in parts if p for x in (p[0], p[-1])}  # words in the middle tell of other things, such as a wrapper
             named = not BESIDE.isdisjoint(words), not TALK.isdisjoint(words)
         if tag in BESIDE_TAGS or attrs.get("role") in ROLES or "hidden" in attrs:
-            return True, named[1]
+            return True, named[1] or tag in BESIDE_TAGS and tag != "form"
         if tag == "header":  # a page's header; an article's own header holds its title
             return not (self.open["article"] or self.open["main"]), False
         return named
@@ -146,12 +153,13 @@ class Page(HTMLParser):
         _, above, skipped, _ = self.stack[-1]
         classes = _DIGITS.sub("N", " ".join(sorted((attrs.get("class") or "").lower().split())))
         self.parent.append(above)
+        self.tag.append(tag)
         self.article.append(len(self.parent) - 1 if tag in ("article", "main") else self.article[above])
         self.path.append(self.path[above] if inline else xxhash.xxh3_128_hexdigest(f"{self.path[above]}/{tag}.{classes}"))
-        seems, talk = self._seems_beside(tag, attrs)
+        seems, sure = self._seems_beside(tag, attrs)
         self.beside.append(len(self.parent) - 1 if seems else self.beside[above])
-        if talk:
-            self.talk.add(len(self.parent) - 1)
+        if sure:
+            self.sure.add(len(self.parent) - 1)
         self.stack.append((tag, len(self.parent) - 1, skipped or tag in SKIPPED, inline))
         self.open[tag] += 1
 
@@ -185,66 +193,103 @@ class Page(HTMLParser):
                 at, share = self.parent[at], share * OUTER
         return out
 
-    def text(self, container: Callable[[int], bool]) -> str:
-        """The blocks inside elements that ``container`` accepts, in page order."""
+    def own(self) -> int:
+        """The page's own container; -1 on a page without text.
+
+        That with the best score, or the smallest around it that holds nearly all of the page's prose,
+        and its headings as far as something smaller than the body does. An article or main element is
+        not widened, and what lies in one is widened to it at most.
+        """
+        scores = self.scores()
+        if not scores:
+            return -1
+        at = max(scores, key=lambda e: (scores[e], -e))
+        if self.article[at] >= 0:
+            return self.article[at]
+        within, headings, total = Counter(), Counter(), 0
+        for element, text, linked in self.blocks:
+            worth, heading = max(0, len(text) - 2 * linked), self.tag[element] in ("h1", "h2")
+            total += worth
+            while element >= 0:
+                within[element] += worth
+                headings[element] += heading
+                element = self.parent[element]
+        around = [at]
+        while self.parent[around[-1]] >= 0:
+            around.append(self.parent[around[-1]])
+        first = next(i for i, e in enumerate(around) if within[e] >= NEARLY * total)
+        smaller = [e for e in around[first:] if self.tag[e] not in ("", "html", "body")]
+        return max(smaller, key=lambda e: (headings[e], e)) if smaller else around[first]
+
+    def inside(self, container: Callable[[int], bool]) -> list[bool]:
+        """For each element whether it lies inside one that ``container`` accepts."""
         inside = [False] * len(self.parent)
         for e in range(len(self.parent)):  # parents come first
             inside[e] = container(e) or (self.parent[e] >= 0 and inside[self.parent[e]])
+        return inside
+
+    def text(self, inside: list[bool]) -> str:
         return " ".join(text for element, text, _ in self.blocks if inside[element])
 
+    def share(self, inside: list[bool]) -> float:
+        """The part of the page's text that lies inside."""
+        return sum(len(text) for element, text, _ in self.blocks if inside[element]) / max(1, sum(len(text) for _, text, _ in self.blocks))
 
-def page_votes(html: str) -> list[tuple[str, float]]:
-    """The container paths of a page with their shares of its prose; the shares add up to 1."""
-    page, paths = Page(html), Counter()
-    for element, score in page.scores().items():
-        if score > 0:
-            paths[page.path[element]] += score
-    total = sum(paths.values())
-    return [(path, score / total) for path, score in paths.items()]
 
-
-def page_text(html: str, path: str | None) -> str:
-    """The text in the containers of ``path``; without such a container, in the page's own best one."""
+def page_votes(html: str) -> list[tuple[str, float]]:
+    """The page's vote: the path of its own container with share 1; none without text."""
     page = Page(html)
-    if path is not None:
-        text = page.text(lambda e: page.path[e] == path)
-        if text:
-            return text
-    scores = page.scores()
-    if not scores:
-        return ""
-    best = max(scores, key=lambda e: (scores[e], -e))
-    return page.text(lambda e: e == best)
+    own = page.own()
+    return [(page.path[own], 1.0)] if own >= 0 else []
 
 
-VOTE = "array<struct<path:string,share:double>>"
-_ARROW_VOTE = pa.list_(pa.struct([("path", pa.string()), ("share", pa.float64())]))
+def page_text(html: str, paths: list[str] | None) -> str:
+    """The text in the containers of one of ``paths``, or in the page's own.
+
+    The first path with half of the page's text counts, otherwise that with most of it. If this is but
+    little, the page is of another kind, and its own container counts.
+    """
+    page, best, most = Page(html), None, LITTLE
+    have = set(page.path) if paths else ()
+    for path in paths or []:
+        if path in have:
+            inside = page.inside(lambda e, path=path: page.path[e] == path)
+            share = page.share(inside)
+            if share >= most:
+                best, most = inside, share
+            if share >= HALF:
+                break
+    if best is not None:
+        return page.text(best)
+    own = page.own()
+    return page.text(page.inside(lambda e: e == own)) if own >= 0 else ""
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        votes = [[{"path": p, "share": s} for p, s in page_votes(html)] for html in batch.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(votes, _ARROW_VOTE)], ["host", "votes"])
+        votes = [next((path for path, _ in page_votes(html)), None) for html in batch.column("html").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(votes, pa.string())], ["host", "path"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [page_text(html, path) for html, path in zip(batch.column("html").to_pylist(), batch.column("winner").to_pylist(), strict=True)]
+        texts = [page_text(html, paths) for html, paths in zip(batch.column("html").to_pylist(), batch.column("winners").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("url"), pa.array(texts, pa.string())], ["k", "url", "text"])
 
 
 def host_paths(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """One row (host, winner) per host: the container path with the largest share of its pages' prose.
+    """One row (host, winners) per host: the paths of its pages' own containers, the commonest first.
 
-    Every page has one vote, split by the prose in its containers. Votes are rounded to six places
-    before they are added, so that the sum does not depend on the order; ties go to the smaller digest.
+    Every page with text has one vote. A path needs ``SHARE`` of the host's votes, so there are few; the
+    commonest path always counts. Ties go to the greater digest.
     """
     host = host_and_path(F.col(url))[0]
     votes = pages.where(F.col(html).isNotNull()).select(host.alias("host"), F.col(html).alias("html"))
-    votes = votes.mapInArrow(_votes, f"host string, votes {VOTE}").select("host", F.explode("votes").alias("vote"))
-    share = F.sum(F.round(F.col("vote.share") * 1_000_000).cast("long"))
-    paths = votes.groupBy("host", F.col("vote.path").alias("path")).agg(share.alias("share"))
-    return paths.groupBy("host").agg(F.max_by("path", F.struct("share", "path")).alias("winner"))
+    votes = votes.mapInArrow(_votes, "host string, path string").where(F.col("path").isNotNull())
+    paths = stored(votes.groupBy("host", "path").agg(F.count("*").alias("votes")), "path-votes")
+    hosts = paths.groupBy("host").agg(F.sum("votes").alias("all"), F.max(F.struct("votes", "path"))["path"].alias("top"))
+    paths = paths.join(hosts, "host").where((F.col("votes") >= F.col("all") * SHARE) | (F.col("path") == F.col("top")))
+    return paths.groupBy("host").agg(F.reverse(F.array_sort(F.collect_list(F.struct("votes", "path"))))["path"].alias("winners"))
 
 
 def main_texts(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -253,10 +298,12 @@ def main_texts(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
     Each page's containers are scored by the prose in them, without blocks in menus, page headers,
     footers, sidebars, notices, adverts, forms, scripts, styles and comments, which are told by element,
     role, or the first or last part of a class or id. An element told so that holds the article or most
-    of the page's prose, such as a form or layout around the whole page, is not left out. Pages vote on generalised tag-class paths; per host the path with the most votes
-    wins, and the text of every page is taken again from its containers on that path. A page without one
-    uses its own best container. Character references are decoded, white space in a block becomes one
-    space, and blocks are joined by one space in page order.
+    of the page's prose, such as a form or layout around the whole page, is not left out. Pages vote for the
+    generalised tag-class path of their own container (``Page.own``); all paths with a share of a host's
+    votes are the host's, one for each of its templates, and the text of every page is taken again from
+    its containers on one of them (``page_text``). A page that these paths hold little of uses its own.
+    Character references are decoded, white space in a block becomes one space, and blocks are joined by
+    one space in page order.
 
     Null or empty HTML gives an empty text. Pages with a null URL, or without ``://``, vote as one host.
     Repeated rows give repeated results. Votes are combined before the shuffle, one row per host and
@@ -266,7 +313,7 @@ def main_texts(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
     winners = stored(host_paths(pages, url, html).withColumnRenamed("host", "w_host"), "host-paths")
     host = host_and_path(F.col("url"))[0]
     rows = pages.select(F.col(key).alias("k"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    rows = rows.join(winners, host == F.col("w_host"), "left").select("k", "url", "html", "winner")
+    rows = rows.join(winners, host == F.col("w_host"), "left").select("k", "url", "html", "winners")
     k_type = rows.schema["k"].dataType.simpleString()
     texts = rows.mapInArrow(_texts, f"k {k_type}, url string, text string")
     return texts.select(F.col("k").alias(key), F.col("url").alias(url), "text", F.length("text").cast("long").alias("n_chars"))

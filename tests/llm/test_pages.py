@@ -93,3 +93,18 @@ def test_names_and_forms_around_the_article():
             assert html_text.page_text(html, None) == " ".join([BODY] * inner.count(BODY)), (wrap, inner)
     # an article outside what seems to lie beside it leaves comments out, however they are marked
     assert html_text.page_text(f"<article><p>{BODY}</p></article>{side}", None) == BODY
+
+
+def test_title_intro_outro_and_second_template(spark):
+    parts = f"<h1>Title</h1><div class=intro>Intro. {BODY}</div><div class=body>{''.join(f'<p>{BODY} {i}</p>' for i in range(9))}</div><div class=outro>Outro.</div>"
+    want = f"Title Intro. {BODY} {' '.join(f'{BODY} {i}' for i in range(9))} Outro."
+    first = f"<html><body><div class=top><a href=/>Home</a></div><div class=post>{parts}</div></body></html>"
+    second = f"<html><body><div class=post><div class=body>A few words.</div></div><div class=story><h2>Other</h2><p>{BODY}</p><p>{BODY} {BODY}</p></div></body></html>"
+    rows = [(i, "http://a.org/", first) for i in range(30)] + [(i, "http://a.org/", second) for i in range(30, 33)]
+    got = {r.page_id: r.text for r in html_text.main_texts(pages(spark, rows)).collect()}
+    assert all(got[i] == want for i in range(30))
+    assert all("Other" in got[i] and got[i].count(BODY) == 3 for i in range(30, 33))
+
+
+def test_short_article_above_a_long_footer():
+    assert html_text.page_text(f"<article><p>Tiny.</p></article><div class='ad'>{BODY} {BODY}</div><footer>{BODY} {BODY}</footer>", None) == "Tiny."
