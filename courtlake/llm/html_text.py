@@ -42,7 +42,6 @@ NEARLY = 0.95  # of a page's prose is held by its own container
 SHARE = 0.05  # of a host's votes makes a path one of the host's
 HALF, LITTLE = 0.5, 0.2  # of a page's prose: a path of its host with the first is taken, none is with less than the second
 
-_DECLARATION = re.compile(r"<!\[[^>]*>")
 _TOKENS = re.compile(r"[^a-z0-9]+")
 _DIGITS = re.compile(r"\d+")
 
@@ -68,7 +67,7 @@ class Page(HTMLParser):
         self.stack = [("", 0, False, False)]  # tag, element, skipped, inline
         self.open = Counter()
         self.pieces, self.buffer = [], []  # blocks as (element, pieces); a piece is (element, text, whether in a link)
-        self.feed(_DECLARATION.sub("", html))
+        self.feed(html)
         self.close()
         self._flush()
         kept = self._kept()
@@ -135,6 +134,19 @@ class Page(HTMLParser):
             return not (self.open["article"] or self.open["main"]), False
         return named
 
+    def parse_html_declaration(self, i: int) -> int:
+        """The end of a declaration; one that begins with ``<![`` ends at the next ``>``, whatever it says."""
+        if self.rawdata.startswith("<![", i):
+            return self.rawdata.find(">", i) + 1 or -1
+        return super().parse_html_declaration(i)
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        """The end of a comment; ``<!-->`` and ``<!--->`` are whole ones."""
+        for whole in ("<!-->", "<!--->"):
+            if self.rawdata.startswith(whole, i):
+                return i + len(whole)
+        return super().parse_comment(i, report)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in VOID:
             if tag == "br":

@@ -108,3 +108,10 @@ def test_title_intro_outro_and_second_template(spark):
 
 def test_short_article_above_a_long_footer():
     assert html_text.page_text(f"<article><p>Tiny.</p></article><div class='ad'>{BODY} {BODY}</div><footer>{BODY} {BODY}</footer>", None) == "Tiny."
+
+
+def test_conditional_comments():
+    old = "<!--[if lt IE 9]><script src=x></script><p>Old.</p><![endif]-->"
+    for html in (f"{old}<p>{BODY}</p><!-- end --><p>More.</p>", f"<p>{BODY}</p>{old}<p>More.</p>", f"<!--[if !IE]><!--><p>{BODY}</p><!--<![endif]--><p>More.</p>", f"<![if !IE]><p>{BODY}</p><![endif]><!--><p>More.</p><!-- x -->"):
+        assert html_text.page_text(f"<body>{html}</body>", None) == f"{BODY} More.", html
+    assert html_text.page_text("<p>a<![CDATA[b]]>c<![odd name]>d<script>var a='<![x';</script>e", None) == "acd e"
