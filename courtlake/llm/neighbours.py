@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Iterator
 
@@ -17,7 +18,8 @@ from courtlake.llm.words import mixed
 
 DEGREE = 24  # neighbours that a node keeps
 SAMPLE = 11  # neighbours, and nodes that have it as neighbour, of which a node introduces each to each
-ROUNDS = 3  # of neighbours of neighbours
+CHANGED = 0.05  # rounds of neighbours of neighbours go on while more than this share of the lists' entries is new
+CENTRE = 500  # nodes whose median the hashing takes as the centre
 TABLES, BLOCK, PER_BLOCK = 4, 24, 8  # first neighbours: so many hashings into blocks of about BLOCK nodes
 FAR = 4  # random neighbours that stay, so that the graph hangs together
 BEAM = 500  # nodes that a search keeps; more for a k above its half
@@ -44,7 +46,7 @@ def usable_vectors(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.groupBy("id").agg(F.min("vector").alias("vector"))
 
 
-def _coded(kind: str, shift: int, bits: int) -> Callable:
+def _coded(kind: str, shift: int, bits: int, centre: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(node, vector) to (node, code, keys): the vector's own floats, moved by a power of two, and a block key per table."""
         for batch in batches:
@@ -53,7 +55,7 @@ def _coded(kind: str, shift: int, bits: int) -> Callable:
             x = np.stack(batch.column("vector").to_numpy(zero_copy_only=False))
             x = np.ldexp(x, shift)
             planes = np.random.default_rng(1).normal(size=(TABLES - 1, x.shape[1], bits))
-            signs = np.einsum("nd,tdb->ntb", x, planes) > 0
+            signs = np.einsum("nd,tdb->ntb", x - np.ldexp(centre, shift), planes) > 0
             keys = (signs * (1 << np.arange(bits))).sum(axis=2, dtype=np.int64)
             chance = mixed(batch.column("node").to_numpy().view(np.uint64)) % np.uint64(1 << bits)  # the last table is random
             keys = np.concatenate([keys, chance.astype(np.int64)[:, None]], axis=1)
@@ -121,10 +123,11 @@ def _mixed_up(*columns) -> Column:
 def neighbour_graph(nodes: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
     """The graph (u, neighbours) of ``nodes`` (node, code, keys), and random edges (u, v) that stay.
 
-    The first neighbours come from blocks of about ``BLOCK`` nodes: hashes by random hyperplanes, split at
-    random where crowded, and one table of random blocks. Then every node introduces a sample of its
-    neighbours, and of the nodes it is a neighbour of, to each other, for ``ROUNDS`` rounds; only pairs
-    that beat a list's worst entry are passed on. Both samples are bounded per node, so a node that very
+    The first neighbours come from blocks of about ``BLOCK`` nodes: hashes by random hyperplanes through
+    the centre, split at random where crowded, and one table of random blocks. Then every node introduces a sample of its
+    neighbours, and of the nodes it is a neighbour of, to each other, round by
+    round until few entries change; lists only get nearer, so this ends. Only pairs that beat a list's
+    worst entry are passed on. Both samples are bounded per node, so a node that very
     many lists contain is in a bounded number of groups.
     """
     endless = F.lit(float("inf"))
@@ -139,7 +142,7 @@ def neighbour_graph(nodes: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
     far = stored(chance.select("u", F.explode(around).alias("v")).where("u != v").distinct(), "far-edges")
 
     codes = nodes.select(F.col("node").alias("m"), "code")
-    for round_ in range(ROUNDS):
+    for round_ in itertools.count():
         worst = F.when(F.size("neighbours") == DEGREE, F.element_at("neighbours", -1)["d"]).otherwise(endless)
         picked = F.slice(F.array_sort(F.transform("neighbours", lambda x: F.struct(F.xxhash64(F.col("u"), x["v"], F.lit(round_)).alias("h"), x["v"].alias("v")))), 1, SAMPLE)
         sampled = graph.select("u", F.explode(picked).alias("p")).select("u", "p.v", "p.h")
@@ -148,8 +151,12 @@ def neighbour_graph(nodes: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
         pairs = sampled.select(F.col("u").alias("centre"), F.col("v").alias("m")).unionByName(sampled.select(F.col("v").alias("centre"), F.col("u").alias("m"))).distinct()
         known = codes.join(graph.select(F.col("u").alias("m"), worst.alias("worst")), "m", "left").select("m", "code", F.coalesce("worst", endless).alias("worst"))
         groups = pairs.join(known, "m").groupBy("centre").agg(_members("m", F.col("worst")))
+        old = graph.select("u", F.col("neighbours.v").alias("old"))
         graph = stored(_best(_edges(graph).unionByName(_introduce(groups, DEGREE, kind))), "graph")
-    return graph, far
+        new = F.size(F.array_except("neighbours.v", F.coalesce("old", F.array().cast("array<bigint>"))))
+        changed, entries = graph.join(old, "u", "left").agg(F.sum(new), F.sum(F.size("neighbours"))).first()
+        if not changed or changed <= CHANGED * entries:
+            return graph, far
 
 
 def _adjacency(graph: DataFrame, far: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -244,9 +251,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_i
     n, largest = plain.agg(F.count("*"), F.max(F.array_max(F.transform("vector", F.abs)))).first()
     bits = max(0, math.ceil(math.log2(max(n, 1) / BLOCK)))
     power = TOP if exact else math.frexp(largest or 1.0)[1]
-    nodes = stored(plain.mapInArrow(_coded(kind, TOP - power, bits), "node bigint, code binary, keys array<bigint>"), "codes")
+    middle = plain.orderBy(_mixed_up("node", 11), "node").limit(CENTRE).toArrow().column("vector").to_pylist()
+    centre = np.median(middle, axis=0) if middle else np.zeros(0)  # a median: one far vector does not move it
+    nodes = stored(plain.mapInArrow(_coded(kind, TOP - power, bits, centre), "node bigint, code binary, keys array<bigint>"), "codes")
     graph, far = neighbour_graph(nodes, kind)
-    links = _adjacency(graph, far, nodes).sortWithinPartitions("u").persist(StorageLevel.MEMORY_AND_DISK)
+    links = _adjacency(graph, far, nodes).sortWithinPartitions("u").persist(StorageLevel.DISK_ONLY)  # the codes of all links are many times the vectors
     queries = stored(asked.select("q").distinct().join(nodes.select(F.col("node").alias("q"), "code"), "q"), "query-codes")
     beam = _search(queries, nodes, links, most, kind)
     links.unpersist()

@@ -84,3 +84,14 @@ def test_doubles_of_any_size(spark):
         for q in range(5):
             want = sorted((math.dist(numbers[q], x), i) for i, x in rows if i != q)[:3]
             assert np.allclose([s / size for s, _ in got[q]], [s / size for s, _ in want], rtol=1e-9, atol=0)
+
+
+def test_vectors_far_from_the_origin(spark, monkeypatch):
+    draw = np.random.default_rng(8)
+    rows = [(i, (1000 + draw.normal(size=16)).astype(np.float32).tolist()) for i in range(1500)] + [(1500, [1e8] * 16)]
+    keys, run = [], neighbours.neighbour_graph
+    monkeypatch.setattr(neighbours, "neighbour_graph", lambda nodes, x: (keys.extend(r["keys"] for r in nodes.collect()), run(nodes, x))[1])
+    asked = set(range(0, 1500, 50))
+    got = answers(neighbours.nearest(vectors(spark, rows), (F.col("id") % 50 == 0) & (F.col("id") < 1500)))
+    assert recall(got, exact(rows, 10, asked)) >= 0.95
+    assert all(len({k[t] for k in keys}) > 20 for t in range(neighbours.TABLES - 1))  # of 64 blocks
