@@ -23,9 +23,8 @@ def load_documents(documents: DataFrame, tables: Tables, load_ts: dt.datetime) -
     required value are appended to the table's counterpart in layer ``rejects``; a repeated load
     lists them again.
 
-    Only the seasons from one before the batch's first on are searched for its keys. A row may stand
-    in a later season than its game (the load time stands in for an unknown date), never in one that
-    is more than a turn of the year earlier.
+    All seasons are searched for the batch's keys, since a row may come again with another date. Only the
+    key columns are read.
     """
     documents = documents.persist()  # parsed once for three tables; lost parts are parsed again
     try:
@@ -42,10 +41,9 @@ def _append_absent(batch: DataFrame, name: str, tables: Tables) -> None:
     if not rejected.isEmpty():
         tables.append(rejected, "rejects", name)
     key = schemas.KEYS[name]
-    first = usable.agg(F.min(F.year("game_date"))).first()[0]
-    if first is None:
+    if usable.isEmpty():
         return
-    existing = tables.read("public", name, schemas.SOURCE_TABLES[name], since_season=first - 1)
+    existing = tables.read("public", name, schemas.SOURCE_TABLES[name])
     order = [F.col(c).desc() for c in batch.columns if c not in key]
     fresh = insert_if_absent(usable, existing, key, order).withColumn(schemas.SEASON, F.year("game_date"))
     tables.append(fresh, "public", name, [schemas.SEASON])

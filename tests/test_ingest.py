@@ -177,6 +177,15 @@ def test_replay_adds_nothing(spark, tmp_path):
     assert tables.read("public", "games").first()["home_score"] == 100  # the first load wins
 
 
+def test_corrected_date_adds_nothing(spark, tmp_path):
+    tables, wrong = Tables(spark, str(tmp_path / "lake")), document()
+    for row in wrong["recent_games"]:
+        row["GAME_DATE_EST"] = "2014-01-05T00:00:00"
+    load_documents(read_daily_documents(spark, put(tmp_path, "d1", wrong)), tables, NOW)
+    load_documents(read_daily_documents(spark, put(tmp_path, "d2", document())), tables, NOW)
+    assert counts(tables) == [1, 2, 2]
+
+
 def test_rows_without_a_key_are_left_out(spark, tmp_path):
     extra = [{"game_id": "100", "boxscore": {"PlayerStats": [box(None, PTS=9)]}}]
     tables = Tables(spark, str(tmp_path / "lake"))
