@@ -20,8 +20,8 @@ LEXICON = 500  # commonest words of each language in the sample that have a weig
 BLOCK = 64  # words that the forward-backward pass takes at a time in each stretch
 CHARS = 1_000_000
 
-#: Fitting sees this many documents of each language at most, and a stretch of so many words of each.
-SAMPLE_DOCUMENTS, SAMPLE_WORDS = 400, 200
+#: Fitting sees this many documents of each language at most, and a stretch of so many characters of each.
+SAMPLE_DOCUMENTS, SAMPLE_CHARS = 400, 1400
 STEPS, SEQUENCES, LENGTH, RATE = 250, 48, 64, 0.5
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -215,15 +215,17 @@ def fit(stretches: list[str], labels: list[str]) -> Field:
 def train(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Field | None:
     """Fit on ``SAMPLE_DOCUMENTS`` documents of each language, of least md5 of key and text; None without any.
 
-    Rows with a null language or text are not used. Counts per language set a hash threshold first.
+    A long text gives a stretch of ``SAMPLE_CHARS`` characters from a place that depends on that md5. Rows
+    with a null language or text are not used. Counts per language set a hash threshold first.
     """
     order = Window.partitionBy("label").orderBy("hash", "text")
     rows = documents.select(F.col(lang).alias("label"), F.col(text).alias("text"), F.md5(F.concat_ws(":", F.col(key).cast("string"), F.md5(F.col(text)))).alias("hash"))
-    words = F.split("text", r"\s+", SAMPLE_WORDS + 1)
     rows = rows.where(F.col("label").isNotNull() & F.col("text").isNotNull())
     totals = stored(rows.groupBy("label").agg(F.count("*").alias("rows")), "languages")  # of known size: no shuffle of texts
     rows = rows.join(totals, "label").where(below_share(F.col("hash"), SAMPLE_DOCUMENTS, F.col("rows")))
-    rows = rows.select("label", "hash", F.array_join(F.slice(words, 1, SAMPLE_WORDS), " ").alias("text"))
+    length = F.length("text")
+    start = F.floor(F.greatest(length - SAMPLE_CHARS, F.lit(0)) * (F.conv(F.substring("hash", 17, 6), 16, 10).cast("double") / float(16**6))).cast("int") + 1
+    rows = rows.select("label", "hash", F.substr(F.col("text"), start, F.lit(SAMPLE_CHARS)).alias("text"))
     sample = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE_DOCUMENTS).select("label", "hash", "text").toArrow()
     if not len(sample):
         return None

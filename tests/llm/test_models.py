@@ -135,3 +135,12 @@ def test_language_odd_rows(spark):
     none = documents(spark, [(1, "words without a language"), (2, "12 34")])
     assert language.train(none) is None and {r.lang_pred for r in language.languages(none, None, ["doc_id"]).collect()} == {"und"}
     assert language.languages(documents(spark, []), field, ["doc_id"]).collect() == []
+
+
+def test_language_is_learned_from_stretches(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language, "fit", lambda stretches, labels: seen.extend(stretches))
+    rows = [(i, "opening " * 500 + f"later{i} " * 500, "s", "x") for i in range(40)] + [(i, "长" * 50_000, "s", "y") for i in range(40, 50)]
+    language.train(documents(spark, rows))
+    assert len(seen) == 50 and max(map(len, seen)) <= 1400
+    assert any("later" in s for s in seen) and any("opening" in s for s in seen)
