@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courtlake.llm import decontamination, html_text, language, mixing, near_dup, neighbours, quality, statements, token_counts, token_store, url_filter
+from courtlake.llm import decontamination, html_text, language, mixing, near_dup, neighbours, phrases, quality, statements, token_counts, token_store, url_filter
 from courtlake.llm.common import table
 
 QUALITY_SCORE = 0.7
@@ -63,6 +63,10 @@ def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), longest=4, threshold=30, covered=80, first=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": near_duplicates,
     "op2_page_texts": page_texts,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_piece_counts": piece_counts,
     "op9_languages": languages,
     "op10_source_mix": source_mix,
+    "op11_phrase_collocations": phrase_collocations,
 }
 
 ORACLE = {name: text for name, text in statements.STATEMENTS.items() if name in QUERIES}

@@ -84,4 +84,30 @@ FROM docs d LEFT JOIN sizes s ON d.doc_id = s.doc_id LEFT JOIN reached r ON r.x
 GROUP BY d.doc_id
 """
 
-STATEMENTS = {"op1_near_duplicates": NEAR_DUPLICATES, "op6_benchmark_contamination": BENCHMARK_CONTAMINATION, "op5_url_rules": URL_RULES, "op10_source_mix": SOURCE_MIX}
+PHRASE_COLLOCATIONS = r"""
+WITH docs AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM docs, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS u(piece)),
+grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM pieces, unnest(generate_series(1, len(w))) AS a(i), unnest(generate_series(1, 4)) AS b(k) WHERE i + k - 1 <= len(w) GROUP BY ALL),
+words AS (SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE k = 1 GROUP BY lang),
+frequent AS (SELECT lang, k AS size, string_split(phrase, ' ') AS w, phrase, f FROM grams WHERE f >= 30),
+cuts AS (
+  SELECT c.lang, c.phrase, c.f AS a, k, x.f AS l, y.f AS r, ((2000000::HUGEINT * c.f) // (x.f + y.f))::BIGINT AS score
+  FROM frequent c, unnest(generate_series(1, c.size - 1)) AS t(k)
+  JOIN frequent x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:k], ' ')
+  JOIN frequent y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1:c.size], ' ')
+  WHERE c.size > 1),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+around AS (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(f) AS longer
+  FROM frequent, unnest(generate_series(2, size - 1)) AS a(m), unnest(generate_series(1, 3)) AS b(i) WHERE size > 2 AND i + m - 1 <= size GROUP BY ALL),
+kept AS (
+  SELECT lowest.* FROM lowest LEFT JOIN around USING (lang, phrase) WHERE NOT coalesce(100::HUGEINT * longer >= 80::HUGEINT * a, FALSE))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN words USING (lang) QUALIFY rank <= 2000
+"""
+
+STATEMENTS = {"op11_phrase_collocations": PHRASE_COLLOCATIONS, "op1_near_duplicates": NEAR_DUPLICATES, "op6_benchmark_contamination": BENCHMARK_CONTAMINATION, "op5_url_rules": URL_RULES, "op10_source_mix": SOURCE_MIX}
