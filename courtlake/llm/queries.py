@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courtlake.llm import decontamination, html_text, language, mixing, near_dup, neighbours, phrases, quality, statements, token_counts, token_store, url_filter
+from courtlake.llm import decontamination, html_text, language, mixing, near_dup, neighbours, phrases, quality, ranking, repeats, statements, token_counts, token_store, url_filter
 from courtlake.llm.common import table
 
 QUALITY_SCORE = 0.7
@@ -67,6 +67,16 @@ def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"), longest=4, threshold=30, covered=80, first=2000)
 
 
+def ranked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repeats.repeated_spans(table(spark, sf_dir, "documents"), ["doc_id"], span=35)
+    removed = F.aggregate(F.col("spans.length"), F.lit(0).cast("long"), lambda total, n: total + n)
+    return rows.select("kept.doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": near_duplicates,
     "op2_page_texts": page_texts,
@@ -79,6 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_languages": languages,
     "op10_source_mix": source_mix,
     "op11_phrase_collocations": phrase_collocations,
+    "op12_ranked_search": ranked_items,
+    "op13_repeated_passages": repeated_passages,
 }
 
 ORACLE = {name: text for name, text in statements.STATEMENTS.items() if name in QUERIES}

@@ -110,4 +110,37 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
 FROM kept JOIN words USING (lang) QUALIFY rank <= 2000
 """
 
-STATEMENTS = {"op11_phrase_collocations": PHRASE_COLLOCATIONS, "op1_near_duplicates": NEAR_DUPLICATES, "op6_benchmark_contamination": BENCHMARK_CONTAMINATION, "op5_url_rules": URL_RULES, "op10_source_mix": SOURCE_MIX}
+RANKED_SEARCH = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+items AS (
+  SELECT row_number() OVER () AS i, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)),
+sizes AS (SELECT d, doc_id, len(w)::BIGINT AS n FROM docs WHERE len(w) > 0),
+whole AS (SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS big_l FROM sizes),
+wanted AS (SELECT i, item_id, t, count(*) AS q FROM (SELECT i, item_id, unnest(w) AS t FROM items) GROUP BY ALL),
+tfs AS (SELECT d, t, count(*) AS tf FROM (SELECT d, unnest(w) AS t FROM docs) WHERE t IN (SELECT t FROM wanted) GROUP BY ALL),
+weights AS (SELECT t, floor(1000 * ln((2 * big_n + 2) / (2 * df + 1)))::BIGINT AS weight FROM (SELECT t, count(*) AS df FROM tfs GROUP BY t), whole),
+scores AS (
+  SELECT i, item_id, doc_id, d, sum(q * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // big_l))))::BIGINT AS score
+  FROM wanted JOIN weights USING (t) JOIN tfs USING (t) JOIN sizes USING (d), whole GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 20
+"""
+
+REPEATED_PASSAGES = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT d, i, array_to_string(w[i:i + 34], ' ') AS win FROM docs, unnest(generate_series(1, len(w) - 34)) AS t(i) WHERE len(w) >= 35),
+repeated AS (SELECT d, i FROM windows QUALIFY count(*) OVER (PARTITION BY win) > 1),
+gone AS (SELECT DISTINCT d, i + j AS place FROM repeated, unnest(generate_series(0, 34)) AS t(j)),
+removed AS (SELECT d, count(*) AS n FROM gone GROUP BY d),
+words AS (SELECT d, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM docs),
+stay AS (SELECT d, string_agg(word, ' ' ORDER BY place) AS text FROM words ANTI JOIN gone USING (d, place) GROUP BY d)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(r.n, 0)::BIGINT AS n_removed, sha256(coalesce(s.text, '')) AS kept_sha256
+FROM docs LEFT JOIN removed r USING (d) LEFT JOIN stay s USING (d)
+"""
+
+STATEMENTS = {"op13_repeated_passages": REPEATED_PASSAGES, "op12_ranked_search": RANKED_SEARCH, "op11_phrase_collocations": PHRASE_COLLOCATIONS, "op1_near_duplicates": NEAR_DUPLICATES, "op6_benchmark_contamination": BENCHMARK_CONTAMINATION, "op5_url_rules": URL_RULES, "op10_source_mix": SOURCE_MIX}

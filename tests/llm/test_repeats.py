@@ -1,0 +1,107 @@
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from courtlake.llm import repeats
+from courtlake.llm.hash_space import Vocabulary
+from tests.llm.helpers import ODD, documents, sentence
+
+
+def plain(texts, span):
+    """(n_words, spans, kept words) of each text, by a dictionary of all windows."""
+    words = [(t or "").encode().split() for t in texts]
+    windows = Counter(tuple(w[i : i + span]) for w in words for i in range(len(w) - span + 1))
+    out = []
+    for w in words:
+        gone = [False] * len(w)
+        for i in range(len(w) - span + 1):
+            if windows[tuple(w[i : i + span])] > 1:
+                gone[i : i + span] = [True] * span
+        spans, i = [], 0
+        while i < len(w):
+            j = i
+            while j < len(w) and gone[j]:
+                j += 1
+            if j > i:
+                spans.append((i, j - i))
+            i = max(j, i + 1)
+        out.append((len(w), tuple(spans), b" ".join(x for x, g in zip(w, gone, strict=True) if not g).decode()))
+    return out
+
+
+def corpus(seed, span):
+    draw = random.Random(seed)
+    passages = [sentence(draw, n, 10**6) for n in (span - 1, span, span + 1, 2 * span, 5 * span)] + [sentence(draw, span // 2 + 2, 10**6)]
+    texts = []
+    for _ in range(60):
+        parts = []
+        for _ in range(draw.randrange(4)):
+            parts.append(sentence(draw, draw.randrange(0, 2 * span), draw.choice([10**6, 3])))
+            if draw.random() < 0.6:
+                whole = draw.choice(passages).split()
+                a = draw.randrange(len(whole))
+                parts.append(draw.choice([" ", "\n", "\t\x0b"]).join(whole if draw.random() < 0.5 else whole[a : a + draw.randrange(1, 3 * span)]))
+        texts.append(" ".join(parts))
+    texts += [texts[0], texts[0], passages[4], passages[4].upper(), (passages[1] + " ") * 3, "a " * (2 * span), "a b " * span, None, "", " \n"]
+    # overlapping repeats that only together cover a stretch, and a chain of repeated halves that never repeats whole
+    w = [f"q{i}" for i in range(3 * span)]
+    texts += [" ".join(w), " ".join(w[: span + 3]), " ".join(w[span - 2 : 2 * span])]
+    half = [[f"h{j}_{i}" for i in range(span // 2)] for j in range(4)]
+    texts += [" ".join(half[a] + half[b]) for a in range(4) for b in range(4)]
+    return texts
+
+
+def result(df):
+    return {r.kept.doc_id: (r.n_words, tuple((s.start, s.length) for s in r.spans), r.kept_text) for r in df.collect()}
+
+
+@pytest.mark.parametrize(("seed", "span", "chunk"), [(1, 35, 8 << 20), (2, 6, 300), (3, 7, 2000), (4, 1, 500), (5, 2, 100)])
+def test_spans_equal_brute_force(spark, monkeypatch, seed, span, chunk):
+    monkeypatch.setattr(repeats, "CHUNK_BYTES", chunk)
+    texts = corpus(seed, span)
+    got = result(repeats.repeated_spans(documents(spark, list(enumerate(texts))), ["doc_id"], span=span))
+    want = dict(enumerate(plain(texts, span)))
+    assert got == want and any(s for _, s, _ in want.values()) and (span == 1 or not all(s for _, s, _ in want.values()))
+
+
+@pytest.mark.parametrize("span", [1, 2, 5, 8, 35])
+def test_every_window_holds_a_whole_block(span):
+    b = repeats.block_words(span)
+    assert all(any(p <= x and x + b <= p + span for x in range(0, p + span, b)) for p in range(3 * b))
+
+
+def test_odd_rows_extra_columns_and_empty_tables(spark):
+    texts = [t for _, t in ODD]
+    df = documents(spark, ODD)
+    rows = repeats.repeated_spans(df, ["doc_id"])
+    got = sorted(((r.kept.doc_id, r.n_words, tuple((s.start, s.length) for s in r.spans), r.kept_text) for r in rows.collect()), key=str)
+    assert got == sorted(((k, *x) for (k, _), x in zip(ODD, plain(texts, 35), strict=True)), key=str)
+    names = ["chunk", "part", "names", "spans", "n_words", "kept_text", "mask", "step", "kept", "anchors"]
+    wide = df.select("doc_id", "text", *[df.doc_id.alias(n) for n in names if n not in ("kept",)], "kept")
+    clean = repeats.without_repeats(wide)
+    assert clean.columns == wide.columns
+    left = {r.doc_id: r.text for r in clean.collect() if r.doc_id is not None}
+    assert left[1] is None and left[3] == " \t\n" and left[5] == "" and left[4] == "Word" and left[7] == ODD[9][1]
+    assert all(r.chunk == r.doc_id and r.kept == "a" for r in clean.collect())
+    assert repeats.repeated_spans(documents(spark, []), ["doc_id"]).collect() == []
+    assert repeats.without_repeats(documents(spark, [])).collect() == []
+
+
+def test_probes_and_grid():
+    chunk = repeats.Chunk([b"a b c d e f g", b"x", b"c d e f g h"], Vocabulary(0, 1), 5, 4)
+    names, again, anchor, at = chunk.probes()
+    assert chunk.block == 3 and len(at) == 5 + 4 and chunk.long == [0, 2]
+    # c d e, d e f and e f g come twice; the grids begin with a b c, d e f, c d e and f g h
+    assert len(names) == 6 and again.sum() == 3 and anchor.sum() == 4
+    chunk.extended(again, anchor, at)
+    assert len(chunk.suspects) == 2 and chunk.again.tolist() == [True]
+    assert chunk.spans(chunk.covered(np.array([True]))) == [[(2, 5)], [], [(0, 5)]]
+
+
+def test_texts_stay_where_they_are(spark):
+    """Only replies are shuffled to the bucketed chunks."""
+    rows = repeats.repeated_spans(documents(spark, list(enumerate(corpus(9, 35)))), ["doc_id"])
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(chunk") == 1 and "Bucketed: true" in rows._jdf.queryExecution().toString()
