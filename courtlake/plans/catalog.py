@@ -11,16 +11,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from courtlake import schemas
 from courtlake.functions.calendar import instant
 from courtlake.functions.casting import number_or_zero, whole
 from courtlake.operators import keyed, quality
 from courtlake.operators.skew import measured
 from courtlake.plans import features, impact, leaderboards, lookups, marts, prediction, staging
 from courtlake.plans.scaling import ColumnScaler
-from courtlake.session import cut_lineage, tune
+from courtlake.session import cut_lineage, scratch_folder, tune
+from courtlake.sources import daily, rejects
 from courtlake.sources import driver_tables as tables
 from courtlake.sources.backfill import LEAGUE, active_teams, team_lookup
 from courtlake.sources.daily import counted
+from courtlake.sources.files import read_daily_documents, write_daily_document
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +32,7 @@ AS_OF = dt.date(2001, 6, 1)
 SEASON = 1998
 TRAIN_SINCE = dt.date(1998, 1, 1)
 LOADED_UNTIL = dt.datetime(2000, 1, 1)
+LOADED_AT = dt.datetime(2002, 3, 4, 5, 6, 7)
 
 _CARD = ["height", "body_weight", "country", "draft_year", "draft_round", "draft_number"]
 _QUERIES: dict[str, Query] = {}
@@ -456,6 +460,68 @@ def ingest_json(i: Inputs) -> DataFrame:
     )
 
 
+def _dropped_documents(i: Inputs) -> DataFrame:
+    """The daily documents, written to a drop folder and read back from it."""
+    drop = scratch_folder(i.spark, "daily-drop")
+    return read_daily_documents(i.spark, write_daily_document(tables.daily_documents(i.spark, i.folder), drop, AS_OF.isoformat()), per_line=True)
+
+
+def _loaded_games(documents: DataFrame) -> DataFrame:
+    return quality.split_required(daily.daily_games(documents), schemas.REQUIRED["games"])[0]
+
+
+@query
+def ingest_document_games(i: Inputs) -> DataFrame:
+    return daily.daily_games(_dropped_documents(i)).select(
+        "game_id", "game_date", "home_team_id", "away_team_id", "home_score", "away_score", "game_type"
+    )
+
+
+_DAILY_STATS = [
+    "assists", "rebounds_total", "steals", "blocks", "field_goals_made", "field_goals_attempted", "three_pointers_made",
+    "three_pointers_attempted", "free_throws_made", "free_throws_attempted", "fouls_personal", "turnovers",
+]
+
+
+@query
+def ingest_document_players(i: Inputs) -> DataFrame:
+    documents = _dropped_documents(i)
+    return daily.daily_player_rows(documents, _loaded_games(documents), LOADED_AT).select(
+        "game_id", "person_id", "team_id", "opponent_team_id", "game_date", "created_at", "points", "plus_minus_points", *_DAILY_STATS
+    )
+
+
+@query
+def ingest_document_teams(i: Inputs) -> DataFrame:
+    documents = _dropped_documents(i)
+    return daily.daily_team_rows(documents, _loaded_games(documents), LOADED_AT).select(
+        "game_id", "team_id", "opponent_team_id", "game_date", "created_at", "team_score", *_DAILY_STATS
+    )
+
+
+def _from_lines(i: Inputs) -> tuple[DataFrame, DataFrame]:
+    lookup = measured(team_lookup(i.teams, F.col("team_id")))
+    return rejects.player_rows(tables.player_lines(i.spark, i.folder), lookup)
+
+
+@query
+def typed_player_rows(i: Inputs) -> DataFrame:
+    return rounded(_from_lines(i)[0].drop("id", "created_at"))
+
+
+@query
+def rejected_rows(i: Inputs) -> DataFrame:
+    fields = F.split("line", ",")
+    names = ["team_city", "team_name", "opponent_city", "opponent_name", "person", "game", "played"]
+    shown = [F.get(fields, n).alias(name) for n, name in enumerate(names)]
+    return _from_lines(i)[1].select(*shown, F.size(fields).alias("n_fields"), F.array_join("reasons", "; ").alias("reasons"))
+
+
+@query
+def reject_reasons(i: Inputs) -> DataFrame:
+    return rejects.reason_counts(_from_lines(i)[1])
+
+
 # --- data quality --------------------------------------------------------------------------------
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from courtlake import schemas
 from courtlake.functions.numbers import ratio_or_zero
+from courtlake.sources.backfill import PLAYER_STATISTICS, snake
 
 TIE_BREAKERS = ["k_line", "k_part", "k_price", "k_qty", "k_disc", "k_tax"]
 PLAYER_GAME_ORDER = ["game_date", "game_id", *TIE_BREAKERS]
@@ -183,3 +184,80 @@ def team_games(spark: SparkSession, folder: str) -> DataFrame:
         ((10 + seed % 15).cast("double") / 25).alias("free_throws_percentage"),
     )
     return schemas.conform(shaped, schemas.TEAM_STATISTICS)
+
+
+# --- the same rows as raw input ------------------------------------------------------------------
+
+
+def _day_text(day: Column, form: Column) -> Column:
+    """A date in one of the forms that documents use, by ``form``: ISO, month/day/year, or with the month's name."""
+    return (
+        F.when(form == 0, F.date_format(day, "yyyy-MM-dd'T'HH:mm:ss"))
+        .when(form == 1, F.date_format(day, "M/d/yyyy"))
+        .otherwise(F.date_format(day, "MMM d, yyyy"))
+    )
+
+
+def daily_documents(spark: SparkSession, folder: str, per_day: int = 4) -> DataFrame:
+    """Games with their box scores as daily documents: arrays of structs within arrays of structs.
+
+    A document has the games of a day whose id has one remainder by ``per_day``. Dates are text in three
+    forms and now and then unreadable, ids are text with leading zeros. Some games have no box score,
+    some box scores lack the players' part or the teams' part, some documents lack all box scores.
+    """
+    played, lines = games(spark, folder), player_games(spark, folder)
+    game = F.col("game_id")
+    codes = {
+        "PTS": F.when(game % 9 != 0, F.col("points")), "AST": "assists", "REB": "rebounds_total", "STL": "steals", "BLK": "blocks",
+        "FGM": "field_goals_made", "FGA": "field_goals_attempted", "FG3M": "three_pointers_made", "FG3A": "three_pointers_attempted",
+        "FTM": "free_throws_made", "FTA": "free_throws_attempted", "PF": "fouls_personal", "TO": "turnovers", "PLUS_MINUS": "plus_minus_points",
+    }
+    stats = [(F.col(c) if isinstance(c, str) else c).cast("double").alias(code) for code, c in codes.items()]
+    people = F.struct(F.col("person_id").cast("string").alias("PLAYER_ID"), F.col("team_id").cast("string").alias("TEAM_ID"), *stats)
+    rows = lines.groupBy("game_id").agg(F.collect_list(people).alias("people"))
+
+    def side(name: str) -> Column:
+        return F.struct(F.col(f"{name}_team_id").cast("string").alias("TEAM_ID"), F.col(f"{name}_score").cast("double").alias("PTS"))
+
+    text_id = F.lpad(game.cast("string"), 10, "0")
+    shown = F.struct(
+        text_id.alias("GAME_ID"),
+        F.when(game % 11 == 0, "to be announced").otherwise(_day_text(F.col("game_date"), game % 3)).alias("GAME_DATE_EST"),
+        F.col("home_team_id").cast("string").alias("HOME_TEAM_ID"), F.col("away_team_id").cast("string").alias("VISITOR_TEAM_ID"),
+        F.col("home_score").cast("double").alias("PTS_HOME"), F.col("away_score").cast("double").alias("PTS_AWAY"),
+    )
+    parts = F.struct(F.when(game % 5 != 0, F.col("people")).alias("PlayerStats"), F.when(game % 6 != 0, F.array(side("home"), side("away"))).alias("TeamStats"))
+    box = F.struct(text_id.alias("game_id"), F.to_date("game_date").cast("string").alias("extraction_date"), F.when(game % 7 != 0, parts).alias("boxscore"))
+    day = played.join(rows, "game_id", "left").groupBy(F.to_date("game_date").alias("day"), (game % per_day).alias("file"))
+    documents = day.agg(F.collect_list(shown).alias("recent_games"), F.collect_list(box).alias("boxscores"))
+    boxes = F.when((F.col("file") != 3) | (F.dayofmonth("day") > 3), F.col("boxscores"))
+    return documents.select("recent_games", boxes.alias("boxscores"), F.col("day").cast("string").alias("extraction_timestamp"))
+
+
+def player_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The player rows as lines of the historical CSV file (column ``line``), with what such files get wrong.
+
+    By a mark made from the row's keys: counts that are no numbers, flags as numbers or words or missing, dates
+    in two forms or unreadable, missing ids, unknown teams, and lines cut short.
+    """
+    names = teams(spark, folder).select("team_id", "team_city", "team_name")
+    rows = player_games(spark, folder).withColumn("mark", F.col("game_id") + 7 * F.col("person_id") + F.col("k_line"))
+    for side in ("team", "opponent_team"):
+        rows = rows.join(names.toDF(f"{side}_id", f"{side}_city", f"{side}_label"), f"{side}_id")
+    mark = F.col("mark")
+
+    def flag(name: str) -> Column:
+        known = F.when(mark % 2 == 0, F.when(F.col(name), "1.0").otherwise("0.0")).otherwise(F.when(F.col(name), "True").otherwise("False"))
+        return F.when(F.col(name).isNotNull(), known).otherwise("")
+
+    shown = {
+        "playerteamCity": F.when(mark % 41 == 0, "Nowhere").otherwise(F.col("team_city")), "playerteamName": F.col("team_label"),
+        "opponentteamCity": F.col("opponent_team_city"), "opponentteamName": F.col("opponent_team_label"),
+        "personId": F.when(mark % 37 == 0, "").otherwise(F.col("person_id").cast("string")), "gameId": F.col("game_id").cast("string"),
+        "gameDate": F.when(mark % 29 == 0, "someday").when(mark % 19 == 0, F.date_format("game_date", "M/d/yyyy H:mm")).otherwise(F.date_format("game_date", "yyyy-MM-dd HH:mm:ss")),
+        "win": flag("win"), "home": flag("home"), "numMinutes": F.col("num_minutes"),
+        "points": F.when(mark % 23 == 0, "abc").otherwise(F.concat(F.col("points").cast("string"), F.lit(".0"))),
+    }
+    fields = [shown[h] if h in shown else F.col(snake(h)) for h in PLAYER_STATISTICS.columns]
+    whole = F.concat_ws(",", *[F.coalesce(c.cast("string"), F.lit("")) for c in fields])
+    return rows.select(F.when(mark % 31 == 0, F.substring_index(whole, ",", 10)).otherwise(whole).alias("line"))

@@ -22,9 +22,9 @@ def read_text_csv(spark: SparkSession, path: str, multi_line: bool = False) -> D
     )
 
 
-def read_daily_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Daily documents, one JSON object per file; a damaged file fails the job."""
-    return spark.read.schema(DAILY_DOCUMENT).option("multiLine", True).option("mode", "FAILFAST").json(path)
+def read_daily_documents(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
+    """Daily documents, one JSON object per file, or ``per_line``; a damaged one fails the job."""
+    return spark.read.schema(DAILY_DOCUMENT).option("multiLine", not per_line).option("mode", "FAILFAST").json(path)
 
 
 def write_daily_document(document: DataFrame, root: str, extraction_date: str) -> str:

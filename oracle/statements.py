@@ -253,6 +253,41 @@ def statements() -> dict[str, str]:
         coalesce(CAST(json_extract(props, '$.k') AS INT), 0) AS points,
         coalesce(CAST(json_extract(props, '$.absent') AS INT), 0) AS assists FROM events"""
 
+    q["ingest_document_games"] = """SELECT game_id, CASE WHEN game_id % 11 <> 0 THEN game_date END AS game_date, home_team_id,
+        away_team_id, home_score, away_score, 'Regular Season' AS game_type FROM document_games"""
+    stats = """assists, rebounds_total, steals, blocks, field_goals_made, field_goals_attempted, three_pointers_made,
+        three_pointers_attempted, free_throws_made, free_throws_attempted, fouls_personal, turnovers"""
+    q["ingest_document_players"] = f"""SELECT g.game_id, person_id, team_id, CASE WHEN g.game_id % 11 <> 0 THEN
+        CASE team_id WHEN home_team_id THEN away_team_id WHEN away_team_id THEN home_team_id END END AS opponent_team_id,
+        CASE WHEN g.game_id % 11 <> 0 THEN g.game_date ELSE TIMESTAMP '2002-03-04 05:06:07' END AS game_date,
+        TIMESTAMP '2002-03-04 05:06:07' AS created_at, CASE WHEN g.game_id % 9 = 0 THEN 0 ELSE points END AS points,
+        plus_minus_points, {stats} FROM document_games g JOIN player_games p ON g.game_id = p.game_id
+        WHERE boxed AND g.game_id % 7 <> 0 AND g.game_id % 5 <> 0"""
+    q["ingest_document_teams"] = f"""SELECT g.game_id, t.team_id, CASE WHEN g.game_id % 11 <> 0 THEN opponent_team_id END AS opponent_team_id,
+        CASE WHEN g.game_id % 11 <> 0 THEN g.game_date ELSE TIMESTAMP '2002-03-04 05:06:07' END AS game_date,
+        TIMESTAMP '2002-03-04 05:06:07' AS created_at, coalesce(team_score, 0) AS team_score,
+        {', '.join(f'CAST(0 AS INT) AS {c.strip()}' for c in stats.split(','))}
+        FROM document_games g JOIN team_games t ON g.game_id = t.game_id WHERE boxed AND g.game_id % 7 <> 0 AND g.game_id % 6 <> 0"""
+
+    shares = "field_goals_percentage three_pointers_percentage free_throws_percentage".split()
+    whole = """assists blocks steals field_goals_attempted field_goals_made three_pointers_attempted three_pointers_made
+        free_throws_attempted free_throws_made rebounds_defensive rebounds_offensive rebounds_total fouls_personal turnovers
+        plus_minus_points""".split()
+    q["typed_player_rows"] = f"""SELECT person_id, game_id, CASE WHEN mark % 19 = 0 THEN date_trunc('minute', game_date)
+        ELSE date_trunc('second', game_date) END AS game_date, team_id, opponent_team_id, win, home, {rs('num_minutes', *shares)},
+        CASE WHEN mark % 23 = 0 THEN 0 ELSE points END AS points, {', '.join(whole)} FROM marked_lines
+        WHERE mark % 31 <> 0 AND mark % 37 <> 0 AND mark % 29 <> 0 AND mark % 41 <> 0"""
+    reasons = """CASE WHEN mark % 31 = 0 THEN 'malformed line' ELSE concat_ws('; ', CASE WHEN mark % 37 = 0 THEN 'no person_id' END,
+        CASE WHEN mark % 29 = 0 THEN 'no game_date' END, CASE WHEN mark % 41 = 0 THEN 'unknown team' END) END"""
+    q["reject_reasons"] = f"""SELECT reason, count(*) AS n FROM (SELECT unnest(string_split({reasons}, '; ')) AS reason
+        FROM marked_lines) r WHERE reason <> '' GROUP BY reason"""
+
+    q["rejected_rows"] = f"""SELECT * FROM (SELECT CASE WHEN mark % 41 = 0 THEN 'Nowhere' ELSE a.team_city END AS team_city, a.team_name,
+        b.team_city AS opponent_city, b.team_name AS opponent_name, CASE WHEN mark % 37 = 0 THEN '' ELSE CAST(person_id AS VARCHAR) END AS person,
+        CAST(game_id AS VARCHAR) AS game, CASE WHEN mark % 29 = 0 THEN 'someday' WHEN mark % 19 = 0 THEN strftime(game_date, '%-m/%-d/%Y %-H:%M')
+        ELSE strftime(game_date, '%Y-%m-%d %H:%M:%S') END AS played, CASE WHEN mark % 31 = 0 THEN 10 ELSE 29 END AS n_fields, {reasons} AS reasons
+        FROM marked_lines m JOIN teams a ON m.team_id = a.team_id JOIN teams b ON m.opponent_team_id = b.team_id) r WHERE reasons <> ''"""
+
     q["dq_not_null"] = "SELECT game_id, home_team_id, away_team_id, game_date FROM games WHERE home_score IS NULL"
     q["dq_unique"] = "SELECT game_id, count(*) AS n_records FROM player_games GROUP BY game_id HAVING count(*) > 1"
     q["dq_relationships"] = """SELECT person_id, count(*) AS n_records FROM player_games WHERE person_id NOT IN

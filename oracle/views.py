@@ -74,6 +74,11 @@ FROM (SELECT game_id, game_date, home_team_id AS team_id, away_team_id AS oppone
       UNION ALL
       SELECT game_id, game_date, away_team_id, home_team_id, FALSE, away_score, home_score FROM games) g"""
 
+VIEWS["document_games"] = """
+SELECT *, NOT (game_id % 4 = 3 AND day(game_date) <= 3) AS boxed FROM games"""
+
+VIEWS["marked_lines"] = "SELECT *, game_id + 7 * person_id + k_line AS mark FROM player_games"
+
 VIEWS["stg_games"] = """
 SELECT *, CAST(year(game_date) AS INT) AS season_year, CAST(month(game_date) AS INT) AS game_month,
        CAST(dayofweek(game_date) AS INT) AS day_of_week,
