@@ -15,7 +15,7 @@ from courtlake.llm.common import stored
 from courtlake.llm.hash_space import Vocabulary, part_bounds, part_count, placed
 from courtlake.llm.words import mixed
 
-CHUNK_BYTES = 16 << 20  # text that a task counts at a time
+CHUNK_BYTES = 6 << 20  # text that a task counts at a time
 PART_MASS = 32_000_000  # n-gram occurrences aimed at per part of the hash space
 MERGE = 3  # a summary is merged once as many entries wait as this many times its capacity
 FILTER_BITS = 26  # the filter of survivors takes 2**26 bits (8 MB) at any size; a fuller one passes more
