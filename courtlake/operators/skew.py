@@ -4,8 +4,8 @@ Joins: ``measured`` marks a derived table for broadcast only after counting it,
 larger one to a shuffle join, where adaptive execution splits skewed partitions.
 
 Windows: adaptive execution cannot split a window partition, so ``HotKeys`` and
-``place_in_blocks`` cut the timeline of a crowded key into blocks of bounded size. Each block
-also receives the rows just before it, so a frame that looks back a fixed number of rows gives
+``place_in_blocks`` cut the timeline of a crowded key into blocks of bounded size, even within a day. Each
+block also receives the rows just before it, so a frame that looks back a fixed number of rows gives
 exactly the result of the uncut window.
 """
 
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import add, and_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from courtlake.session import cut_lineage
@@ -51,11 +51,12 @@ class HotKeys:
     """Keys with more rows than one task should hold.
 
     ``keys`` has at most one row per shuffle partition: a key is hot only when it exceeds an
-    even share of the rows. So it may always be broadcast.
+    even share of the rows. So it may always be broadcast. ``rows`` is their number of rows.
     """
 
     rows_per_block: int
     keys: DataFrame
+    rows: int
 
     @staticmethod
     def find(df: DataFrame, on: list[str], floor_rows: int = HOT_ROWS) -> HotKeys | None:
@@ -66,64 +67,60 @@ class HotKeys:
         if total <= limit:
             return None
         crowded = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > limit)
-        crowded = cut_lineage(crowded.select(*on))
-        return None if crowded.isEmpty() else HotKeys(limit, crowded)
+        crowded = cut_lineage(crowded)
+        rows = crowded.agg(F.sum("_rows")).first()[0]
+        return HotKeys(limit, crowded.select(*on), rows) if rows else None
 
 
-def place_in_blocks(df: DataFrame, on: list[str], at: str, before: int, hot: HotKeys) -> DataFrame:
+def _same(on: list[str], prefix: str) -> Column:
+    return reduce(and_, [F.col(c).eqNullSafe(F.col(f"{prefix}{c}")) for c in on])
+
+
+def _renamed(df: DataFrame, on: list[str], prefix: str, *columns: str | Column) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"{prefix}{c}") for c in on], *columns)
+
+
+def place_in_blocks(df: DataFrame, on: list[str], order: list[str], before: int, hot: HotKeys) -> DataFrame:
     """Copy ``df`` with each row of a hot key assigned to a block of its timeline.
 
     Added columns: ``_block``; ``_halo`` (true on the copies that only give context to a later
     block); ``_offset`` (rows of the key before the first row of the block, context included);
     ``_total`` (rows of the key). Rows of other keys get NULL, false, 0 and NULL.
 
-    Blocks are made of whole days, from counts per key and day; the tables involved have one row
-    per hot key and day.
+    Rows of hot keys are dealt out by ranges of key and ``order``, which should be total: Spark samples the
+    bounds, so that each range has its share of rows, be they of one day or without a date. They are
+    stored, which fixes the ranges. Counts per key and range give each block's place on the timeline by
+    prefix sums; those tables have one row per hot key and range. The last ``before`` rows of each
+    range go to the blocks after it that look back so far.
     """
-    dated = df.withColumn("_day", F.to_date(at))
-    days = (
-        dated.join(F.broadcast(hot.keys), on, "left_semi")
-        .groupBy(*on, "_day")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    by_day = Window.partitionBy(*on).orderBy("_day")
-    days = (
-        days.withColumn("_until", F.sum("_n").over(by_day.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("_from", F.col("_until") - F.col("_n"))
-        .withColumn("_block", F.floor(F.col("_from") / F.lit(hot.rows_per_block)))
-        .withColumn("_total", F.sum("_n").over(Window.partitionBy(*on)))
-        # Every day has a row, so the days that may need this one as context are among the next few.
-        .withColumn("_next", F.collect_list(F.struct("_from", "_block")).over(by_day.rowsBetween(1, before)))
-    )
-    needed_by = F.array_distinct(
-        F.transform(
-            F.filter(
-                "_next",
-                lambda x: (x["_from"] < F.col("_until") + before) & (x["_block"] != F.col("_block")),
-            ),
-            lambda x: x["_block"],
-        )
-    )
-    placements = F.concat(
-        F.array(F.struct(F.col("_block").alias("block"), F.lit(False).alias("halo"))),
-        F.transform(needed_by, lambda b: F.struct(b.alias("block"), F.lit(True).alias("halo"))),
-    )
-    placed = days.select(*on, "_day", "_from", "_total", F.explode(placements).alias("_place"))
-    placed = placed.select(
-        *[F.col(c).alias(f"_{c}") for c in on],
-        F.col("_day").alias("_on_day"),
-        F.col("_place.block").alias("_block"),
-        F.col("_place.halo").alias("_halo"),
-        F.min("_from").over(Window.partitionBy(*on, "_place.block")).alias("_offset"),
-        "_total",
-    )
-    placed = measured(placed)
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in on] + [F.col("_day").eqNullSafe(F.col("_on_day"))]
-    joined = dated.join(placed, reduce(and_, same), "left")
-    return joined.select(
-        *df.columns,
-        "_block",
-        F.coalesce("_halo", F.lit(False)).alias("_halo"),
-        F.coalesce("_offset", F.lit(0)).alias("_offset"),
-        "_total",
+    keys = F.broadcast(_renamed(hot.keys, on, "_hot_"))
+    blocks = -(-hot.rows // hot.rows_per_block)
+    ranged = df.join(keys, _same(on, "_hot_"), "left_semi").repartitionByRange(blocks, *on, *order)
+    ranged = cut_lineage(ranged.withColumn("_block", F.spark_partition_id().cast("bigint")))
+
+    line = Window.partitionBy(*on).orderBy("_block")
+    counts = ranged.groupBy(*on, "_block").agg(F.count(F.lit(1)).alias("_n"))
+    until = F.sum("_n").over(line.rowsBetween(Window.unboundedPreceding, 0))
+    counts = counts.select(*on, "_block", "_n", until.alias("_until"), F.sum("_n").over(Window.partitionBy(*on)).alias("_total"))
+    start = F.col("_until") - F.col("_n")
+    # every range has a row, so those that may need this one as context are among the next few
+    later = F.collect_list(F.struct(start.alias("start"), F.col("_block").alias("block"))).over(line.rowsBetween(1, before))
+    counts = measured(counts.select(*on, "_block", "_until", "_total", F.greatest(start - before, F.lit(0)).alias("_before"), later.alias("_later")))
+
+    own = ranged.join(_renamed(counts, on, "_at_", F.col("_block").alias("_at"), F.col("_before").alias("_offset"), "_total"), _same(on, "_at_") & (F.col("_block") == F.col("_at")))
+    own = own.select(*df.columns, "_block", F.lit(False).alias("_halo"), "_offset", "_total")
+
+    last = Window.partitionBy(*on, "_block").orderBy(*[F.col(c).desc() for c in order])
+    tail = ranged.withColumn("_back", F.row_number().over(last)).filter(F.col("_back") <= before)
+    tail = tail.join(_renamed(counts, on, "_at_", F.col("_block").alias("_at"), "_until", "_later"), _same(on, "_at_") & (F.col("_block") == F.col("_at")))
+    needed_by = F.filter("_later", lambda x: x["start"] - F.col("_until") + F.col("_back") <= before)
+    halo = tail.select(*df.columns, F.explode(needed_by).alias("_to"))
+    places = _renamed(counts, on, "_at_", F.col("_block").alias("_at"), F.col("_before").alias("_offset"), "_total")
+    halo = halo.join(places, _same(on, "_at_") & (F.col("_to.block") == F.col("_at")))
+    halo = halo.select(*df.columns, F.col("_to.block").alias("_block"), F.lit(True).alias("_halo"), "_offset", "_total")
+
+    nothing = F.lit(None).cast("bigint")
+    rest = df.join(keys, _same(on, "_hot_"), "left_anti").select(
+        *df.columns, nothing.alias("_block"), F.lit(False).alias("_halo"), F.lit(0).cast("bigint").alias("_offset"), nothing.alias("_total")
     )
+    return own.unionByName(halo).unionByName(rest)

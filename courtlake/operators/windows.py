@@ -53,15 +53,15 @@ def over_timeline(
     """Add window columns that look back at most ``reach`` rows.
 
     One shuffle and one sort serve all columns that ``build`` returns. ``order`` must be total
-    and start with ``at``. ``probe`` may name a cheaper frame holding the key for at least all
+    and start with ``at``. Timelines of crowded keys are cut into blocks, wherever their rows lie. ``probe`` may name a cheaper frame holding the key for at least all
     rows of ``df``; it is counted to find crowded keys.
     """
     hot = HotKeys.find(df if probe is None else probe, on, floor_rows)
     if hot is None:
         spec = Window.partitionBy(*on).orderBy(*order)
         total = F.count(F.lit(1)).over(Window.partitionBy(*on))
-        return df.select("*", *build(Timeline(spec, reach, F.row_number().over(spec), total)))
-    placed = place_in_blocks(df, on, at, reach, hot)
+        return df.select("*", *build(Timeline(spec, reach, F.row_number().over(spec).cast("bigint"), total)))
+    placed = place_in_blocks(df, on, order, reach, hot)
     spec = Window.partitionBy(*on, "_block").orderBy(*order)
     counted = F.count(F.lit(1)).over(Window.partitionBy(*on, "_block"))
     position = F.col("_offset") + F.row_number().over(spec)

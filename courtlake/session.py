@@ -53,12 +53,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the checkpoint folder, so that later uses read it back.
+    """Write ``df`` once as Parquet below the checkpoint folder, so that later uses read it back by column.
 
-    The copy lives on shared storage: losing an executor does not lose it.
+    The copy lives on shared storage: losing an executor does not lose it. Spark knows its size.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_folder(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_folder(spark: SparkSession, what: str) -> str:

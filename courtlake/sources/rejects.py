@@ -16,14 +16,15 @@ MALFORMED = "malformed line"
 def parsed_lines(lines: DataFrame, table: CsvTable, line: str = "line") -> DataFrame:
     """Columns of ``table`` typed from CSV lines without a header, the line itself, and ``malformed``.
 
-    A line with too few or too many fields is malformed; what it has is typed all the same. Unreadable
+    A line with too few or too many fields is malformed, a blank one too; what it has is typed all the same. Unreadable
     values become what the table's typing says: 0 for counts, NULL for ids and dates.
     """
     ddl = ", ".join(f"`{h}` STRING" for h in table.columns) + ", `_damaged` STRING"
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_damaged", "escape": '"'}
     raw = lines.select(F.col(line).alias("line"), F.from_csv(F.col(line), ddl, options).alias("row"))
     typed = table.typed(raw.select("line", "row.*"), keep=("line", "_damaged"))
-    return typed.withColumn("malformed", F.col("_damaged").isNotNull()).drop("_damaged")
+    blank = F.trim(F.coalesce("line", F.lit(""))) == ""
+    return typed.withColumn("malformed", F.col("_damaged").isNotNull() | blank).drop("_damaged")
 
 
 def with_reasons(rows: DataFrame, reasons: dict[str, Column]) -> DataFrame:

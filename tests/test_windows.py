@@ -114,15 +114,50 @@ def test_blocks_are_bounded_and_complete(spark):
     df = timeline(spark, skewed_rows(7, 200))
     hot = skew.HotKeys.find(df, ["k"], floor_rows=50)
     assert [r["k"] for r in hot.keys.collect()] == [0]
-    placed = skew.place_in_blocks(df, ["k"], "at", 10, hot)
+    placed = skew.place_in_blocks(df, ["k"], ["at", "seq"], 10, hot)
     own = placed.filter("not _halo")
     assert own.count() == df.count()
     largest = placed.filter("k = 0").groupBy("_block").count().agg(F.max("count")).first()[0]
-    per_day = 25 * 3
-    assert largest <= hot.rows_per_block + 2 * per_day + 10
+    assert largest <= 1.5 * hot.rows_per_block + 10
     assert own.filter("k = 0").select("_block").distinct().count() > 3
 
 
+def crowded_day(spark, rows, at):
+    """One key holds nine tenths of the rows, all of one moment or without a date; a second key the rest."""
+    seq = F.col("id")
+    return spark.range(rows, numPartitions=6).select(
+        F.when(seq % 10 != 0, 1).otherwise(2).cast("bigint").alias("k"), F.lit(at).cast("timestamp_ntz").alias("at"),
+        (seq * 7919 % rows).alias("seq"), (seq * 31 % 97).cast("double").alias("v"), F.lit(0.0).alias("w"),
+    )
+
+
+@pytest.mark.parametrize("at", ["2024-01-05 19:30:00", None])
+def test_one_key_on_one_day_runs_in_several_tasks(spark, at):
+    df = crowded_day(spark, 1_000_000, at)
+    got = windowed(df, 100_000).drop("rest")
+    plain = windowed(df, 10**9).drop("rest")
+    digest = lambda d: d.agg(F.count("*"), F.bit_xor(F.xxhash64(*[F.round(c, 6) if t == "double" else c for c, t in d.dtypes]))).first()
+    assert digest(got) == digest(plain)
+    placed = skew.place_in_blocks(df, ["k"], ["at", "seq"], 10, skew.HotKeys.find(df, ["k"], 100_000))
+    sizes = {r["_block"]: r["count"] for r in placed.filter("k = 1").groupBy("_block").count().collect()}
+    assert len(sizes) >= 7 and max(sizes.values()) < 250_000
+
+
+@pytest.mark.parametrize("seed", [11, 12])
+def test_ranges_shorter_than_the_reach(spark, seed):
+    """Blocks of two or three rows: context comes from several ranges before."""
+    rng = random.Random(seed)
+    rows = [(None if n % 3 else 0, None if n % 4 == 0 else dt.datetime(2024, 1, 1 + n % 2), n, rng.random(), 0.0) for n in range(120)]
+    df = timeline(spark, rows)
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        got = windowed(df, 2).toPandas().sort_values("seq").reset_index(drop=True)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    want = windowed(df, 10**9).toPandas().sort_values("seq").reset_index(drop=True)
+    pd.testing.assert_frame_equal(got, want, atol=1e-8)
+
+
 def test_small_input_has_no_hot_keys(spark):
     assert skew.HotKeys.find(timeline(spark, series([1, 2, 3])), ["k"]) is None
 
