@@ -151,5 +151,6 @@ def contamination(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id
 def without_contaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``documents``, all columns, whose text has no hit."""
     _, found = benchmark_hits(documents, benchmark, [], text, item, item_text)
-    digest = F.sha2(F.coalesce(documents[text], F.lit("")), 256)
-    return documents.join(found.select("h_digest"), digest == F.col("h_digest"), "left_anti")
+    # whole rows travel as one struct, so that no column of theirs can clash with an inner one
+    rows = documents.select(F.struct("*").alias("row"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("digest"))
+    return rows.join(found.select("h_digest"), F.col("digest") == F.col("h_digest"), "left_anti").select("row.*")

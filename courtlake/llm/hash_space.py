@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 
 _HALF = np.uint64(32)
 _LOW = np.uint64(0xFFFFFFFF)
-MEMO = 400_000  # words a task remembers; then it starts anew
+MEMO = 250_000  # words a task remembers; then it starts anew
 
 
 def part_count(spark: SparkSession, entries: float, per_part: int) -> int:

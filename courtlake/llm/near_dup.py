@@ -154,7 +154,8 @@ def duplicate_classes(documents: DataFrame, key: str, text: str, shingle: int, p
     members = stored(shared.select("cls", "bucket").join(leaders, "bucket"), "led-buckets")
 
     sample = F.min(F.struct("content", "k"))
-    texts = signed.select("cls", "content", "k").join(members.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(sample.alias("of"))
+    # reduced first: the copies of a text meet in their tasks, before they travel
+    texts = stored(signed.groupBy("cls").agg(sample.alias("of")), "samples").join(members.select("cls").distinct(), "cls", "left_semi")
     texts = texts.select("cls", F.col("of.content").alias("c_content"), F.col("of.k").alias("c_k"))
     chosen = source.join(texts, (F.col("content") == F.col("c_content")) & F.col("k").eqNullSafe(F.col("c_k")))
     sets = stored(chosen.select("cls", "text").mapInArrow(_sets(shingle), "cls binary, shingles array<bigint>").dropDuplicates(["cls"]), "sets")
@@ -211,12 +212,14 @@ def without_near_duplicates(documents: DataFrame, key: str = "doc_id", text: str
     best = stored(rows.groupBy("component").agg(F.min(rank).alias("best")).withColumnRenamed("component", "c"), "component-ids")
     same = F.col("k").eqNullSafe(F.col("best.k")) & (F.col("content") == F.col("best.content"))
     away = rows.join(best, F.col("component") == F.col("c")).where(~same).select(F.col("k").alias("away_k"), F.col("content").alias("away_content")).distinct()
-    content = F.sha2(F.coalesce(documents[text], F.lit("")), 256)
-    kept = documents.join(away, documents[key].eqNullSafe(F.col("away_k")) & (content == F.col("away_content")), "left_anti")
+    # whole rows travel as one struct, so that no column of theirs can clash with an inner one
+    docs = documents.select(F.struct("*").alias("row"), F.col(key).alias("d_key"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("d_content"))
+    kept = docs.join(away, F.col("d_key").eqNullSafe(F.col("away_k")) & (F.col("d_content") == F.col("away_content")), "left_anti")
     twice = rows.groupBy("k", "content").count().where("count > 1").select(F.col("k").alias("r_k"), F.col("content").alias("r_content"))
     twice = stored(twice, "repeated-rows")
     if twice.isEmpty():
-        return kept
-    repeated = kept[key].eqNullSafe(F.col("r_k")) & (F.sha2(F.coalesce(kept[text], F.lit("")), 256) == F.col("r_content"))
-    once = kept.join(twice, repeated, "left_semi").groupBy(key, text).agg(*[F.first(c).alias(c) for c in kept.columns if c not in (key, text)])
-    return kept.join(twice, repeated, "left_anti").unionByName(once.select(*kept.columns))
+        return kept.select("row.*")
+    repeated = F.col("d_key").eqNullSafe(F.col("r_k")) & (F.col("d_content") == F.col("r_content"))
+    # of rows alike in key and text the one that comes first as JSON stays, whatever the order of files
+    once = kept.join(twice, repeated, "left_semi").groupBy("d_key", "d_content", F.col(f"row.{text}").isNull()).agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return kept.join(twice, repeated, "left_anti").select("row.*").unionByName(once.select("row.*"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtlake.llm.common import shared_folder
+from courtlake.llm.common import shared_folder, stored
 from courtlake.llm.token_memo import PieceCounts, in_worker, slices
 
 CHARS = 2_000_000  # characters that a task encodes at a time
@@ -63,6 +63,7 @@ def token_counts(documents: DataFrame, model_path: str, cache: str | None = None
     encoded.select("content", F.lit(tokenizer).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
 
     n_tokens = F.col("n_tokens")
-    return rows.select("k", "content", F.octet_length("text").cast("long").alias("n_bytes")).join(known(), "content", "left").select(
+    counts = stored(known(), "known-counts")  # a plain table: adaptive execution can split a hot content of the join
+    return rows.select("k", "content", F.octet_length("text").cast("long").alias("n_bytes")).join(counts, "content", "left").select(
         F.col("k").alias(key), "n_bytes", n_tokens, (n_tokens > limit).alias("over_limit")
     )

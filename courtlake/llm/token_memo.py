@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from itertools import chain
 
@@ -39,12 +40,24 @@ def _printable_bytes() -> dict[int, int]:
     return {b: b for b in stays} | {b: 256 + i for i, b in enumerate(moved)}
 
 
+def _is_plain(definition: dict) -> bool:
+    """Whether a text's ids are those of its byte-level pieces, one by one."""
+    split, model = definition.get("pre_tokenizer") or {}, definition["model"]
+    around = [definition.get(k) for k in ("normalizer", "post_processor", "truncation", "padding")]
+    marks = [model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix")]
+    return (
+        not any(around) and not any(marks) and model.get("type") == "BPE"
+        and split.get("type") == "ByteLevel" and not split.get("add_prefix_space", True) and split.get("use_regex", True)
+    )
+
+
 class ByteBpe:
     """Ids of a byte-level BPE of the tokenizers library, as little-endian unsigned 32-bit integers.
 
     Merges never cross the pieces of the pre-tokenizer, so a text's ids are those of its pieces. The
     library's model encodes each piece that is not remembered. Texts with characters beyond Latin and
-    common punctuation, or with the string of an added token, go to the library as a whole.
+    common punctuation, or with the string of an added token, go to the library as a whole; so do all texts
+    if the definition has more than a plain byte-level split before a plain model.
     """
 
     def __init__(self, definition: bytes):
@@ -54,6 +67,7 @@ class ByteBpe:
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.spelled = _printable_bytes()
         self.pieces = _Memo(self._pieces)
+        self.plain = _is_plain(json.loads(definition))
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         tokenize = self.library.model.tokenize
@@ -63,6 +77,8 @@ class ByteBpe:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.plain:
+            return [self.whole(t) for t in texts]
         split = [None if _RARE.search(t) or any(a in t for a in self.added) else _PIECE.findall(t) for t in texts]
         ids = self.pieces.learn(chain.from_iterable(p for p in split if p))
         return [self.whole(t) if p is None else b"".join(map(ids.__getitem__, p)) for t, p in zip(texts, split, strict=True)]

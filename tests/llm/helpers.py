@@ -8,12 +8,13 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 #: Extra columns whose names the operators use inside.
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, k string, kept string, digest string, size string, score string, q string"
+_INNER = ["away_k", "away_content", "r_k", "r_content", "h_digest", "row", "content", "d_key", "d_content", "part", "chunk", "cls", "n", "component"]
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, k string, kept string, digest string, size string, score string, q string" + "".join(f", {c} string" for c in _INNER)
 
 
 def documents(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     """Rows of (doc_id, text) or (doc_id, text, source) or (doc_id, text, source, lang)."""
-    full = [(r[0], r[1], r[3] if len(r) > 3 else None, r[2] if len(r) > 2 else None, None, "a", None, "c", "d", None, "f") for r in rows]
+    full = [(r[0], r[1], r[3] if len(r) > 3 else None, r[2] if len(r) > 2 else None, None, "a", None, "c", "d", None, "f", *_INNER) for r in rows]
     return spark.createDataFrame(full, SCHEMA).repartition(3)
 
 

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from courtlake.llm import components, near_dup
 from courtlake.llm.words import WordHashes, alnum_words, blank_words, gram_hashes
@@ -79,6 +80,19 @@ def test_null_keys_in_one_component_are_all_kept(spark):
     assert got == [("8", "8", True), ("9", "8", False), ("None", "None", True), ("None", "None", True)]
 
 
+def test_of_repeated_rows_one_stays_whatever_the_order(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, None), (2, ""), (2, "")]
+    df = documents(spark, rows).withColumn("n_chars", F.monotonically_increasing_id() % 7)
+    for some in (df, df.repartition(5, "n_chars")):
+        kept = near_dup.without_near_duplicates(some)
+        assert kept.columns == df.columns
+        got = sorted(((r.doc_id, r.text, r.n_chars) for r in kept.collect()), key=str)
+        want = {(r.doc_id, r.text): [] for r in df.collect()}
+        for r in df.collect():
+            want[r.doc_id, r.text].append(r.n_chars)
+        assert [g[:2] for g in got] == sorted(want, key=str) and all(g[2] == min(want[g[:2]]) for g in got)
+
+
 def test_empty_table(spark):
     df = documents(spark, [])
     assert near_dup.near_duplicates(df).collect() == [] and near_dup.without_near_duplicates(df).collect() == []

@@ -1,3 +1,4 @@
+import json
 import zlib
 
 import numpy as np
@@ -113,3 +114,21 @@ def test_counts_of_another_tokenizer_are_not_used(spark, tmp_path):
     content = spark.range(1).select(F.sha2(F.lit("hello"), 256).alias("c")).first().c
     spark.createDataFrame([(content, "older tokenizer", 999)], token_counts.CACHE_SCHEMA).write.parquet(cache)
     assert token_counts.token_counts(documents(spark, [(1, "hello")]), PIECES, cache).first().n_tokens == len(PIECE_LIBRARY.encode("hello"))
+
+
+VARIANTS = [
+    {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}},
+    {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}},
+    {"normalizer": {"type": "Lowercase"}},
+    {"truncation": {"direction": "Right", "max_length": 3, "strategy": "LongestFirst", "stride": 0}},
+]
+
+
+@pytest.mark.parametrize("change", VARIANTS)
+def test_other_definitions_go_to_the_library(change):
+    with open(BPE, "rb") as f:
+        definition = json.dumps(json.load(f) | change).encode()
+    library, memo = Tokenizer.from_str(definition.decode()), ByteBpe(definition)
+    texts = ["Some words, AND more", " two  blanks", "", "don't"]
+    assert not memo.plain and memo.encode(texts) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert MEMO.plain
