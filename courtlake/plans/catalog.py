@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from courtlake import schemas
 from courtlake.functions.calendar import instant
 from courtlake.functions.casting import number_or_zero, whole
-from courtlake.operators import keyed, quality
+from courtlake.operators import key_filter, keyed, quality
 from courtlake.operators.skew import measured
 from courtlake.plans import features, impact, leaderboards, lookups, marts, prediction, staging
 from courtlake.plans.scaling import ColumnScaler
@@ -451,6 +451,18 @@ def insert_if_absent_teams(i: Inputs) -> DataFrame:
     return _absent(rows, ["game_id", "team_id"], ["game_date"])
 
 
+@query
+def insert_if_absent_by_filter(i: Inputs) -> DataFrame:
+    """The player rows to add, searched for only in the seasons whose key filter knows one of them."""
+    key, rows = ["game_id", "person_id"], i.player_games.select("person_id", *ORDER, "points")
+    seasoned = rows.withColumn(schemas.SEASON, F.year("game_date"))
+    loaded = seasoned.filter(F.col("game_date") < instant(LOADED_UNTIL))
+    filters = cut_lineage(key_filter.built(loaded.select(*key, schemas.SEASON), key))
+    seasons = key_filter.possible_seasons(rows, filters, key)
+    existing = loaded.filter(F.col(schemas.SEASON).isin(seasons))
+    return keyed.insert_if_absent(_redelivered(rows), existing, key, [F.col(c) for c in ORDER])
+
+
 @query
 def ingest_json(i: Inputs) -> DataFrame:
     parsed = i.table("events").withColumn("doc", F.from_json("props", "k INT, absent INT"))

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from courtlake import schemas
+from courtlake.operators.key_filter import FILTER, KEYS_PER_BLOCK, block_count, built, filter_rows, filter_sizes, possible_seasons, season_sizes
 from courtlake.operators.keyed import insert_if_absent
 from courtlake.operators.quality import split_required
+from courtlake.session import cut_lineage
 from courtlake.sources import daily
 from courtlake.sources.tables import Tables
 
@@ -23,8 +26,8 @@ def load_documents(documents: DataFrame, tables: Tables, load_ts: dt.datetime) -
     required value are appended to the table's counterpart in layer ``rejects``; a repeated load
     lists them again.
 
-    All seasons are searched for the batch's keys, since a row may come again with another date. Only the
-    key columns are read.
+    A row may come again with another date, so it may be stored under any season. A filter of the stored
+    keys per season (layer ``keys``) tells which seasons to open; the search there is exact.
     """
     documents = documents.persist()  # parsed once for three tables; lost parts are parsed again
     try:
@@ -43,7 +46,53 @@ def _append_absent(batch: DataFrame, name: str, tables: Tables) -> None:
     key = schemas.KEYS[name]
     if usable.isEmpty():
         return
-    existing = tables.read("public", name, schemas.SOURCE_TABLES[name])
+    filters = key_filters(tables, name)
+    sizes = filter_sizes(filters)
+    existing = tables.read("public", name, schemas.SOURCE_TABLES[name], seasons=possible_seasons(usable, filters, key, sizes))
     order = [F.col(c).desc() for c in batch.columns if c not in key]
-    fresh = insert_if_absent(usable, existing, key, order).withColumn(schemas.SEASON, F.year("game_date"))
+    fresh = cut_lineage(insert_if_absent(usable, existing, key, order).withColumn(schemas.SEASON, F.year("game_date")))
+    # the filter first: a key that it knows too early costs a search, one that it lacks a second row
+    _extend_filters(tables, name, fresh, filters, sizes)
     tables.append(fresh, "public", name, [schemas.SEASON])
+
+
+def key_filters(tables: Tables, name: str) -> DataFrame:
+    """The filters of a fact table; built from its keys where there are none yet."""
+    if not tables.exists("keys", name):
+        tables.append(built(_keys(tables, name), schemas.KEYS[name]), "keys", name)
+    return tables.read("keys", name, FILTER)
+
+
+def _keys(tables: Tables, name: str, seasons: list[int] | None = None) -> DataFrame:
+    key = schemas.KEYS[name]
+    if not tables.exists("public", name):
+        return tables.read("public", name, schemas.SOURCE_TABLES[name]).select(*key, F.lit(0).alias(schemas.SEASON))
+    df = tables.read("public", name, seasons=seasons)
+    return df.select(*key, (F.col(schemas.SEASON) if schemas.SEASON in df.columns else F.year("game_date")).alias(schemas.SEASON))
+
+
+def _extend_filters(tables: Tables, name: str, fresh: DataFrame, filters: DataFrame, now: dict[int, tuple[int, int]]) -> None:
+    """Set the new keys. A season that outgrows its filter gets a larger one, from its own keys and the new ones."""
+    key, new = schemas.KEYS[name], season_sizes(fresh)
+    if not new:
+        return
+    crowded = [s for s, n in new.items() if s in now and now[s][1] + n > KEYS_PER_BLOCK * now[s][0]]
+    if crowded:
+        keys = _keys(tables, name, crowded).unionByName(fresh.where(F.col(schemas.SEASON).isin(crowded)).select(*key, schemas.SEASON))
+        others = filters.where(~F.col(schemas.SEASON).isin(crowded))
+        tables.replace(others.unionByName(built(keys, key)), "keys", name)
+    rest = fresh.where(~F.col(schemas.SEASON).isin(crowded)) if crowded else fresh
+    sizes = {s: now[s][0] if s in now else block_count(n) for s, n in new.items() if s not in crowded}
+    if sizes:
+        tables.append(filter_rows(rest, key, sizes), "keys", name)
+
+
+def rebuild_filters(tables: Tables, usable: dict[str, DataFrame], swap: Callable[[], None]) -> None:
+    """Run ``swap``, which replaces the fact tables by ``usable``; at any moment the filters know all live keys."""
+    fresh = {}
+    for name in schemas.FACTS:
+        fresh[name] = cut_lineage(built(usable[name].select(*schemas.KEYS[name], schemas.SEASON), schemas.KEYS[name]))
+        if tables.exists("keys", name):
+            tables.append(fresh[name], "keys", name)
+    swap()
+    tables.replace_all(fresh, "keys")

@@ -12,6 +12,7 @@ from courtlake.functions import calendar
 from courtlake.operators import quality
 from courtlake.operators.keyed import latest_per_key
 from courtlake.plans import features, impact, marts, prediction, staging
+from courtlake.plans.daily_load import rebuild_filters
 from courtlake.session import cut_lineage
 from courtlake.sources.backfill import read_backfill
 from courtlake.sources.tables import Tables
@@ -33,7 +34,8 @@ def backfill(spark: SparkSession, folder: str, tables: Tables, current_year: int
         usable[name] = latest_per_key(complete, key, [F.col(c).desc() for c in df.columns if c not in key])
         if name in schemas.FACTS:
             usable[name] = usable[name].withColumn(schemas.SEASON, F.year("game_date"))
-    tables.replace_all(usable, "public", {name: [schemas.SEASON] for name in schemas.FACTS})
+    by_season = {name: [schemas.SEASON] for name in schemas.FACTS}
+    rebuild_filters(tables, usable, lambda: tables.replace_all(usable, "public", by_season))
     tables.replace_all(rejected, "rejects")
     return {name: tables.read("rejects", name).count() for name in rejected}
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from courtlake.schemas import SEASON, Schema, as_ddl
 
-LAYERS = ("public", "staging", "marts", "analytics", "rejects")
+LAYERS = ("public", "staging", "marts", "analytics", "rejects", "keys", "states")
 
 
 class Tables:
@@ -26,16 +26,20 @@ class Tables:
     def exists(self, layer: str, name: str) -> bool:
         return self._fs().exists(self._path(self.path(layer, name)))
 
-    def read(self, layer: str, name: str, schema: Schema | None = None, since_season: int | None = None) -> DataFrame:
+    def read(
+        self, layer: str, name: str, schema: Schema | None = None, since_season: int | None = None, seasons: list[int] | None = None
+    ) -> DataFrame:
         """A table; with ``schema``, its columns only, and an empty one where there is none yet.
 
-        ``since_season`` opens only the partitions of that season and later ones.
+        ``since_season`` opens only the partitions of that season and later ones, ``seasons`` only those named.
         """
         if schema is not None and not self.exists(layer, name):
             return self.spark.createDataFrame([], as_ddl(schema))
         df = self.spark.read.parquet(self.path(layer, name))
         if since_season is not None and SEASON in df.columns:
             df = df.filter(F.col(SEASON) >= since_season)
+        if seasons is not None and SEASON in df.columns:
+            df = df.filter(F.col(SEASON).isin(seasons) if seasons else F.lit(False))
         return df if schema is None else df.select(*schema)
 
     def append(self, df: DataFrame, layer: str, name: str, partition_by: list[str] | None = None) -> None:

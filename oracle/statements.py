@@ -247,6 +247,7 @@ def statements() -> dict[str, str]:
         (PARTITION BY g.game_id, g.person_id ORDER BY {', '.join(ORDER)}) AS rank FROM player_games g) g
         WHERE rank = 1 AND NOT EXISTS (SELECT 1 FROM player_games e WHERE e.game_date < TIMESTAMP '2000-01-01'
         AND e.game_id = g.game_id AND e.person_id = g.person_id)"""
+    q["insert_if_absent_by_filter"] = q["insert_if_absent_players"]
     q["insert_if_absent_teams"] = """SELECT game_id, team_id, game_date, team_score, opponent_score, win FROM team_games
         WHERE game_date >= TIMESTAMP '2000-01-01'"""
     q["ingest_json"] = """SELECT event_id, ts AS game_date, user_id AS person_id, event_type,
