@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from courtlake import schemas
 from courtlake.functions.calendar import instant
 from courtlake.functions.casting import number_or_zero, whole
-from courtlake.operators import key_filter, keyed, quality
+from courtlake.operators import key_filter, keyed, quality, states
 from courtlake.operators.skew import measured
-from courtlake.plans import features, impact, leaderboards, lookups, marts, prediction, staging
+from courtlake.plans import features, impact, increments, leaderboards, lookups, marts, prediction, staging
 from courtlake.plans.scaling import ColumnScaler
 from courtlake.session import cut_lineage, scratch_folder, tune
 from courtlake.sources import daily, rejects
@@ -217,6 +217,41 @@ def unified_player(i: Inputs) -> DataFrame:
     return rounded(marts.unified_player(i.season_stats, i.rating))
 
 
+def _in_loads(rows: DataFrame) -> list[DataFrame]:
+    """Rows as three loads arrive: the history, and two later ones that each reach over several seasons."""
+    late, month = F.col("game_date") >= instant(LOADED_UNTIL), F.month("game_date") % 5 == 0
+    return [rows.filter(~late & ~month), rows.filter(~late & month), rows.filter(late)]
+
+
+def _state_after_loads(spec: states.KeyedState, rows: DataFrame) -> DataFrame:
+    first, *more = _in_loads(rows)
+    state = cut_lineage(spec.state(first))
+    for load in more:
+        state = cut_lineage(spec.added(state, load))
+    return state
+
+
+@query
+def player_season_by_loads(i: Inputs) -> DataFrame:
+    state = _state_after_loads(increments.player_season(), i.stg_player_games)
+    return rounded(increments.player_season_stats(state, i.stg_players, i.stg_teams))
+
+
+@query
+def team_season_by_loads(i: Inputs) -> DataFrame:
+    return rounded(increments.team_season_stats(_state_after_loads(increments.team_season(), i.stg_team_games)))
+
+
+@query
+def head_to_head_by_loads(i: Inputs) -> DataFrame:
+    return rounded(increments.head_to_head(_state_after_loads(increments.head_to_head_state(), i.stg_games)))
+
+
+@query
+def impact_rating_by_loads(i: Inputs) -> DataFrame:
+    return rounded(increments.player_impact_rating(_state_after_loads(increments.efficiency(), i.stg_player_games)))
+
+
 # --- features and form ---------------------------------------------------------------------------
 
 

@@ -17,8 +17,8 @@ from courtlake.sources import daily
 from courtlake.sources.tables import Tables
 
 
-def load_documents(documents: DataFrame, tables: Tables, load_ts: dt.datetime) -> None:
-    """Append new games, then new player and team rows.
+def load_documents(documents: DataFrame, tables: Tables, load_ts: dt.datetime) -> dict[str, DataFrame]:
+    """Append new games, then new player and team rows; returns the rows appended, per table.
 
     Rows are identified by key, so loading the same documents again, or after a failure half
     way, adds only what is missing. Where the documents repeat a key, the copy that sorts highest
@@ -31,21 +31,22 @@ def load_documents(documents: DataFrame, tables: Tables, load_ts: dt.datetime) -
     """
     documents = documents.persist()  # parsed once for three tables; lost parts are parsed again
     try:
-        _append_absent(daily.daily_games(documents), "games", tables)
+        fresh = {"games": _append_absent(daily.daily_games(documents), "games", tables)}
         games = tables.read("public", "games", schemas.GAMES)
-        _append_absent(daily.daily_player_rows(documents, games, load_ts), "player_statistics", tables)
-        _append_absent(daily.daily_team_rows(documents, games, load_ts), "team_statistics", tables)
+        fresh["player_statistics"] = _append_absent(daily.daily_player_rows(documents, games, load_ts), "player_statistics", tables)
+        fresh["team_statistics"] = _append_absent(daily.daily_team_rows(documents, games, load_ts), "team_statistics", tables)
     finally:
         documents.unpersist()
+    return fresh
 
 
-def _append_absent(batch: DataFrame, name: str, tables: Tables) -> None:
+def _append_absent(batch: DataFrame, name: str, tables: Tables) -> DataFrame:
     usable, rejected = split_required(batch, schemas.REQUIRED[name])
     if not rejected.isEmpty():
         tables.append(rejected, "rejects", name)
     key = schemas.KEYS[name]
     if usable.isEmpty():
-        return
+        return batch.sparkSession.createDataFrame([], schemas.as_ddl(schemas.SOURCE_TABLES[name])).withColumn(schemas.SEASON, F.year("game_date"))
     filters = key_filters(tables, name)
     sizes = filter_sizes(filters)
     existing = tables.read("public", name, schemas.SOURCE_TABLES[name], seasons=possible_seasons(usable, filters, key, sizes))
@@ -54,6 +55,7 @@ def _append_absent(batch: DataFrame, name: str, tables: Tables) -> None:
     # the filter first: a key that it knows too early costs a search, one that it lacks a second row
     _extend_filters(tables, name, fresh, filters, sizes)
     tables.append(fresh, "public", name, [schemas.SEASON])
+    return fresh
 
 
 def key_filters(tables: Tables, name: str) -> DataFrame:

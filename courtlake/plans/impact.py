@@ -39,8 +39,13 @@ def season_scores(stg_player_games: DataFrame) -> DataFrame:
 
 
 def player_impact_rating(stg_player_games: DataFrame) -> DataFrame:
+    return rated(season_scores(stg_player_games))
+
+
+def rated(scores: DataFrame) -> DataFrame:
+    """The rating from season efficiency with z-scores."""
     rating = weighted_sum([(F.col(f"{metric}_z"), weight) for metric, weight in RATING_WEIGHTS.items()])
-    return season_scores(stg_player_games).select(
+    return scores.select(
         "person_id",
         "season_year",
         rating.alias("player_impact_rating"),

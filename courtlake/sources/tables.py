@@ -89,6 +89,14 @@ class Tables:
         for path in fresh.values():
             fs.delete(self._path(f"{path}_old"), True)
 
+    def replace_seasons(self, df: DataFrame, layer: str, name: str, by: str = SEASON) -> None:
+        """Replace the partitions of the seasons in ``df``; other seasons' files stay as they are.
+
+        ``df`` must not read the table itself. Spark moves the new files in when all are written.
+        """
+        writer = df.hint("rebalance", by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy(by).parquet(self.path(layer, name))
+
     def _move(self, source: str, target: str) -> None:
         if not self._fs().rename(self._path(source), self._path(target)):
             raise OSError(f"cannot move {source} to {target}")

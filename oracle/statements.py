@@ -307,4 +307,10 @@ def statements() -> dict[str, str]:
         UNION ALL SELECT 'player_games.person_id was drafted', count(*) FROM player_games WHERE person_id NOT IN
             (SELECT person_id FROM players WHERE draft_year IS NOT NULL)) c"""
 
+    for name, full in {
+        "player_season_by_loads": "player_season_stats", "team_season_by_loads": "team_season_stats",
+        "head_to_head_by_loads": "head_to_head", "impact_rating_by_loads": "player_impact_rating",
+    }.items():
+        q[name] = q[full]  # states after some loads are those of a full rebuild
+
     return {name: _with_views(body) for name, body in q.items()}
