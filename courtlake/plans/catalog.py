@@ -5,6 +5,7 @@ Doubles are rounded to six places here, for comparison only; the plans do not ro
 
 from __future__ import annotations
 
+import dataclasses
 import datetime as dt
 from collections.abc import Callable
 
@@ -14,9 +15,11 @@ from pyspark.sql import functions as F
 from courtlake import schemas
 from courtlake.functions.calendar import instant
 from courtlake.functions.casting import number_or_zero, whole
-from courtlake.operators import key_filter, keyed, quality, states
+from courtlake.functions.strings import strict_name
+from courtlake.operators import gram_index, key_filter, keyed, page_index, paging, quality, states
 from courtlake.operators.skew import measured
 from courtlake.plans import features, impact, increments, leaderboards, lookups, marts, prediction, staging
+from courtlake.plans.linear import LinearTargets
 from courtlake.plans.scaling import ColumnScaler
 from courtlake.session import cut_lineage, scratch_folder, tune
 from courtlake.sources import daily, rejects
@@ -349,6 +352,47 @@ def player_log_page(i: Inputs) -> DataFrame:
     return leaderboards.player_log_page(i.player_games, 7, ORDER, limit=10, offset=10)
 
 
+def _searched(i: Inputs, text: str) -> DataFrame:
+    named = i.stg_players.withColumn("full_name", strict_name(F.col("first_name"), F.col("last_name")))
+    index = gram_index.stored_postings(named, "person_id", "full_name")
+    return gram_index.containing(named, index, "person_id", "full_name", text)
+
+
+@query
+def search_by_grams(i: Inputs) -> DataFrame:
+    found = paging.page(_searched(i, "LIER 0000"), [F.col("person_id")], limit=10, offset=5)
+    return found.select("person_id", "full_name", *_CARD, "total")
+
+
+@query
+def search_by_pair(i: Inputs) -> DataFrame:
+    return _searched(i, "07").select("person_id", "full_name")
+
+
+def _deep_page(i: Inputs, limit: int, offset: int) -> DataFrame:
+    newest = [F.col(c).desc() for c in [*ORDER, "person_id"]]
+    rows = i.player_games.select("person_id", *ORDER, "points", "assists")
+    return page_index.PageIndex.build(rows, newest, rows_per_range=2000).page(limit, offset)
+
+
+@query
+def deep_page(i: Inputs) -> DataFrame:
+    return _deep_page(i, 40, 4980)
+
+
+@query
+def last_page(i: Inputs) -> DataFrame:
+    return _deep_page(i, 500, 5700)
+
+
+@query
+def next_log_page(i: Inputs) -> DataFrame:
+    """The page of a player's log that follows a given game, found by key."""
+    log = i.player_games.filter(F.col("person_id") == 7).select(*ORDER, "points", "assists")
+    last = {"game_date": dt.datetime(1998, 6, 1), "game_id": 0} | dict.fromkeys(ORDER[2:], 0)
+    return paging.page_after(log, dict.fromkeys(ORDER, True), last, 10)
+
+
 @query
 def teams_page(i: Inputs) -> DataFrame:
     return leaderboards.teams_page(i.stg_teams, limit=10, offset=10)
@@ -659,6 +703,22 @@ def model_metrics(i: Inputs) -> DataFrame:
     )
 
 
+@query
+def target_lines(i: Inputs) -> DataFrame:
+    """Slope and start of each target by minutes played: all from one matrix."""
+    targets = [t for t in features.PLAYER_TARGETS if t != "num_minutes"]
+    fit = LinearTargets(inputCols=["num_minutes"], targetCols=targets, outputCols=[f"_{t}" for t in targets])
+    model = fit.fit(features.player_targets(i.player_games, ORDER))
+    rows = [(t, float(w[0]), b) for t, w, b in zip(targets, model.matrix(), model.getOrDefault("intercepts"), strict=True)]
+    return rounded(i.spark.createDataFrame(rows, "target string, slope double, start double"))
+
+
+@query
+def game_training_legs(i: Inputs) -> DataFrame:
+    legs = prediction.fit_best_game_model(_game_matrix(i), leg_iterations=10, most_legs=6, trees=2)[1]
+    return i.spark.createDataFrame([dataclasses.astuple(leg) for leg in legs], "leg int, iterations int, held_out_loss double, best boolean")
+
+
 @query
 def predict_matchups(i: Inputs) -> DataFrame:
     pairs = i.games.select("game_id", F.col("away_team_id").alias("home_team_id"), F.col("home_team_id").alias("away_team_id"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier
@@ -15,10 +16,13 @@ from pyspark.sql import functions as F
 from courtlake.functions.boxscore import prediction_confidence
 from courtlake.operators.windows import top_per_key
 from courtlake.plans.features import GAME_FEATURES, PLAYER_FEATURES, PLAYER_TARGETS, game_features
+from courtlake.plans.linear import LinearTargets
 from courtlake.plans.scaling import ColumnScaler
+from courtlake.session import cut_lineage
 
 SEED = 42
 TRAIN_PERCENT = 80
+PENALTY = 0.01  # of the linear player models
 HIDDEN_LAYERS = [128, 64, 32]  # fixed value: widths of the game model
 
 
@@ -43,18 +47,22 @@ def fit_game_model(features: DataFrame, max_iter: int = 60, trees: int = 10) ->
     training = played.filter(in_training("game_id")).withColumn(
         "home_win", F.when(F.col("home_score") > F.col("away_score"), 1.0).otherwise(0.0)
     )
-    winner = MultilayerPerceptronClassifier(
+    scores = [_score(side, trees) for side in ("home", "away")]
+    return Pipeline(stages=[*_inputs(GAME_FEATURES), _winner(max_iter), *scores]).fit(training)
+
+
+def _winner(max_iter: int) -> MultilayerPerceptronClassifier:
+    return MultilayerPerceptronClassifier(
         layers=[len(GAME_FEATURES), *HIDDEN_LAYERS, 2], labelCol="home_win", featuresCol="features",
         predictionCol="_winner", probabilityCol="_chances", rawPredictionCol="_raw", maxIter=max_iter, seed=SEED,
     )
-    scores = [
-        GBTRegressor(
-            labelCol=f"{side}_score", featuresCol="features", predictionCol=f"predicted_{side}_score",
-            maxIter=trees, maxDepth=4, seed=SEED,
-        )
-        for side in ("home", "away")
-    ]
-    return Pipeline(stages=[*_inputs(GAME_FEATURES), winner, *scores]).fit(training)
+
+
+def _score(side: str, trees: int) -> GBTRegressor:
+    return GBTRegressor(
+        labelCol=f"{side}_score", featuresCol="features", predictionCol=f"predicted_{side}_score",
+        maxIter=trees, maxDepth=4, seed=SEED,
+    )
 
 
 def predict_games(model: PipelineModel, features: DataFrame) -> DataFrame:
@@ -124,13 +132,48 @@ def player_model_metrics(model: PipelineModel, features: DataFrame, key: list[st
     return _metric(scored, "player", measures)
 
 
-def fit_best_game_model(features: DataFrame, iterations: tuple[int, ...] = (20, 60, 120)) -> PipelineModel:
-    """The game model whose number of iterations does best on the held-out games (log loss)."""
-    loss = {}
-    for n in iterations:
-        model = fit_game_model(features, max_iter=n)
-        loss[n] = game_model_metrics(model, features).filter("metric = 'log_loss'").first()["value"], model
-    return min(loss.items(), key=lambda entry: (entry[1][0], entry[0]))[1][1]
+@dataclass(frozen=True)
+class Leg:
+    """One leg of a fit: iterations so far, held-out log loss, and whether it is the best so far."""
+
+    leg: int
+    iterations: int
+    held_out_loss: float
+    best: bool
+
+
+def _labelled(features: DataFrame) -> DataFrame:
+    played = features.dropna(subset=["home_score", "away_score"])
+    return played.withColumn("home_win", F.when(F.col("home_score") > F.col("away_score"), 1.0).otherwise(0.0))
+
+
+def fit_best_game_model(
+    features: DataFrame, leg_iterations: int = 20, most_legs: int = 10, patience: int = 1, trees: int = 10
+) -> tuple[PipelineModel, list[Leg]]:
+    """The game model, its perceptron trained in legs until the loss on held-out games no longer falls.
+
+    Every leg goes on from the weights of the one before. After ``patience`` legs in a row without a lower
+    log loss the fit ends, and the weights of the best leg stay. The inputs are scaled and stored once.
+    """
+    played = _labelled(features)
+    inputs = Pipeline(stages=_inputs(GAME_FEATURES)).fit(played.filter(in_training("game_id")))
+    ready = cut_lineage(inputs.transform(played).select("game_id", "home_win", "features", "home_score", "away_score"))
+    training, held = ready.filter(in_training("game_id")), ready.filter(~in_training("game_id"))
+    weights, best, worse, legs = None, None, 0, []
+    while len(legs) < most_legs and worse < patience:
+        fit = _winner(leg_iterations)
+        if weights is not None:
+            fit.setInitialWeights(weights)
+        model = fit.fit(training)
+        weights = model.weights
+        loss = model.transform(held).agg(_log_loss(vector_to_array("_chances")[1])).first()[0]
+        loss = float("inf") if loss is None else loss
+        better = best is None or loss < best[0]
+        worse = 0 if better else worse + 1
+        best = (loss, model) if better else best
+        legs.append(Leg(len(legs) + 1, leg_iterations * (len(legs) + 1), loss, better))
+    scores = [_score(side, trees).fit(training) for side in ("home", "away")]
+    return PipelineModel(stages=[*inputs.stages, best[1], *scores]), legs
 
 
 def predict_matchups(model: PipelineModel, matchups: DataFrame, team_games: DataFrame) -> DataFrame:
@@ -139,8 +182,8 @@ def predict_matchups(model: PipelineModel, matchups: DataFrame, team_games: Data
 
 
 def linear(target: str, output: str) -> Estimator:
-    """One pass per target: the normal equations need only a small matrix per partition."""
-    return LinearRegression(labelCol=target, featuresCol="features", predictionCol=output, solver="normal", regParam=0.01)
+    """One pass for this target alone; ``LinearTargets`` fits all in one."""
+    return LinearRegression(labelCol=target, featuresCol="features", predictionCol=output, solver="normal", regParam=PENALTY)
 
 
 def boosted(target: str, output: str) -> Estimator:
@@ -149,13 +192,18 @@ def boosted(target: str, output: str) -> Estimator:
 
 
 def fit_player_model(
-    features: DataFrame, key: list[str], regressor: Callable[[str, str], Estimator] = linear
+    features: DataFrame, key: list[str], regressor: Callable[[str, str], Estimator] | None = None
 ) -> PipelineModel:
-    """One regressor per predicted statistic, on a shared vector of 33 features.
+    """Linear regressions of all predicted statistics on 33 features, from one pass over the rows.
 
-    ``features`` carries the targets under the name ``target_<statistic>``.
+    ``features`` carries the targets under the name ``target_<statistic>``. With ``regressor`` (``linear``,
+    ``boosted``) each statistic is fitted by itself, on a shared vector.
     """
     training = features.filter(in_training(*key))
+    if regressor is None:
+        targets, outputs = [f"target_{t}" for t in PLAYER_TARGETS], [f"_{t}" for t in PLAYER_TARGETS]
+        together = LinearTargets(inputCols=PLAYER_FEATURES, targetCols=targets, outputCols=outputs, regParam=PENALTY)
+        return Pipeline(stages=[ColumnScaler(inputCols=PLAYER_FEATURES), together]).fit(training)
     outputs = [regressor(f"target_{t}", f"_{t}") for t in PLAYER_TARGETS]
     return Pipeline(stages=[*_inputs(PLAYER_FEATURES), *outputs]).fit(training)
 

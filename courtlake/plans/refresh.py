@@ -95,18 +95,23 @@ def data_tests(games: DataFrame, rating: DataFrame, players: DataFrame) -> DataF
     )
 
 
-def train(tables: Tables, since: dt.date, model_root: str) -> None:
-    """Fit and save both models on box scores from ``since`` on."""
+def train(tables: Tables, since: dt.date, model_root: str, **fit: int) -> list[prediction.Leg]:
+    """Fit and save both models on box scores from ``since`` on; returns the legs of the game model's fit.
+
+    ``fit`` may bound the game model's legs (see ``prediction.fit_best_game_model``).
+    """
     def read(name: str) -> DataFrame:
         return tables.read("public", name, schemas.SOURCE_TABLES[name], since_season=since.year)
 
     games = read("games").filter(calendar.since(F.col("game_date"), since))
     team_rows = read("team_statistics").filter(calendar.since(F.col("game_date"), since))
     matrix = cut_lineage(features.prior_game_features(games, team_rows))
-    prediction.save(prediction.fit_game_model(matrix), f"{model_root}/game")
+    model, legs = prediction.fit_best_game_model(matrix, **fit)
+    prediction.save(model, f"{model_root}/game")
 
     players = tables.read("public", "players")
     rows = features.player_training_frame(read("player_statistics"), players, since)
     targets = {f"target_{t}": F.coalesce(F.col(t), F.lit(0)).cast("double") for t in features.PLAYER_TARGETS}
     past = features.player_features(rows.withColumns(targets), GAME_ORDER, leak_free=True, carry=tuple(targets))
     prediction.save(prediction.fit_player_model(cut_lineage(past), ["person_id", *GAME_ORDER]), f"{model_root}/player")
+    return legs

@@ -307,6 +307,19 @@ def statements() -> dict[str, str]:
         UNION ALL SELECT 'player_games.person_id was drafted', count(*) FROM player_games WHERE person_id NOT IN
             (SELECT person_id FROM players WHERE draft_year IS NOT NULL)) c"""
 
+    q["search_by_grams"] = q["search_page"]
+    q["search_by_pair"] = """SELECT person_id, first_name || ' ' || last_name AS full_name FROM players
+        WHERE (first_name || ' ' || last_name) ILIKE '%07%'"""
+    deep = f"""SELECT {KEY}, points, assists, (SELECT count(*) FROM player_games) AS total FROM player_games
+        ORDER BY {FORM_LATEST}, person_id DESC"""
+    q["deep_page"] = f"{deep} LIMIT 40 OFFSET 4980"
+    q["last_page"] = f"{deep} LIMIT 500 OFFSET 5700"
+    q["next_log_page"] = f"""SELECT {', '.join(ORDER)}, points, assists FROM player_games
+        WHERE person_id = 7 AND game_date < TIMESTAMP '1998-06-01' ORDER BY {FORM_LATEST} LIMIT 10"""
+    q["target_lines"] = " UNION ALL ".join(
+        f"SELECT '{t}' AS target, {r(f'regr_slope({t}, num_minutes)', 'slope')}, {r(f'regr_intercept({t}, num_minutes)', 'start')} FROM player_games"
+        for t in TARGETS if t != "num_minutes"
+    )
     for name, full in {
         "player_season_by_loads": "player_season_stats", "team_season_by_loads": "team_season_stats",
         "head_to_head_by_loads": "head_to_head", "impact_rating_by_loads": "player_impact_rating",

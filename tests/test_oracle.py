@@ -8,7 +8,7 @@ from oracle import statements
 from tests.compare import differences, oracle_connection
 
 ORACLE = statements()
-ROWS_ONLY = {"predict_game", "predict_player", "predict_matchups", "model_metrics"}
+ROWS_ONLY = {"predict_game", "predict_player", "predict_matchups", "model_metrics", "game_training_legs"}
 
 
 @pytest.fixture(scope="module")
