@@ -22,6 +22,47 @@ def test_failed_replace_keeps_the_old_rows(spark, tmp_path):
     assert tables.read("marts", "t").count() == 5
 
 
+def test_a_reader_sees_one_whole_version(spark, tmp_path, monkeypatch):
+    """Started before, during and after a swap."""
+    tables, seen = Tables(spark, str(tmp_path)), {}
+    tables.replace(spark.range(5), "marts", "t")
+    first = tables.read("marts", "t")
+    point = Tables._point
+
+    def during(self, folder, version):
+        seen["before"] = tables.read("marts", "t")
+        point(self, folder, version)
+        seen["after"] = tables.read("marts", "t")
+
+    monkeypatch.setattr(Tables, "_point", during)
+    tables.replace(spark.range(9), "marts", "t")
+    monkeypatch.undo()
+    tables.append(spark.range(2), "marts", "t")
+    assert [first.count(), seen["before"].count(), seen["after"].count(), tables.read("marts", "t").count()] == [5, 5, 9, 11]
+
+
+def test_old_versions_go_by_age(spark, tmp_path):
+    tables = Tables(spark, str(tmp_path))
+    versions = lambda: sorted(p.name for p in (tmp_path / "marts" / "t").glob("version-*"))
+    for n in range(3):
+        tables.replace(spark.range(n + 1), "marts", "t")
+    assert len(versions()) == 3
+    tables.remove_old("marts", "t", keep_seconds=0)
+    assert len(versions()) == 1 and tables.read("marts", "t").count() == 3
+    now = Tables(spark, str(tmp_path), keep_seconds=0)
+    now.replace(spark.range(7), "marts", "t")
+    assert len(versions()) == 1 and now.read("marts", "t").count() == 7
+
+
+def test_a_folder_without_a_pointer_is_a_version(spark, tmp_path):
+    spark.range(4).write.parquet(str(tmp_path / "marts" / "t"))
+    tables = Tables(spark, str(tmp_path))
+    tables.append(spark.range(1), "marts", "t")
+    assert tables.read("marts", "t").count() == 5
+    tables.replace(tables.read("marts", "t").filter("id > 1"), "marts", "t")
+    assert tables.read("marts", "t").count() == 2
+
+
 def test_append_and_empty_read(spark, tmp_path):
     tables = Tables(spark, str(tmp_path))
     assert tables.read("public", "t", {"id": "bigint"}).isEmpty()
@@ -82,5 +123,5 @@ def test_partitioned_write_makes_few_files(spark, tmp_path):
     tables = Tables(spark, str(tmp_path))
     rows = spark.range(0, 4000, 1, 16).selectExpr("id", "2000 + id % 4 AS season_year")
     tables.replace(rows, "marts", "t", ["season_year"])
-    assert len(list((tmp_path / "marts" / "t").glob("season_year=*/*.parquet"))) <= 8
+    assert len(list((tmp_path / "marts" / "t").glob("version-*/season_year=*/*.parquet"))) <= 8
     assert tables.read("marts", "t").count() == 4000

@@ -112,15 +112,15 @@ def test_a_failed_write_or_swap_keeps_every_table(spark, tmp_path, monkeypatch):
     with pytest.raises(Exception, match="(?i)zero"):
         lake.replace_all({"a": spark.range(7), "b": spark.range(8), "c": damaged}, "public")
     assert sizes() == [1, 2, 3]
-    move, calls = Tables._move, []
+    point, calls = Tables._point, []
 
-    def failing(self, source, target):
-        calls.append(target)
-        if len(calls) == 4:  # the second table's new files cannot be moved in
+    def failing(self, folder, version):
+        calls.append(folder)
+        if len(calls) == 2:  # the second table cannot be pointed to its new version
             raise OSError("no rename today")
-        move(self, source, target)
+        point(self, folder, version)
 
-    monkeypatch.setattr(Tables, "_move", failing)
+    monkeypatch.setattr(Tables, "_point", failing)
     with pytest.raises(OSError, match="today"):
         lake.replace_all({n: spark.range(9) for n in "abc"}, "public")
     monkeypatch.undo()
