@@ -26,7 +26,8 @@ def gramian(df: DataFrame, columns: list[str]) -> np.ndarray:
     """
     rows = df.select(*[F.col(c).cast("double").alias(f"_{n}") for n, c in enumerate(columns)], F.lit(1.0).alias("_one"))
     assembled = VectorAssembler(inputCols=rows.columns, outputCol="_row").transform(rows).select("_row")
-    return RowMatrix(MLUtils.convertVectorColumnsFromML(assembled, "_row")).computeGramianMatrix().toArray()
+    vectors = MLUtils.convertVectorColumnsFromML(assembled, "_row")
+    return RowMatrix(vectors, 0, len(rows.columns)).computeGramianMatrix().toArray()
 
 
 def solved(gram: np.ndarray, n_features: int, reg_param: float) -> tuple[np.ndarray, np.ndarray]:
