@@ -64,9 +64,9 @@ class LinearTargets(Estimator, HasInputCols, HasOutputCols, HasRegParam, Default
 
     def _fit(self, dataset: DataFrame) -> LinearTargetsModel:
         features, targets = self.getInputCols(), self.getOrDefault("targetCols")
-        gram = gramian(dataset, [*features, *targets])
-        if not gram[-1, -1]:
+        if dataset.isEmpty():
             raise ValueError("no rows to fit")
+        gram = gramian(dataset, [*features, *targets])
         coefficients, intercepts = solved(gram, len(features), self.getRegParam())
         return LinearTargetsModel(inputCols=features, outputCols=self.getOutputCols(), coefficients=coefficients.ravel().tolist(), intercepts=intercepts.tolist())
 
