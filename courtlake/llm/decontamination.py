@@ -138,7 +138,9 @@ def contamination(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id
     Texts are joined as digests, so copies of a text count once before the shuffle.
 
     Null and empty texts have no words and no hits. Null item ids hit but are not listed. Repeated rows
-    give repeated results. With no hit, items_sha256 is the digest of an empty list.
+    give repeated results. With no hit, items_sha256 is the digest of an empty list. An empty benchmark
+    hits nothing, an empty table gives no rows. A text of any length is read whole, by one task. Only the
+    columns named are read; others, of whatever name, do not matter.
     """
     rows, found = benchmark_hits(documents, benchmark, [key], text, item, item_text)
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
@@ -149,7 +151,11 @@ def contamination(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id
 
 
 def without_contaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``documents``, all columns, whose text has no hit."""
+    """The rows of ``documents``, all columns, whose text has no hit.
+
+    Null and empty texts stay, repeated rows stay or go together, an empty benchmark lets all stay.
+    Columns may have any names, as rows travel in a struct.
+    """
     _, found = benchmark_hits(documents, benchmark, [], text, item, item_text)
     # whole rows travel as one struct, so that no column of theirs can clash with an inner one
     rows = documents.select(F.struct("*").alias("row"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("digest"))

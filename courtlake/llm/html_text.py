@@ -318,8 +318,9 @@ def main_texts(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
     one space in page order.
 
     Null or empty HTML gives an empty text. Pages with a null URL, or without ``://``, vote as one host.
-    Repeated rows give repeated results. Votes are combined before the shuffle, one row per host and
-    path, so a crowded host is no crowded task.
+    Repeated rows give repeated results, an empty table gives no rows. A page of any length is parsed
+    whole, in one task. Only the three columns named are read; others, of whatever name, do not matter.
+    Votes are combined before the shuffle, one row per host and path, so a crowded host is no crowded task.
     """
     # stored, so that Spark knows their size: few hosts are broadcast, and the pages stay where they are
     winners = stored(host_paths(pages, url, html).withColumnRenamed("host", "w_host"), "host-paths")

@@ -191,7 +191,9 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
 
     Null, empty and blank texts have no shingles and are linked with nothing. A null key is no smallest
     key: a component without keys has a null component_id, and its documents are all kept. Rows that
-    repeat an id and text are one component with that id and all kept.
+    repeat an id and text are one component with that id and all kept. An empty table gives no rows. A text
+    of any length is one set, held whole by a task. Only ``key`` and ``text`` are read; other columns, of
+    whatever name, do not matter.
     """
     signed, roots = duplicate_classes(documents, key, text, shingle, percent)
     rows = stored(_with_component(signed, roots), "near-duplicates")
@@ -204,7 +206,8 @@ def without_near_duplicates(documents: DataFrame, key: str = "doc_id", text: str
     """The rows of ``documents``, all columns, with one document of each component: the one of least key.
 
     Null keys come after all others; of equal keys the text of least digest stays; of rows that repeat
-    key and text one stays. Texts without words all stay, except repeated rows.
+    key and text the one that comes first as JSON stays. Texts without words all stay, except repeated
+    rows. An empty table stays empty. Columns may have any names, as rows travel in a struct.
     """
     signed, roots = duplicate_classes(documents, key, text, shingle, percent)
     rows = stored(_with_component(signed, roots), "near-duplicates")

@@ -43,7 +43,9 @@ def token_counts(documents: DataFrame, model_path: str, cache: str | None = None
     tokenizer are encoded and appended; all others take the stored count. Without ``cache`` a new
     folder is used. Two jobs may append the same content; the reader takes one of the equal counts.
 
-    Null and empty texts have 0 bytes and 0 tokens. Repeated rows give repeated results.
+    Null and empty texts have 0 bytes and 0 tokens. Repeated rows give repeated results. An empty table gives
+    no rows. A text of any length is counted whole, in one task. Only ``key`` and ``text`` are read; other
+    columns, of whatever name, do not matter.
     """
     spark = documents.sparkSession
     cache = cache or shared_folder(spark, "token-counts")

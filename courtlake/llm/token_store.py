@@ -233,7 +233,12 @@ def read_digests(manifest: DataFrame, dictionary: bytes, key: str = "doc_id") ->
 
 
 def token_digests(documents: DataFrame, tokenizer_path: str, folder: str | None = None, key: str = "doc_id", text: str = "text", end_id: int = 2) -> DataFrame:
-    """Write the shards (to a new shared folder by default) and return what reading them back gives."""
+    """Write the shards (to a new shared folder by default) and return what reading them back gives.
+
+    One row per document: ``key``, start, n_tokens, ids_crc32. Null and empty texts have the end id alone; null
+    keys come last; repeated rows are documents of their own. An empty table writes no shard and gives
+    no rows. A text of any length is encoded whole, in one task. Other columns, of whatever name, do not matter.
+    """
     folder = folder or shared_folder(documents.sparkSession, "tokens")
     manifest, dictionary = write_tokens(documents, folder, tokenizer_path, key, text, end_id)
     return read_digests(manifest, dictionary, key)

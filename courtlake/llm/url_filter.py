@@ -39,7 +39,9 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, key: str = "page_id", url:
     starts with the rule's. The longest rule (host and path together) wins; at equal length the longer
     host, then ``block`` before ``allow``. A URL that no rule fits has a null rule and the verdict
     ``default``. Null URLs and URLs without ``://`` have an empty host and path and fit no rule; rules
-    with a null part are void, a null path counts as ``/``; repeated rows are judged alike.
+    with a null part are void, a null path counts as ``/``; repeated rows are judged alike. Without pages
+    there are no rows, without rules all URLs get ``default``. URLs of any length are read whole; columns
+    other than ``key`` and ``url`` do not matter, whatever their names.
 
     Every distinct URL is expanded into the expressions that some rule could equal: the host suffixes
     and path prefixes of the lengths that occur among the rules. They meet the rules on a short hash
