@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 from courtlake.session import ensure_checkpoint_dir
 
 
+_FOLDERS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()  # of stored tables
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -31,7 +35,17 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     """
     path = shared_folder(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _FOLDERS[table] = path
+    return table
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the folder of a table from ``stored`` that nothing will read again, as the rounds of a loop do."""
+    path = _FOLDERS.pop(df, None)
+    if path:
+        folder = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 SPARE = 4  # times the rows that a sample needs, which pass the hash threshold on average

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtlake.llm.common import stored
+from courtlake.llm.common import forget, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -33,7 +33,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = stored(links.select("a", "b").where(F.col("a") != F.col("b")).distinct(), "links")
     state = None
     while True:
-        edges = stored(_small_star(_large_star(edges)), "links")
+        last, edges = edges, stored(_small_star(_large_star(edges)), "links")
+        forget(last)
         before, state = state, edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state == before:
             break

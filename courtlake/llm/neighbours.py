@@ -13,11 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from courtlake.llm.common import stored
+from courtlake.llm.common import forget, stored
 from courtlake.llm.words import mixed
 
 DEGREE = 24  # neighbours that a node keeps
-SAMPLE = 11  # neighbours, and nodes that have it as neighbour, of which a node introduces each to each
+SAMPLE = 11  # new neighbours, as many old ones, and as many nodes that have it as neighbour, which a node introduces
 CHANGED = 0.05  # rounds of neighbours of neighbours go on while more than this share of the lists' entries is new
 CENTRE = 500  # nodes whose median the hashing takes as the centre
 TABLES, BLOCK, PER_BLOCK = 4, 24, 8  # first neighbours: so many hashings into blocks of about BLOCK nodes
@@ -48,14 +48,14 @@ def usable_vectors(vectors: DataFrame, key: str, vector: str) -> DataFrame:
 
 def _coded(kind: str, shift: int, bits: int, centre: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(node, vector) to (node, code, keys): the vector's own floats, moved by a power of two, and a block key per table."""
+        """(node, vector) to (node, code, keys): the vector's own floats, moved by a power of two like ``centre``, and a block key per table."""
         for batch in batches:
             if not len(batch):
                 continue
             x = np.stack(batch.column("vector").to_numpy(zero_copy_only=False))
             x = np.ldexp(x, shift)
             planes = np.random.default_rng(1).normal(size=(TABLES - 1, x.shape[1], bits))
-            signs = np.einsum("nd,tdb->ntb", x - np.ldexp(centre, shift), planes) > 0
+            signs = np.einsum("nd,tdb->ntb", x - centre, planes) > 0
             keys = (signs * (1 << np.arange(bits))).sum(axis=2, dtype=np.int64)
             chance = mixed(batch.column("node").to_numpy().view(np.uint64)) % np.uint64(1 << bits)  # the last table is random
             keys = np.concatenate([keys, chance.astype(np.int64)[:, None]], axis=1)
@@ -75,7 +75,10 @@ def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _introduced(most: int, kind: str) -> Callable:
-    """Members of a group to edges: to each member its ``most`` nearest others that beat its worst neighbour."""
+    """Members of a group to edges: to each member its ``most`` nearest others that beat its worst neighbour.
+
+    Two members that are both not fresh have met in an earlier round.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,6 +91,8 @@ def _introduced(most: int, kind: str) -> Callable:
                 codes = _vectors(inner.field("code"), kind)
                 d = _squares(codes[:, None], codes[None])
                 np.fill_diagonal(d, np.inf)
+                fresh = inner.field("fresh").to_numpy(zero_copy_only=False)
+                d[~(fresh[:, None] | fresh)] = np.inf  # both old: they have met
                 order = np.argsort(d, axis=1, kind="stable")[:, :most]
                 near = np.take_along_axis(d, order, 1)
                 row, at = np.nonzero(near < np.minimum(inner.field("worst").to_numpy(), MOST)[:, None])
@@ -112,8 +117,33 @@ def _edges(graph: DataFrame) -> DataFrame:
     return graph.select("u", F.explode("neighbours").alias("n")).select("u", "n.v", "n.d")
 
 
-def _members(node: str, worst: Column) -> Column:
-    return F.collect_list(F.struct(F.col(node).alias("node"), "code", worst.alias("worst"))).alias("members")
+def _members(node: str, worst: Column, fresh: Column) -> Column:
+    return F.collect_list(F.struct(F.col(node).alias("node"), "code", worst.alias("worst"), fresh.alias("fresh"))).alias("members")
+
+
+def _meetings(graph: DataFrame, round_: int) -> DataFrame:
+    """(u, v, fresh): entries of the lists that take part in a round, fresh if they did in none before.
+
+    Of each list a sample of the fresh and of the old entries, and of those a sample per ``v``, so that
+    a node that very many lists contain is in a bounded number of groups.
+    """
+    entry = lambda x: F.struct(F.xxhash64(F.col("u"), x["v"], F.lit(round_)).alias("h"), x["v"].alias("v"), (~F.array_contains("met", x["v"])).alias("fresh"))
+    marked = graph.select("u", F.array_sort(F.transform("neighbours", entry)).alias("all"))
+    some = lambda keep: F.slice(F.filter("all", keep), 1, SAMPLE)
+    sampled = marked.select("u", F.explode(F.concat(some(lambda x: x["fresh"]), some(lambda x: ~x["fresh"]))).alias("p")).select("u", "p.*")
+    back = Window.partitionBy("v", "fresh").orderBy("h", "u")
+    return sampled.withColumn("rank", F.row_number().over(back)).where(F.col("rank") <= SAMPLE).select("u", "v", "fresh")
+
+
+def _groups(meetings: DataFrame) -> DataFrame:
+    """(centre, m, fresh): who meets around which node; no group in which all have met before.
+
+    Only ids travel here. A group has ``4 * SAMPLE`` members at most.
+    """
+    sides = meetings.select(F.col("u").alias("centre"), F.col("v").alias("m"), "fresh").unionByName(meetings.select(F.col("v").alias("centre"), F.col("u").alias("m"), "fresh"))
+    groups = sides.groupBy("centre").agg(F.collect_set(F.struct("m", "fresh")).alias("all")).where(F.exists("all", lambda x: x["fresh"]))
+    members = groups.select("centre", F.explode("all").alias("x")).select("centre", "x.*")
+    return members.groupBy("centre", "m").agg(F.max("fresh").alias("fresh"))
 
 
 def _mixed_up(*columns) -> Column:
@@ -126,16 +156,19 @@ def neighbour_graph(nodes: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
     The first neighbours come from blocks of about ``BLOCK`` nodes: hashes by random hyperplanes through
     the centre, split at random where crowded, and one table of random blocks. Then every node introduces a sample of its
     neighbours, and of the nodes it is a neighbour of, to each other, round by
-    round until few entries change; lists only get nearer, so this ends. Only pairs that beat a list's
-    worst entry are passed on. Both samples are bounded per node, so a node that very
-    many lists contain is in a bounded number of groups.
+    round until few entries change; lists only get nearer, so this ends. An entry that has taken part
+    in a round is old: old ones meet only fresh ones, and a node around which nothing is fresh
+    introduces nobody, so rounds become cheaper. Only pairs that beat a list's
+    worst entry are passed on. All samples are bounded per node.
     """
-    endless = F.lit(float("inf"))
-    keyed = nodes.select("node", "code", F.posexplode("keys").alias("t", "key"))
+    endless, none, yes = F.lit(float("inf")), F.array().cast("array<bigint>"), F.lit(True)
+    keyed = nodes.select("node", F.posexplode("keys").alias("t", "key"))
     sizes = keyed.groupBy("t", "key").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     keyed = keyed.join(sizes, ["t", "key"]).withColumn("part", F.pmod(_mixed_up("node", "t"), F.col("parts")))
-    blocks = stored(keyed.groupBy("t", "key", "part").agg(_members("node", endless)), "blocks")
-    graph = stored(_best(_introduce(blocks, PER_BLOCK, kind)), "graph")
+    # ids are dealt to blocks first; a vector joins its node, of which there are few rows, then its block
+    keyed = keyed.select("node", "t", "key", "part").join(nodes.select("node", "code"), "node")
+    blocks = stored(keyed.groupBy("t", "key", "part").agg(_members("node", endless, yes)), "blocks")
+    graph = stored(_best(_introduce(blocks, PER_BLOCK, kind)).withColumn("met", none), "graph")
     chance = blocks.where(F.col("t") == TABLES - 1).select(F.col("members.node").alias("all"))
     chance = chance.select("all", F.posexplode("all").alias("at", "u"))
     around = F.transform(F.sequence(F.lit(1), F.lit(FAR)), lambda i: F.get("all", ((F.col("at") + i) % F.size("all")).cast("int")))
@@ -144,19 +177,20 @@ def neighbour_graph(nodes: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
     codes = nodes.select(F.col("node").alias("m"), "code")
     for round_ in itertools.count():
         worst = F.when(F.size("neighbours") == DEGREE, F.element_at("neighbours", -1)["d"]).otherwise(endless)
-        picked = F.slice(F.array_sort(F.transform("neighbours", lambda x: F.struct(F.xxhash64(F.col("u"), x["v"], F.lit(round_)).alias("h"), x["v"].alias("v")))), 1, SAMPLE)
-        sampled = graph.select("u", F.explode(picked).alias("p")).select("u", "p.v", "p.h")
-        back = Window.partitionBy("v").orderBy("h", "u")
-        sampled = sampled.withColumn("rank", F.row_number().over(back)).where(F.col("rank") <= SAMPLE).select("u", "v")
-        pairs = sampled.select(F.col("u").alias("centre"), F.col("v").alias("m")).unionByName(sampled.select(F.col("v").alias("centre"), F.col("u").alias("m"))).distinct()
+        meetings = stored(_meetings(graph, round_), "meetings")
         known = codes.join(graph.select(F.col("u").alias("m"), worst.alias("worst")), "m", "left").select("m", "code", F.coalesce("worst", endless).alias("worst"))
-        groups = pairs.join(known, "m").groupBy("centre").agg(_members("m", F.col("worst")))
-        old = graph.select("u", F.col("neighbours.v").alias("old"))
-        graph = stored(_best(_edges(graph).unionByName(_introduce(groups, DEGREE, kind))), "graph")
-        new = F.size(F.array_except("neighbours.v", F.coalesce("old", F.array().cast("array<bigint>"))))
-        changed, entries = graph.join(old, "u", "left").agg(F.sum(new), F.sum(F.size("neighbours"))).first()
+        groups = _groups(meetings).join(known, "m").groupBy("centre").agg(_members("m", F.col("worst"), F.col("fresh")))
+        before = graph.select("u", F.col("neighbours.v").alias("old"), "met")
+        now = meetings.where("fresh").groupBy("u").agg(F.collect_list("v").alias("now"))
+        lists = _best(_edges(graph).unionByName(_introduce(groups, DEGREE, kind))).join(before, "u", "left").join(now, "u", "left")
+        met = F.array_intersect("neighbours.v", F.concat(F.coalesce("met", none), F.coalesce("now", none)))
+        new = F.size(F.array_except("neighbours.v", F.coalesce("old", none)))
+        last, graph = graph, stored(lists.select("u", "neighbours", met.alias("met"), new.alias("new")), "graph")
+        forget(last)
+        forget(meetings)
+        changed, entries = graph.agg(F.sum("new"), F.sum(F.size("neighbours"))).first()
         if not changed or changed <= CHANGED * entries:
-            return graph, far
+            return graph.select("u", "neighbours"), far
 
 
 def _adjacency(graph: DataFrame, far: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -214,7 +248,8 @@ def _search(queries: DataFrame, nodes: DataFrame, links: DataFrame, most: int, k
         near = measure(front.hint("shuffle_hash").join(links, "u"))
         rows = beam.withColumn("done", F.lit(True)).unionByName(near.withColumn("done", F.lit(False)))
         rows = rows.groupBy("q", "v").agg(F.min("d").alias("d"), F.max("done").alias("done"))
-        beam = stored(rows.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= most).drop("rank"), "beam")
+        last, beam = beam, stored(rows.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= most).drop("rank"), "beam")
+        forget(last)
         if beam.where("not done").isEmpty():
             return beam.select("q", "v", "d")
 
@@ -252,7 +287,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_i
     bits = max(0, math.ceil(math.log2(max(n, 1) / BLOCK)))
     power = TOP if exact else math.frexp(largest or 1.0)[1]
     middle = plain.orderBy(_mixed_up("node", 11), "node").limit(CENTRE).toArrow().column("vector").to_pylist()
-    centre = np.median(middle, axis=0) if middle else np.zeros(0)  # a median: one far vector does not move it
+    # a median: one far vector does not move it; scaled before, as its sums could overflow
+    centre = np.median(np.ldexp(middle, TOP - power), axis=0) if middle else np.zeros(0)
     nodes = stored(plain.mapInArrow(_coded(kind, TOP - power, bits, centre), "node bigint, code binary, keys array<bigint>"), "codes")
     graph, far = neighbour_graph(nodes, kind)
     links = _adjacency(graph, far, nodes).sortWithinPartitions("u").persist(StorageLevel.DISK_ONLY)  # the codes of all links are many times the vectors
