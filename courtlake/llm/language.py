@@ -19,8 +19,9 @@ BUCKETS = 1 << 16  # hashed letter n-grams, one table for 3-grams and one for 4-
 LEXICON = 500  # commonest words of each language in the sample that have a weight of their own
 BLOCK = 64  # words that the forward-backward pass takes at a time in each stretch
 CHARS = 1_000_000
+PIECE = 1_000_000  # letters or words, times languages, whose scores are held at a time
 
-#: Fitting sees this many documents of each language at most, and a stretch of so many characters of each.
+#: Defaults of ``train``: documents of each language at most, and characters of each document's stretch.
 SAMPLE_DOCUMENTS, SAMPLE_CHARS = 400, 1400
 STEPS, SEQUENCES, LENGTH, RATE = 250, 48, 64, 0.5
 
@@ -78,18 +79,54 @@ class Field:
         at = np.minimum(np.searchsorted(self.lexicon, whole), max(len(self.lexicon) - 1, 0))
         return np.where(self.lexicon[at] == whole, at, len(self.lexicon)) if len(self.lexicon) else np.zeros(len(whole), int)
 
-    def emissions(self, words: Words) -> np.ndarray:
-        if not len(words.first):
-            return np.zeros((0, len(self.labels)), np.float32)
-        letters = self.three[words.three] + self.four[words.four]
-        return np.add.reduceat(letters, words.first, axis=0) + self.word[self.in_lexicon(words.whole)]
+    def emissions(self, words: Words, a: int, b: int) -> np.ndarray:
+        """Scores of the words from ``a`` to ``b``; a word longer than a piece is summed piece by piece."""
+        first, end, most = words.first[a:b], np.append(words.first, len(words.three))[a + 1 : b + 1], max(1, PIECE // len(self.labels))
+        out = self.word[self.in_lexicon(words.whole[a:b])]
+        for i, j in _ranges(end - first, most):
+            for low in range(first[i], end[j - 1], most):
+                high = min(low + most, end[j - 1])
+                letters = self.three[words.three[low:high]] + self.four[words.four[low:high]]
+                out[i:j] += np.add.reduceat(letters, np.maximum(first[i:j] - low, 0), axis=0)
+        return out
 
     def shares(self, texts: list[str]) -> np.ndarray:
-        """Expected share of each language among the words of each text; zeros without words."""
-        words = words_of(texts)
-        sums = marginal_sums(self.emissions(words), self.transitions, words.counts)
+        """Expected share of each language among the words of each text; zeros without words.
+
+        Memory is bounded by words times languages, whatever the length of a text or the number of languages.
+        """
+        words, k = words_of(texts), len(self.labels)
+        most = max(1, PIECE // k // BLOCK) * BLOCK
+        first, sums = np.cumsum(words.counts) - words.counts, np.zeros((len(texts), k))
+        for i, j in _ranges(words.counts, most):
+            a, b = first[i], first[j - 1] + words.counts[j - 1]
+            if b - a > most:
+                sums[i] = self._long(words, a, b, most)
+            else:
+                sums[i:j] = marginal_sums(self.emissions(words, a, b), self.transitions, words.counts[i:j])
         return sums / np.maximum(words.counts, 1)[:, None]
 
+    def _long(self, words: Words, a: int, b: int, most: int) -> np.ndarray:
+        """``marginal_sums`` of one text in pieces: states are carried over them, then each runs by itself."""
+        pieces = [(c, min(c + most, b)) for c in range(a, b, most)]
+        products = [whole_product(self.emissions(words, *piece), self.transitions) for piece in pieces]
+        before, after = [np.ones(len(self.labels))], [np.ones(len(self.labels))]
+        for p in products[:-1]:
+            before.append(_unit(before[-1] @ p, 0))
+        for p in reversed(products[1:]):
+            after.append(_unit(p @ after[-1], 0))
+        parts = zip(pieces, before, reversed(after), strict=True)
+        return sum(marginal_sums(self.emissions(words, *piece), self.transitions, np.array([piece[1] - piece[0]]), s, t)[0] for piece, s, t in parts)
+
+
+def _ranges(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges that cover ``sizes``, of sum ``most`` or less, or of one entry."""
+    ends, a = np.cumsum(sizes), 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+        yield a, b
+        a = b
+
 
 def _likelihoods(emissions: np.ndarray) -> np.ndarray:
     return np.exp(np.maximum(emissions - emissions.max(axis=-1, keepdims=True), -60)).astype(np.float64)
@@ -99,11 +136,29 @@ def _unit(x: np.ndarray, axes) -> np.ndarray:
     return x / x.sum(axis=axes, keepdims=True)
 
 
-def marginal_sums(emissions: np.ndarray, transitions: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def _products(e: np.ndarray, step: np.ndarray, valid: np.ndarray) -> np.ndarray:
+    """What each block of words makes of any state before it, up to a factor."""
+    product = np.broadcast_to(np.eye(len(step)), (len(e), *step.shape)).copy()
+    for t in range(BLOCK):
+        product = np.where(valid[:, t, None, None], _unit((product @ step) * e[:, t, None, :], (1, 2)), product)
+    return product
+
+
+def whole_product(emissions: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+    """What a run of words makes of any state before it, up to a factor."""
+    step, n = np.exp(transitions - transitions.max()).astype(np.float64), len(emissions)
+    places = np.arange(-(-n // BLOCK) * BLOCK).reshape(-1, BLOCK)
+    out = np.eye(len(step))
+    for product in _products(_likelihoods(emissions[np.minimum(places, n - 1)]), step, places < n):
+        out = _unit(out @ product, (0, 1))
+    return out
+
+
+def marginal_sums(emissions: np.ndarray, transitions: np.ndarray, counts: np.ndarray, left: np.ndarray | float = 1.0, right: np.ndarray | float = 1.0) -> np.ndarray:
     """Per text, the sum over its words of the label probabilities by forward-backward.
 
-    Texts are cut into blocks. A block's product of transition matrices says what it makes of any state
-    before it; those products are chained along each text, and then all blocks run side by side from
+    ``left`` and ``right`` are the states that other pieces of the texts hand over at their ends. Texts are
+    cut into blocks. A block's product of transition matrices says what it makes of any state before it; those products are chained along each text, and then all blocks run side by side from
     their true states. This is the plain algorithm in another order, for texts of any length.
     """
     k, step = len(transitions), np.exp(transitions - transitions.max()).astype(np.float64)
@@ -119,10 +174,9 @@ def marginal_sums(emissions: np.ndarray, transitions: np.ndarray, counts: np.nda
     valid = np.arange(BLOCK) < length[:, None]
     e = _likelihoods(emissions[np.where(valid, places, 0)])
 
-    product = np.broadcast_to(np.eye(k), (n, k, k)).copy()
-    for t in range(BLOCK):
-        product = np.where(valid[:, t, None, None], _unit((product @ step) * e[:, t, None, :], (1, 2)), product)
+    product = _products(e, step, valid)
     before, after = np.ones((n, k)), np.ones((n, k))
+    before[inner == 0], after[inner == blocks[owner] - 1] = left, right
     for j in range(1, int(blocks.max())):
         here = first[blocks > j] + j
         before[here] = _unit(np.einsum("bi,bij->bj", before[here - 1], product[here - 1]), 1)
@@ -212,21 +266,25 @@ def fit(stretches: list[str], labels: list[str]) -> Field:
     return field
 
 
-def train(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Field | None:
-    """Fit on ``SAMPLE_DOCUMENTS`` documents of each language, of least md5 of key and text; None without any.
+def train(
+    documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_documents: int = SAMPLE_DOCUMENTS, sample_chars: int | None = SAMPLE_CHARS
+) -> Field | None:
+    """Fit on ``sample_documents`` documents of each language, of least md5 of key and text; None without any.
 
-    A long text gives a stretch of ``SAMPLE_CHARS`` characters from a place that depends on that md5. Rows
-    with a null language or text are not used. Counts per language set a hash threshold first.
+    A long text gives a stretch of ``sample_chars`` characters from a place that depends on that md5, or is
+    taken whole if that is None. Rows with a null language or text are not used. Counts per language set a
+    hash threshold first.
     """
     order = Window.partitionBy("label").orderBy("hash", "text")
     rows = documents.select(F.col(lang).alias("label"), F.col(text).alias("text"), F.md5(F.concat_ws(":", F.col(key).cast("string"), F.md5(F.col(text)))).alias("hash"))
     rows = rows.where(F.col("label").isNotNull() & F.col("text").isNotNull())
     totals = stored(rows.groupBy("label").agg(F.count("*").alias("rows")), "languages")  # of known size: no shuffle of texts
-    rows = rows.join(totals, "label").where(below_share(F.col("hash"), SAMPLE_DOCUMENTS, F.col("rows")))
-    length = F.length("text")
-    start = F.floor(F.greatest(length - SAMPLE_CHARS, F.lit(0)) * (F.conv(F.substring("hash", 17, 6), 16, 10).cast("double") / float(16**6))).cast("int") + 1
-    rows = rows.select("label", "hash", F.substr(F.col("text"), start, F.lit(SAMPLE_CHARS)).alias("text"))
-    sample = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE_DOCUMENTS).select("label", "hash", "text").toArrow()
+    rows = rows.join(totals, "label").where(below_share(F.col("hash"), sample_documents, F.col("rows")))
+    if sample_chars is not None:
+        place = F.conv(F.substring("hash", 17, 6), 16, 10).cast("double") / float(16**6)
+        start = F.floor(F.greatest(F.length("text") - sample_chars, F.lit(0)) * place).cast("int") + 1
+        rows = rows.select("label", "hash", F.substr(F.col("text"), start, F.lit(sample_chars)).alias("text"))
+    sample = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_documents).select("label", "hash", "text").toArrow()
     if not len(sample):
         return None
     sample = sample.sort_by([("label", "ascending"), ("hash", "ascending"), ("text", "ascending")])

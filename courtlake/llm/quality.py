@@ -20,7 +20,7 @@ GRAM, FAR = 6, 40  # the repeat channel: the last GRAM bytes also ended 3 to FAR
 AT_ONCE = 400  # chunks that a task evaluates together
 CHARS = 1_000_000
 
-#: Fitting sees this many labelled documents at most, and so many chunks of each, spread over the text.
+#: Defaults of ``train``: labelled documents at most, and chunks of each, spread over the text.
 SAMPLE_DOCUMENTS, SAMPLE_CHUNKS = 3000, 24
 STEPS, BATCH, RATE = 500, 32, 0.01
 
@@ -142,27 +142,34 @@ def fit(documents: list[np.ndarray], labels: np.ndarray) -> Network:
     return net
 
 
-def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for text in batch.column("text").to_pylist():
-            whole = chunks(text.encode())
-            at = np.unique(np.linspace(0, len(whole) - 1, min(SAMPLE_CHUNKS, len(whole))).astype(int))
-            out.append(whole[at].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column("label")], ["chunks", "label"])
+def _sample(most: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text in batch.column("text").to_pylist():
+                whole = chunks(text.encode())
+                n = len(whole) if most is None else min(most, len(whole))
+                at = np.unique(np.linspace(0, len(whole) - 1, n).astype(int))
+                out.append(whole[at].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column("label")], ["chunks", "label"])
+
+    return run
 
 
-def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Network | None:
-    """Fit on the labelled rows of least md5 of the key, ``SAMPLE_DOCUMENTS`` at most; None without any.
+def train(
+    documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
+    sample_documents: int = SAMPLE_DOCUMENTS, sample_chunks: int | None = SAMPLE_CHUNKS,
+) -> Network | None:
+    """Fit on the labelled rows of least md5 of the key, ``sample_documents`` at most; None without any.
 
-    Rows with a null key, label or text are not used. The sample is cut to size on the labels alone,
-    before any text is read; its rows are sorted, so that reruns fit the same network.
+    Each gives ``sample_chunks`` chunks, spread over its text, or all of them if that is None. Rows with a
+    null key, label or text are not used. The sample is cut to size on the labels alone, before any text is read; its rows are sorted, so that reruns fit the same network.
     """
     marked = labels.select(F.col(key).alias("k"), F.col(label).cast("double").alias("label")).dropna().dropDuplicates(["k"])
     marked = marked.withColumn("order", F.md5(F.col("k").cast("string")))
-    marked = marked.where(below_share(F.col("order"), SAMPLE_DOCUMENTS, labels.count())).orderBy("order", "k").limit(SAMPLE_DOCUMENTS)
+    marked = marked.where(below_share(F.col("order"), sample_documents, labels.count())).orderBy("order", "k").limit(sample_documents)
     rows = documents.select(F.col(key).alias("k"), F.col(text).alias("text")).dropna().join(marked, "k")
-    sample = rows.select("text", "label").mapInArrow(_sample, "chunks binary, label double").toArrow().sort_by([("chunks", "ascending"), ("label", "ascending")])
+    sample = rows.select("text", "label").mapInArrow(_sample(sample_chunks), "chunks binary, label double").toArrow().sort_by([("chunks", "ascending"), ("label", "ascending")])
     if not len(sample):
         return None
     blocks = [np.frombuffer(c, np.uint8).reshape(-1, CHUNK) for c in sample.column("chunks").to_pylist()]

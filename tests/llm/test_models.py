@@ -1,5 +1,6 @@
 import itertools
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -66,6 +67,20 @@ def test_scores_do_not_depend_on_the_batch():
     assert np.allclose(net.scores(texts), [net.scores([t])[0] for t in texts], atol=1e-6)
 
 
+def test_features_equal_a_plain_convolution():
+    net, text = quality.Network.start(), b"abcabcabcabc the words, the words! " * 31 + "\u00e9t\u00e9".encode()
+    block = quality.chunks(text)
+    got = net.features(block)
+    for row, chunk in zip(got, block, strict=True):
+        inputs = []
+        for i, byte in enumerate(chunk):
+            gram = bytes(chunk[i - quality.GRAM + 1 : i + 1])
+            again = any(i - lag - quality.GRAM + 1 >= 0 and bytes(chunk[i - lag - quality.GRAM + 1 : i - lag + 1]) == gram for lag in range(3, quality.FAR + 1)) and byte > 0
+            inputs.append([*net.embedding[byte], float(again)])
+        responses = [np.concatenate(inputs[i : i + quality.WIDTH]) @ net.filters + net.bias for i in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE)]
+        assert np.allclose(row, np.maximum(np.max(responses, axis=0), 0), atol=1e-5)
+
+
 def test_quality_odd_rows(spark):
     df = documents(spark, ODD)
     labels = spark.createDataFrame([(1, 1), (4, 1), (4, 0), (5, 0), (None, 1), (6, None)], "doc_id bigint, quality int")
@@ -111,6 +126,34 @@ def test_long_texts_equal_short_blocks(monkeypatch):
     assert np.allclose(whole, language.marginal_sums(emissions, transitions, counts)) and np.allclose(whole.sum(1), counts)
 
 
+def test_pieces_equal_the_whole(monkeypatch):
+    draw, k = np.random.default_rng(4), 5
+    lexicon = np.unique(language.words_of(["abc de"]).whole)
+    table_ = lambda n: draw.normal(size=(n, k)).astype(np.float32)
+    field = language.Field(list("abcde"), table_(language.BUCKETS), table_(language.BUCKETS), lexicon, table_(len(lexicon) + 1), table_(k))
+    letters = np.array(list("abcdefgh  "))
+    texts = ["".join(draw.choice(letters, n)) for n in (9000, 0, 1, 300, 40, 5000, 700)] + ["x" * 3000, "ab " * 900 + "y" * 2000, ""]
+    whole, words = field.shares(texts), language.words_of(texts)
+    assert np.allclose(whole.sum(1), words.counts > 0)
+    plain = language.marginal_sums(field.emissions(words, 0, len(words.first)), field.transitions, words.counts)
+    assert np.allclose(whole, plain / np.maximum(words.counts, 1)[:, None], atol=1e-12)
+    for piece in (1, 400, 3000):
+        monkeypatch.setattr(language, "PIECE", piece)
+        assert np.allclose(field.shares(texts), whole, atol=1e-5)
+    assert list(language._ranges(np.array([0, 3, 9, 0, 2, 2]), 4)) == [(0, 2), (2, 3), (3, 6)] and list(language._ranges(np.array([], int), 4)) == []
+
+
+def test_many_languages_and_a_very_long_text_stay_small():
+    k = 100
+    zeros = lambda n: np.zeros((n, k), np.float32)
+    field = language.Field([str(i) for i in range(k)], zeros(language.BUCKETS), zeros(language.BUCKETS), np.empty(0, np.uint64), zeros(1), zeros(k))
+    tracemalloc.start()
+    share = field.shares(["word " * 100_000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(share, 1 / k) and peak < 350_000_000  # one million letters of scores alone would take 400 MB
+
+
 def test_words_of_texts():
     words = language.words_of(["Ab cd", "", "é1x!", "12", " z"])
     assert words.counts.tolist() == [2, 0, 2, 0, 1] and len(set(words.whole)) == 5
