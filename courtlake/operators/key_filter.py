@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from courtlake.operators.skew import fits_broadcast
 from courtlake.schemas import SEASON, Schema
+from courtlake.session import cut_lineage
 
 WORDS = 8
 KEYS_PER_BLOCK = 16
@@ -24,8 +25,11 @@ FILTER: Schema = {SEASON: "int", "blocks": "bigint", "block": "bigint", **{f"w{i
 _WORDS = [f"w{i}" for i in range(WORDS)]
 
 
-def _masks(on: list[str]) -> list[Column]:
-    bits = F.xxhash64(F.lit("bits"), *on)
+def _bits(on: list[str]) -> Column:
+    return F.xxhash64(F.lit("bits"), *on)
+
+
+def _masks(bits: Column) -> list[Column]:
     shifted = [F.shiftrightunsigned(bits, 6 * i).bitwiseAND(F.lit(63)).cast("int") for i in range(WORDS)]
     return [F.call_function("shiftleft", F.lit(1).cast("bigint"), s) for s in shifted]
 
@@ -45,7 +49,7 @@ def filter_rows(keys: DataFrame, on: list[str], blocks: dict[int, int]) -> DataF
     Combined before the shuffle: a block has one row, however many keys or copies it holds.
     """
     size = F.element_at(F.create_map(*[F.lit(x) for season, n in blocks.items() for x in (season, n)]), F.col(SEASON)).cast("bigint")
-    marked = keys.select(F.col(SEASON).cast("int").alias(SEASON), size.alias("blocks"), _block(on, size).alias("block"), *[m.alias(w) for m, w in zip(_masks(on), _WORDS, strict=True)])
+    marked = keys.select(F.col(SEASON).cast("int").alias(SEASON), size.alias("blocks"), _block(on, size).alias("block"), *[m.alias(w) for m, w in zip(_masks(_bits(on)), _WORDS, strict=True)])
     return marked.groupBy(SEASON, "blocks", "block").agg(*[F.bit_or(w).alias(w) for w in _WORDS], F.count("*").alias("n"))
 
 
@@ -69,19 +73,19 @@ def filter_sizes(filters: DataFrame) -> dict[int, tuple[int, int]]:
 def possible_seasons(keys: DataFrame, filters: DataFrame, on: list[str], known: dict[int, tuple[int, int]] | None = None) -> list[int]:
     """The seasons whose filter knows at least one of ``keys``; no season that holds one is missing.
 
-    Only the blocks that the keys fall in are read beyond the join; a small batch is broadcast. ``known``
-    may give the result of ``filter_sizes``.
+    Only the blocks that the keys fall in are read beyond the join; a small batch is broadcast, once its probes
+    are counted: there are several to a block. ``known`` may give the result of ``filter_sizes``.
     """
     known = filter_sizes(filters) if known is None else known
     sizes = sorted({blocks for blocks, _ in known.values()})  # powers of two: a few dozen at most
     if not sizes:
         return []
-    probes = keys.select(*on).distinct().withColumn("blocks", F.explode(F.array(*[F.lit(s).cast("bigint") for s in sizes])))
-    masks = [m.alias(f"m{i}") for i, m in enumerate(_masks(on))]
-    probes = probes.select("blocks", _block(on, F.col("blocks")).alias("block"), *masks)
+    distinct = cut_lineage(keys.select(*on).distinct())
+    probes = distinct.withColumn("blocks", F.explode(F.array(*[F.lit(s).cast("bigint") for s in sizes])))
+    probes = probes.select("blocks", _block(on, F.col("blocks")).alias("block"), _bits(on).alias("bits"))
     touched = probes.select("blocks", "block").distinct()
-    if fits_broadcast(touched):
+    if fits_broadcast(probes):  # it has a row at least for each block touched
         touched, probes = F.broadcast(touched), F.broadcast(probes)
     near = filters.join(touched, ["blocks", "block"], "left_semi").groupBy(SEASON, "blocks", "block").agg(*[F.bit_or(w).alias(w) for w in _WORDS])
-    set_ = reduce(and_, [F.col(w).bitwiseAND(F.col(f"m{i}")) == F.col(f"m{i}") for i, w in enumerate(_WORDS)])
+    set_ = reduce(and_, [F.col(w).bitwiseAND(m) == m for w, m in zip(_WORDS, _masks(F.col("bits")), strict=True)])
     return sorted(r[SEASON] for r in near.join(probes, ["blocks", "block"]).where(set_).select(SEASON).distinct().collect())

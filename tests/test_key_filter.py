@@ -38,6 +38,15 @@ def test_foreign_keys_rarely_pass(spark):
     assert passed <= 1
 
 
+def test_a_large_batch_is_not_broadcast(spark, monkeypatch):
+    """Many probes share a block, so few blocks do not make a small batch."""
+    stored = keys(spark, 0, 150_000, 2001).unionByName(keys(spark, 150_000, 60_000, 2002))
+    filters, sent, broadcast = key_filter.built(stored, ON), [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: (sent.append(df.count()), broadcast(df))[1])
+    assert key_filter.possible_seasons(stored, filters, ON) == [2001, 2002] and sent == []
+    assert key_filter.possible_seasons(stored.filter("game_id < 50"), filters, ON) == [2001] and len(sent) == 2 and max(sent) <= 100
+
+
 def test_pieces_are_combined(spark):
     whole = keys(spark, 0, 500, 2001)
     sizes = {2001: 64}
