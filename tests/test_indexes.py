@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from courtlake.operators import gram_index
+from courtlake.operators import gram_index, page_index
 from courtlake.operators.page_index import PageIndex
 
 
@@ -65,6 +65,18 @@ def test_a_deep_page_reads_one_range(spark):
     assert "_range#" in plan(page) and f"= {number})" in plan(page).split("PartitionFilters: ")[1][:80]
 
 
+def test_ranges_do_not_grow_with_the_table(spark, monkeypatch):
+    """A file and a message to the driver for each range: many small ranges are stored as few, with the same pages."""
+    monkeypatch.setattr(page_index, "MOST_RANGES", 6, raising=False)
+    index = PageIndex.build(spark.range(0, 20_000, 1, 4).withColumn("k", F.col("id") % 9), [F.col("k").desc(), F.col("id")], 10)
+    want = sorted(((n, n % 9) for n in range(20_000)), key=lambda r: (-r[1], r[0]))
+    assert len(index.starts) <= 6 and index.total == 20_000
+    edge = index.starts[2][1]
+    for limit, offset in ((10, 0), (40, edge - 20), (40, edge), (9000, 4000), (500, 19_700), (5, 20_000)):
+        got = index.page(limit, offset).collect()
+        assert [(r.id, r.k) for r in got] == want[offset : offset + limit] and all(set(r.asDict()) == {"id", "k", "total"} for r in got)
+
+
 def test_an_empty_table_has_empty_pages(spark):
     index = PageIndex.build(spark.range(0), [F.col("id")])
     assert index.total == 0 and index.page(5).collect() == []
