@@ -20,6 +20,7 @@ class Timeline:
     reach: int
     position: Column
     total: Column
+    whole: bool = True  # no timeline is cut into blocks
 
     def last(self, rows: int) -> WindowSpec:
         """The current row and the ones before it, ``rows`` in all."""
@@ -65,7 +66,7 @@ def over_timeline(
     spec = Window.partitionBy(*on, "_block").orderBy(*order)
     counted = F.count(F.lit(1)).over(Window.partitionBy(*on, "_block"))
     position = F.col("_offset") + F.row_number().over(spec)
-    line = Timeline(spec, reach, position, F.coalesce(F.col("_total"), counted))
+    line = Timeline(spec, reach, position, F.coalesce(F.col("_total"), counted), whole=False)
     built = placed.select(*df.columns, "_halo", *build(line))
     return built.filter(~F.col("_halo")).drop("_halo")
 
@@ -117,6 +118,16 @@ def slope_of(column: str, first: int, last: int) -> Column:
     return F.expr(f"(({count}) * ({xy}) - ({x}) * ({y})) / nullif(({count}) * ({xx}) - ({x}) * ({x}), 0D)")
 
 
+def mean_of_earlier_days(on: list[str], at: str, values: dict[str, Column]) -> list[Column]:
+    """Mean of each value over the key's rows of earlier days; rows without a date come before all others.
+
+    For whole timelines; shares the shuffle of the other windows on the key.
+    """
+    day = F.coalesce(F.unix_date(F.to_date(at)).cast("bigint"), F.lit(-(10**12)))
+    before = Window.partitionBy(*on).orderBy(day).rangeBetween(Window.unboundedPreceding, -1)
+    return [(F.sum(v).over(before) / F.nullif(F.count(v).over(before), F.lit(0))).alias(name) for name, v in values.items()]
+
+
 def rest_days(line: Timeline, at: str, first: int = 2) -> Column:
     """Full days since the previous row of the key; ``first`` where there is none."""
     previous = F.lag(at).over(line.spec)

@@ -14,6 +14,7 @@ from courtlake.operators.windows import (
     Timeline,
     history,
     history_columns,
+    mean_of_earlier_days,
     over_timeline,
     rest_days,
     rolling_means,
@@ -214,17 +215,23 @@ def _earlier_days(player_games: DataFrame, key: str, sums: dict[str, Column]) ->
     return daily.select(f"_{key}", "_day", *means)
 
 
-def _with_prior_scoring(rows: DataFrame, player_games: DataFrame) -> DataFrame:
-    """Add opponent strength and home edge as they stood before the day of each row."""
+def _home_and_away() -> dict[str, Column]:
     points = F.col("points")
-    opponents = _earlier_days(player_games, "opponent_team_id", {"opp_def_rating": points})
-    players = _earlier_days(
-        player_games, "person_id", {"_home": F.when(F.col("home"), points), "_away": F.when(~F.col("home"), points)}
-    )
+    return {"_home": F.when(F.col("home"), points), "_away": F.when(~F.col("home"), points)}
+
+
+def _with_prior_scoring(rows: DataFrame, player_games: DataFrame) -> DataFrame:
+    """Add opponent strength and home edge as they stood before the day of each row.
+
+    The means behind the home edge are ``_home`` and ``_away``, where ``rows`` does not have them.
+    """
+    tables = {"opponent_team_id": {"opp_def_rating": F.col("points")}}
+    if "_home" not in rows.columns:
+        tables["person_id"] = _home_and_away()
     day = F.to_date("game_date")
-    for key, table in (("opponent_team_id", opponents), ("person_id", players)):
+    for key, sums in tables.items():
         same = F.col(key).eqNullSafe(F.col(f"_{key}")) & day.eqNullSafe(F.col("_day"))
-        rows = rows.join(measured(table), same, "left").drop(f"_{key}", "_day")
+        rows = rows.join(measured(_earlier_days(player_games, key, sums)), same, "left").drop(f"_{key}", "_day")
     return rows.withColumn("home_away_diff", F.col("_home") - F.col("_away"))
 
 
@@ -245,17 +252,20 @@ def player_features(
 
     By default the frames include the row's own game, and opponent strength and home edge come from
     all games. ``leak_free=True`` ends the frames one game earlier and takes both from the games of
-    earlier days. ``carry`` names further columns to keep.
+    earlier days: the home edge by a window beside the others, unless a timeline is crowded. ``carry``
+    names further columns to keep.
     """
 
     first = 1 if leak_free else 0
 
     def build(line: Timeline) -> list[Column]:
         means = [*_means(line, 5, leak_free), *_means(line, 10, leak_free)]
+        if leak_free and line.whole:
+            means += mean_of_earlier_days(_PLAYER, "game_date", _home_and_away())
         return [*means, *history(line, ROLLED_STATS, 4 + first), rest_days(line, "game_date").alias("rest_days")]
 
     needed = dict.fromkeys(["person_id", *order, "opponent_team_id", *ROLLED_STATS, *carry])
-    rows = player_games.select(*needed)
+    rows = player_games.select(*needed, *(["home"] if leak_free and "home" not in needed else []))
     wide = over_timeline(rows, _PLAYER, "game_date", order, 9 + first, build, floor_rows, probe)
     rolled = _with_slopes(wide, first)
     if leak_free:

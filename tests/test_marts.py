@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from courtlake import schemas
 from courtlake.plans import features, impact, leaderboards, lookups, marts, staging
+from courtlake.session import cut_lineage
 from courtlake.sources import driver_tables as tables
 
 DAY = dt.datetime(2024, 1, 10)
@@ -104,6 +105,20 @@ def test_leak_free_features_ignore_the_row_itself(spark):
     assert [r["points_5_game_avg"] for r in rows.orderBy("game_date").collect()] == [0.0, 10.0, 15.0]
 
 
+def test_the_home_edge_shares_the_shuffle_by_player(spark, folder, monkeypatch):
+    """No table of players and days, which is nearly as long as the rows; the same values as where timelines are cut."""
+    rows = tables.player_games(spark, folder).filter("game_id % 4 < 2")
+    rows = rows.withColumns({"person_id": F.when(F.col("game_id") % 3 != 0, F.col("person_id")), "game_date": F.when(F.col("k_part") % 11 != 0, F.col("game_date"))})
+    rows, keys, earlier = cut_lineage(rows), [], features._earlier_days
+    monkeypatch.setattr(features, "_earlier_days", lambda df, key, sums: (keys.append(key), earlier(df, key, sums))[1])
+    order = tables.PLAYER_GAME_ORDER
+    whole = cut_lineage(features.player_features(rows, order, leak_free=True))
+    assert keys == ["opponent_team_id"] and whole.filter("home_away_diff <> 0").count() > 100
+    in_blocks = features.player_features(rows, order, leak_free=True, floor_rows=20)
+    assert keys[1:] == ["opponent_team_id", "person_id"]
+    assert whole.count() == rows.count() and whole.exceptAll(in_blocks).isEmpty()
+
+
 def test_prior_game_features_ignore_the_same_day(spark):
     rows = [
         {"game_id": n, "team_id": t, "game_date": DAY + dt.timedelta(days=d), "team_score": s, "win": s > 90}
