@@ -24,6 +24,7 @@ SEED = 42
 TRAIN_PERCENT = 80
 PENALTY = 0.01  # of the linear player models
 HIDDEN_LAYERS = [128, 64, 32]  # fixed value: widths of the game model
+ROWS_PER_TASK = 10_000  # rows of a part in an iterative fit, which passes over them again and again
 
 
 def in_training(*key: str, percent: int = TRAIN_PERCENT) -> Column:
@@ -37,6 +38,16 @@ def _inputs(columns: list[str]) -> list:
     return [ColumnScaler(inputCols=columns), VectorAssembler(inputCols=columns, outputCol="features")]
 
 
+def dealt_out(rows: DataFrame) -> DataFrame:
+    """``rows`` stored in even parts, so that every core takes its share of an iterative fit.
+
+    A table of few bytes lies in few files and row groups, and a pass over it would keep as few tasks busy. Up to
+    ``ROWS_PER_TASK`` rows stay as they are.
+    """
+    parts = -(-rows.count() // ROWS_PER_TASK)
+    return cut_lineage(rows.repartition(parts)) if parts > 1 else rows
+
+
 def fit_game_model(features: DataFrame, max_iter: int = 60, trees: int = 10) -> PipelineModel:
     """Winner and both scores from 24 team averages.
 
@@ -48,7 +59,7 @@ def fit_game_model(features: DataFrame, max_iter: int = 60, trees: int = 10) ->
         "home_win", F.when(F.col("home_score") > F.col("away_score"), 1.0).otherwise(0.0)
     )
     scores = [_score(side, trees) for side in ("home", "away")]
-    return Pipeline(stages=[*_inputs(GAME_FEATURES), _winner(max_iter), *scores]).fit(training)
+    return Pipeline(stages=[*_inputs(GAME_FEATURES), _winner(max_iter), *scores]).fit(dealt_out(training))
 
 
 def _winner(max_iter: int) -> MultilayerPerceptronClassifier:
@@ -158,7 +169,7 @@ def fit_best_game_model(
     played = _labelled(features)
     inputs = Pipeline(stages=_inputs(GAME_FEATURES)).fit(played.filter(in_training("game_id")))
     ready = cut_lineage(inputs.transform(played).select("game_id", "home_win", "features", "home_score", "away_score"))
-    training, held = ready.filter(in_training("game_id")), ready.filter(~in_training("game_id"))
+    training, held = dealt_out(ready.filter(in_training("game_id"))), dealt_out(ready.filter(~in_training("game_id")))
     weights, best, worse, legs = None, None, 0, []
     while len(legs) < most_legs and worse < patience:
         fit = _winner(leg_iterations)

@@ -4,6 +4,7 @@ import datetime as dt
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
@@ -119,6 +120,19 @@ def test_the_game_model_s_fit_stops(spark):
     assert measured["value"] == pytest.approx(min(losses)) and measured["value"] < measured["baseline"]
 
 
+def test_a_fit_s_passes_are_spread_over_tasks(spark, game_matrix, monkeypatch):
+    """One file of many rows would be one task in every pass of the fit."""
+    seen, fit = [], MultilayerPerceptronClassifier._fit
+    monkeypatch.setattr(MultilayerPerceptronClassifier, "_fit", lambda self, df: (seen.append((df.rdd.getNumPartitions(), df.count())), fit(self, df))[1])
+    monkeypatch.setattr(prediction, "ROWS_PER_TASK", 20, raising=False)
+    one = cut_lineage(game_matrix.coalesce(1))
+    training = one.dropna(subset=["home_score", "away_score"]).filter(prediction.in_training("game_id")).count()
+    model = prediction.fit_game_model(one, max_iter=1, trees=1)
+    prediction.fit_best_game_model(one, leg_iterations=1, most_legs=1, trees=1)
+    assert training > 40 and [n for _, n in seen] == [training] * 2 and min(parts for parts, _ in seen) > 1
+    assert prediction.predict_games(model, one).count() == one.count()
+
+
 def test_train_saves_both_models(spark, folder, tmp_path):
     lake = Tables(spark, str(tmp_path / "lake"))
     for name, df in {"games": tables.games(spark, folder), "team_statistics": tables.team_games(spark, folder), "player_statistics": tables.player_games(spark, folder)}.items():
