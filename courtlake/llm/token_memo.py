@@ -8,7 +8,9 @@ from itertools import chain
 
 import numpy as np
 
-MEMO = 300_000  # pieces or words that a Python worker remembers; then it starts anew
+MEMO = 300_000  # words that a Python worker remembers; then it starts anew
+#: The same for pieces, whose ids cost more: a piece counts by its characters and ``PIECE_COST``; about a million pieces fit.
+PIECES_HELD, PIECE_COST = 28_000_000, 16
 
 #: Letters and digits among the characters up to U+02C1, the same in every version of Unicode.
 _L, _N = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ˁ", r"0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -33,6 +35,22 @@ class _Memo:
         return self.known
 
 
+class _Pieces(dict):
+    """Ids of pieces; a piece is asked for when it is first looked up, so a known one costs one look-up."""
+
+    def __init__(self, ask):
+        self.ask, self.held = ask, 0
+
+    def __missing__(self, piece: str) -> bytes:
+        cost = len(piece) + PIECE_COST
+        if self.held + cost > PIECES_HELD:
+            self.clear()
+            self.held = 0
+        self.held += cost
+        ids = self[piece] = self.ask(piece)
+        return ids
+
+
 def _printable_bytes() -> dict[int, int]:
     """Byte to character as byte-level BPE spells its vocabulary: printable Latin-1 stays, the rest follow U+0100."""
     stays = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -66,22 +84,23 @@ class ByteBpe:
         self.library = Tokenizer.from_str(definition.decode())
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.spelled = _printable_bytes()
-        self.pieces = _Memo(self._pieces)
+        self.pieces = _Pieces(self._piece)
         self.plain = _is_plain(json.loads(definition))
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        tokenize = self.library.model.tokenize
-        return [np.array([t.id for t in tokenize(p.encode().decode("latin-1").translate(self.spelled))], "<u4").tobytes() for p in pieces]
+    def _piece(self, piece: str) -> bytes:
+        spelled = piece.encode().decode("latin-1").translate(self.spelled)
+        return np.array([t.id for t in self.library.model.tokenize(spelled)], "<u4").tobytes()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _ids(self, text: str) -> bytes:
+        if not self.plain or _RARE.search(text) or any(a in text for a in self.added):
+            return self.whole(text)
+        return b"".join(map(self.pieces.__getitem__, _PIECE.findall(text)))
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.plain:
-            return [self.whole(t) for t in texts]
-        split = [None if _RARE.search(t) or any(a in t for a in self.added) else _PIECE.findall(t) for t in texts]
-        ids = self.pieces.learn(chain.from_iterable(p for p in split if p))
-        return [self.whole(t) if p is None else b"".join(map(ids.__getitem__, p)) for t, p in zip(texts, split, strict=True)]
+        return [self._ids(t) for t in texts]
 
 
 _WORKER: dict = {}

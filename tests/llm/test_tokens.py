@@ -1,5 +1,7 @@
+import collections
 import json
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -10,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from courtlake.llm import token_counts, token_store
+from courtlake.llm import token_counts, token_memo, token_store
 from courtlake.llm.common import table
 from courtlake.llm.token_memo import ByteBpe, PieceCounts, slices
 from tests.llm.helpers import ODD, documents
@@ -37,6 +39,31 @@ def test_remembered_pieces_give_the_ids_of_whole_texts(texts):
     assert COUNTS.count(texts) == [len(PIECE_LIBRARY.encode(t)) for t in texts]
 
 
+def test_a_piece_is_asked_for_once_among_many_others():
+    with open(BPE, "rb") as f:
+        memo = ByteBpe(f.read())
+    asked = collections.Counter()
+
+    def tokenize(piece):
+        asked[piece] += 1
+        return [SimpleNamespace(id=len(piece))]
+
+    memo.library = SimpleNamespace(model=SimpleNamespace(tokenize=tokenize))
+    numbers = [str(n) for n in range(350_000)]
+    texts = [" " + " ".join(numbers[a : a + 5000]) for a in range(0, len(numbers), 5000)]
+    assert len(asked) == 0 and memo.encode(texts) == memo.encode(texts)
+    assert len(asked) == len(numbers) and set(asked.values()) == {1}
+
+
+def test_remembered_pieces_are_bounded(monkeypatch):
+    monkeypatch.setattr(token_memo, "PIECES_HELD", 40 * token_memo.PIECE_COST)
+    with open(BPE, "rb") as f:
+        memo = ByteBpe(f.read())
+    for t in (" ".join(f"w{n} {n * n}" for n in range(200)), "x" * 5000 + " y", "some words, some words"):
+        assert memo.encode([t, t]) == [ids(t).tobytes()] * 2
+        assert len(memo.pieces) <= 40 and sum(map(len, memo.pieces)) <= max(40 * token_memo.PIECE_COST, 5000)
+
+
 def test_special_strings_are_the_library_s_business():
     for t in ("<|endoftext|>", "a <|endoftext|>b", "<s> </s> <unk>", "it's I'LL we'Ve"):
         assert MEMO.encode([t]) == [ids(t).tobytes()] and COUNTS.count([t]) == [len(PIECE_LIBRARY.encode(t))]
