@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from courtlake.llm.common import stored
+from courtlake.llm.token_memo import small_batches
 from courtlake.llm.words import WordHashes, alnum_words, gram_hashes, mixed
 
 WINDOW = 10  # words of a window
@@ -64,7 +65,7 @@ def _document_hits(bits, lengths: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(kept, digest, text) to (kept, digest, n_words, hits): windows whose fingerprint the filter knows."""
         memo, filter_bits = WordHashes(), np.frombuffer(bits.value, np.uint64)
-        for batch in batches:
+        for batch in small_batches(batches):
             n_words, out = [], []
             for text in batch.column("text").to_pylist():
                 words = alnum_words(text)

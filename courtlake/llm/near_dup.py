@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from courtlake.llm.common import stored
 from courtlake.llm.components import components
+from courtlake.llm.token_memo import small_batches
 from courtlake.llm.words import WordHashes, blank_words, gram_hashes, mixed
 
 PERMUTATIONS = 48  # each gives two values, its minimum and its maximum
@@ -54,7 +55,7 @@ def _signatures(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(k, content, text) to (k, content, n, cls, bands)."""
         memo = WordHashes()
-        for batch in batches:
+        for batch in small_batches(batches):
             n, cls, bands = [], [], []
             for content, text in zip(batch.column("content").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 shingles = shingle_set(blank_words(text), k, memo)
@@ -74,7 +75,7 @@ def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(cls, text) to (cls, shingles)."""
         memo = WordHashes()
-        for batch in batches:
+        for batch in small_batches(batches):
             sets = [shingle_set(blank_words(text), k, memo).view(np.int64) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(sets, pa.list_(pa.int64()))], ["cls", "shingles"])
 

@@ -7,18 +7,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from courtlake.llm.common import below_share
-from courtlake.llm.token_memo import slices
+from courtlake.llm.token_memo import small_batches
 
 CHUNK, OVERLAP = 512, 64  # bytes
 WIDTH, STRIDE, FILTERS, EMBEDDING = 8, 2, 24, 6
 GRAM, FAR = 6, 40  # the repeat channel: the last GRAM bytes also ended 3 to FAR bytes before
-AT_ONCE = 400  # chunks that a task evaluates together
-CHARS = 1_000_000
+AT_ONCE = 64  # chunks that a task evaluates together
 
 #: Defaults of ``train``: labelled documents at most, and chunks of each, spread over the text.
 SAMPLE_DOCUMENTS, SAMPLE_CHUNKS = 3000, 24
@@ -178,12 +176,10 @@ def train(
 
 def _scorer(net: Network | None, text: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, out = batch.column("kept").field(text).fill_null("") if text else batch.column("text"), []
-            for a, b in slices(pa.compute.binary_length(texts).to_pylist(), CHARS):
-                part = texts.slice(a, b - a).to_pylist()
-                out.append(net.scores(part) if net else np.full(len(part), 0.5))
-            score = np.concatenate(out) if out else np.empty(0)
+        whole = (pa.RecordBatch.from_arrays([b.column("kept"), b.column("kept").field(text) if text else b.column("text")], ["kept", "text"]) for b in batches)
+        for batch in small_batches(whole):
+            texts = batch.column("text").fill_null("").to_pylist()
+            score = net.scores(texts) if net else np.full(len(texts), 0.5)
             yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(score, pa.float64())], ["kept", "score"])
 
     return run

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import json
 import re
-from itertools import chain
+import struct
+from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 
 MEMO = 300_000  # words that a Python worker remembers; then it starts anew
-#: The same for pieces, whose ids cost more: a piece counts by its characters and ``PIECE_COST``; about a million pieces fit.
-PIECES_HELD, PIECE_COST = 28_000_000, 16
+#: The same for pieces: one counts by its characters and ``PIECE_COST``; about 400,000 fit, 65 MB of a worker that other
+#: steps use as well. A full memory loses its older half.
+PIECES_HELD, PIECE_COST = 11_000_000, 16
 
 #: Letters and digits among the characters up to U+02C1, the same in every version of Unicode.
 _L, _N = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ˁ", r"0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -43,9 +48,10 @@ class _Pieces(dict):
 
     def __missing__(self, piece: str) -> bytes:
         cost = len(piece) + PIECE_COST
-        if self.held + cost > PIECES_HELD:
-            self.clear()
-            self.held = 0
+        while self and self.held + cost > PIECES_HELD:
+            for old in list(islice(self, (len(self) + 1) // 2)):
+                del self[old]
+                self.held -= len(old) + PIECE_COST
         self.held += cost
         ids = self[piece] = self.ask(piece)
         return ids
@@ -89,7 +95,8 @@ class ByteBpe:
 
     def _piece(self, piece: str) -> bytes:
         spelled = piece.encode().decode("latin-1").translate(self.spelled)
-        return np.array([t.id for t in self.library.model.tokenize(spelled)], "<u4").tobytes()
+        ids = [t.id for t in self.library.model.tokenize(spelled)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -144,6 +151,13 @@ class PieceCounts:
         return [self._ask([t])[0] if w is None else sum(map(words.__getitem__, w)) for t, w in zip(texts, split, strict=True)]
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``most`` bytes of text, so that a task holds few Python values at a time."""
+    for batch in batches:
+        for a, b in slices(pa.compute.binary_length(batch.column(text)).fill_null(0).to_pylist(), most):
+            yield batch.slice(a, b - a)
+
+
 def slices(lengths, most: int):
     """Consecutive ranges of rows whose lengths add up to ``most`` or so, one row at least."""
     start = total = 0

@@ -4,6 +4,7 @@ import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +68,19 @@ def test_scores_do_not_depend_on_the_batch():
     assert np.allclose(net.scores(texts), [net.scores([t])[0] for t in texts], atol=1e-6)
 
 
+def test_scoring_a_large_batch_takes_little_memory():
+    texts = [f"words {i} and more " * 220 if i % 9 else None for i in range(2500)]  # 9 MB
+    kept = pa.RecordBatch.from_arrays([pa.array([{"doc_id": i, "text": t} for i, t in enumerate(texts)])], ["kept"])
+    net = quality.Network.start()
+    tracemalloc.start()
+    got = list(quality._scorer(net, "text")(iter([kept])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6 and max(b.nbytes for b in got) < 2e6
+    assert [r["kept"]["text"] for b in got for r in b.to_pylist()] == texts
+    assert np.array_equal(got[0].column("score").to_numpy(), net.scores([t or "" for t in texts[: len(got[0])]]))
+
+
 def test_features_equal_a_plain_convolution():
     net, text = quality.Network.start(), b"abcabcabcabc the words, the words! " * 31 + "\u00e9t\u00e9".encode()
     block = quality.chunks(text)

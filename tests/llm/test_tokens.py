@@ -1,10 +1,12 @@
 import collections
 import json
+import sys
 import zlib
 from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -64,6 +66,28 @@ def test_remembered_pieces_are_bounded(monkeypatch):
         assert len(memo.pieces) <= 40 and sum(map(len, memo.pieces)) <= max(40 * token_memo.PIECE_COST, 5000)
 
 
+def test_a_full_memory_is_small_and_keeps_what_came_last():
+    with open(BPE, "rb") as f:
+        pieces = ByteBpe(f.read()).pieces
+    pieces.ask = lambda piece: bytes(8)
+    names = [f" {n:010d}" for n in range(1_000_000)]
+    sizes = []
+    for n, name in enumerate(names):
+        pieces[name]
+        if n % 100_000 == 0:
+            sizes.append(sys.getsizeof(pieces) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in pieces.items()))
+    assert max(sizes) < 80 << 20 and pieces.held == sum(len(p) + token_memo.PIECE_COST for p in pieces)
+    assert 150_000 < len(pieces) < 500_000 and list(pieces) == names[-len(pieces) :]
+
+
+def test_small_batches_hold_all_rows_in_order():
+    texts = ["a" * 600, None, "é" * 200, "", "b" * 5000, "c"] * 3
+    batches = [pa.record_batch([pa.array(range(n), pa.int64()), pa.array(texts[:n], pa.string())], ["k", "text"]) for n in (18, 0, 4)]
+    got = list(token_memo.small_batches(iter(batches), most=1000))
+    assert [r for b in got for r in b.to_pylist()] == [r for b in batches for r in b.to_pylist()]
+    assert all(len(b) == 1 or sum(len((t or "").encode()) for t in b.column("text").to_pylist()) <= 1000 for b in got)
+
+
 def test_special_strings_are_the_library_s_business():
     for t in ("<|endoftext|>", "a <|endoftext|>b", "<s> </s> <unk>", "it's I'LL we'Ve"):
         assert MEMO.encode([t]) == [ids(t).tobytes()] and COUNTS.count([t]) == [len(PIECE_LIBRARY.encode(t))]
