@@ -6,6 +6,9 @@ Each helper states what bad text becomes instead.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,11 +61,22 @@ def flag(c: Column, missing: bool | None = None) -> Column:
     return F.coalesce(parsed, F.lit(missing).cast("boolean"))
 
 
+def may_fit(c: Column, form: str) -> Column:
+    """Whether a text has the separators of a date format, and no others."""
+    return reduce(and_, (c.contains(mark) == F.lit(mark in form) for mark in "/,:"))
+
+
 def timestamp(c: Column) -> Column:
     """ISO text (``T`` or blank between date and time) or one of ``DATE_FORMATS`` to a zoneless timestamp.
 
-    NULL for other text; a load counts and sets aside the rows that need the date.
+    NULL for other text; a load counts and sets aside the rows that need the date. Each failed trial raises an error
+    inside, far dearer than a date that is read, so only forms that a text may have are tried: none that starts with
+    a letter or with month and slash is ISO.
     """
-    iso = F.trim(c).try_cast("timestamp_ntz")
-    others = [F.try_to_timestamp(F.trim(c), F.lit(f)).cast("timestamp_ntz") for f in DATE_FORMATS]
+    trimmed = F.trim(c)
+    other = F.locate("/", trimmed).between(2, 3) | F.substring(trimmed, 1, 1).between("A", "z")
+    iso = F.when(~other, trimmed.try_cast("timestamp_ntz"))
+    others = [
+        F.when(may_fit(trimmed, f), F.try_to_timestamp(trimmed, F.lit(f)).cast("timestamp_ntz")) for f in DATE_FORMATS
+    ]
     return F.coalesce(iso, *others)

@@ -75,6 +75,20 @@ def test_timestamp(spark):
     assert value(spark, casting.timestamp(F.col("c")), c="soon") is None
 
 
+def test_only_date_formats_with_the_separators_of_a_text_are_tried(spark):
+    def tried(text):
+        return [f for f in casting.DATE_FORMATS if value(spark, casting.may_fit(F.col("c"), f), c=text)]
+
+    assert tried("2024-01-05") == tried("someday") == tried("2024-01-05 19:30:00") == []
+    assert tried("1/5/2024") == ["M/d/yyyy"] and tried("Jan 5, 2024") == ["MMM d, yyyy"]
+    assert tried("1/5/2024 19:30") == ["M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "M/d/yyyy h:mm a"]
+    night = dt.datetime(2024, 1, 5, 19, 30)
+    for text in (" 1/5/2024 19:30", "1/5/2024 7:30 PM", "1/5/2024 19:30:00", "Jan 5, 2024 19:30", "+2024-01-05 19:30", "2024-01-05 19:30:00 America/Lima"):
+        assert value(spark, casting.timestamp(F.col("c")), c=text) == night
+    for text in ("T19:30", "19:30", "1/5/24", "13/5/2024", "2024/01/05", "/", "A"):
+        assert value(spark, casting.timestamp(F.col("c")), c=text) is None
+
+
 def test_missing_text(spark):
     assert value(spark, casting.text(F.col("c")), c="N/A") is None
     assert value(spark, casting.text(F.col("c")), c="Nashville") == "Nashville"
