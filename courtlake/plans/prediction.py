@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.classification import MultilayerPerceptronClassifier
+from pyspark.ml.classification import MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from courtlake.functions.boxscore import prediction_confidence
 from courtlake.operators.windows import top_per_key
+from courtlake.plans import perceptron
 from courtlake.plans.features import GAME_FEATURES, PLAYER_FEATURES, PLAYER_TARGETS, game_features
 from courtlake.plans.linear import LinearTargets
 from courtlake.plans.scaling import ColumnScaler
@@ -25,6 +27,9 @@ TRAIN_PERCENT = 80
 PENALTY = 0.01  # of the linear player models
 HIDDEN_LAYERS = [128, 64, 32]  # fixed value: widths of the game model
 ROWS_PER_TASK = 10_000  # rows of a part in an iterative fit, which passes over them again and again
+PARTS_PER_CORE = 8  # parts of such rows at most, as each sends a gradient in every pass
+MOST_ROWS_PER_TASK = 1_000_000
+BLOCK_FIT_ROWS = 200_000  # from here on matrix blocks save more than the Python tasks of a pass cost
 
 
 def in_training(*key: str, percent: int = TRAIN_PERCENT) -> Column:
@@ -44,22 +49,37 @@ def dealt_out(rows: DataFrame) -> DataFrame:
     A table of few bytes lies in few files and row groups, and a pass over it would keep as few tasks busy. Up to
     ``ROWS_PER_TASK`` rows stay as they are.
     """
-    parts = -(-rows.count() // ROWS_PER_TASK)
+    n, cores = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
+    parts = max(min(-(-n // ROWS_PER_TASK), PARTS_PER_CORE * cores), -(-n // MOST_ROWS_PER_TASK))
     return cut_lineage(rows.repartition(parts)) if parts > 1 else rows
 
 
+@contextmanager
+def _perceptron_fit(training: DataFrame) -> Iterator[Callable[[MultilayerPerceptronClassifier], MultilayerPerceptronClassificationModel]]:
+    """How to fit a perceptron on ``training``: by Spark ML's passes, on large tables by passes over matrix blocks."""
+    if training.count() < BLOCK_FIT_ROWS:
+        yield lambda winner: winner.fit(training)
+        return
+    blocks = perceptron.Blocks(_winner(0), training)
+    try:
+        yield lambda winner: perceptron.fit(winner, training, blocks)
+    finally:
+        blocks.drop()
+
+
 def fit_game_model(features: DataFrame, max_iter: int = 60, trees: int = 10) -> PipelineModel:
     """Winner and both scores from 24 team averages.
 
     ``features`` has the game features, both scores, and a key column ``game_id``. Games
     without a score are left out.
     """
-    played = features.filter(F.col("home_score").isNotNull() & F.col("away_score").isNotNull())
-    training = played.filter(in_training("game_id")).withColumn(
-        "home_win", F.when(F.col("home_score") > F.col("away_score"), 1.0).otherwise(0.0)
-    )
-    scores = [_score(side, trees) for side in ("home", "away")]
-    return Pipeline(stages=[*_inputs(GAME_FEATURES), _winner(max_iter), *scores]).fit(dealt_out(training))
+    training = _labelled(features).filter(in_training("game_id"))
+    inputs = Pipeline(stages=_inputs(GAME_FEATURES)).fit(training)
+    ready = dealt_out(inputs.transform(training).select("home_win", "features", "home_score", "away_score"))
+    with _perceptron_fit(ready) as fitted:
+        winner = fitted(_winner(max_iter))
+    scores = [_score(side, trees).fit(ready) for side in ("home", "away")]
+    return PipelineModel(stages=[*inputs.stages, winner, *scores])
 
 
 def _winner(max_iter: int) -> MultilayerPerceptronClassifier:
@@ -171,18 +191,19 @@ def fit_best_game_model(
     ready = cut_lineage(inputs.transform(played).select("game_id", "home_win", "features", "home_score", "away_score"))
     training, held = dealt_out(ready.filter(in_training("game_id"))), dealt_out(ready.filter(~in_training("game_id")))
     weights, best, worse, legs = None, None, 0, []
-    while len(legs) < most_legs and worse < patience:
-        fit = _winner(leg_iterations)
-        if weights is not None:
-            fit.setInitialWeights(weights)
-        model = fit.fit(training)
-        weights = model.weights
-        loss = model.transform(held).agg(_log_loss(vector_to_array("_chances")[1])).first()[0]
-        loss = float("inf") if loss is None else loss
-        better = best is None or loss < best[0]
-        worse = 0 if better else worse + 1
-        best = (loss, model) if better else best
-        legs.append(Leg(len(legs) + 1, leg_iterations * (len(legs) + 1), loss, better))
+    with _perceptron_fit(training) as fitted:
+        while len(legs) < most_legs and worse < patience:
+            fit = _winner(leg_iterations)
+            if weights is not None:
+                fit.setInitialWeights(weights)
+            model = fitted(fit)
+            weights = model.weights
+            loss = model.transform(held).agg(_log_loss(vector_to_array("_chances")[1])).first()[0]
+            loss = float("inf") if loss is None else loss
+            better = best is None or loss < best[0]
+            worse = 0 if better else worse + 1
+            best = (loss, model) if better else best
+            legs.append(Leg(len(legs) + 1, leg_iterations * (len(legs) + 1), loss, better))
     scores = [_score(side, trees).fit(training) for side in ("home", "away")]
     return PipelineModel(stages=[*inputs.stages, best[1], *scores]), legs
 
