@@ -692,15 +692,19 @@ def _game_matrix(i: Inputs) -> DataFrame:
 def _player_matrix(i: Inputs) -> DataFrame:
     targets = {f"target_{t}": F.coalesce(F.col(t), F.lit(0)).cast("double") for t in features.PLAYER_TARGETS}
     labelled = i.player_games.withColumns(targets)
-    return cut_lineage(features.player_features(labelled, ORDER, leak_free=True, probe=i.player_keys, carry=tuple(targets)))
+    rows = features.player_features(labelled, ORDER, leak_free=True, probe=i.player_keys, carry=tuple(targets))
+    # the nine key columns serve the split alone and would be a quarter of the stored bytes
+    key = ["person_id", *ORDER]
+    return cut_lineage(rows.withColumn(prediction.IN_TRAINING, prediction.in_training(*key)).drop(*key))
 
 
 @query
 def model_metrics(i: Inputs) -> DataFrame:
-    games, players, key = _game_matrix(i), _player_matrix(i), ["person_id", *ORDER]
-    return prediction.game_model_metrics(prediction.fit_game_model(games), games).unionByName(
-        prediction.player_model_metrics(prediction.fit_player_model(players, key), players, key)
-    )
+    games, key = _game_matrix(i), ["person_id", *ORDER]
+    # stored, so that what the games' fit keeps is given up before the players' rows come
+    measured_games = cut_lineage(prediction.game_model_metrics(prediction.fit_game_model(games), games))
+    players = _player_matrix(i)
+    return measured_games.unionByName(prediction.player_model_metrics(prediction.fit_player_model(players, key), players, key))
 
 
 @query

@@ -38,6 +38,14 @@ def in_training(*key: str, percent: int = TRAIN_PERCENT) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % 100 < percent
 
 
+IN_TRAINING = "in_training"
+
+
+def _split(features: DataFrame, key: list[str]) -> Column:
+    """The split as stored with the rows, which then need no key, or made from their key."""
+    return F.col(IN_TRAINING) if IN_TRAINING in features.columns else in_training(*key)
+
+
 def _inputs(columns: list[str]) -> list:
     """Scaled copies of the features, assembled to one vector. The originals stay untouched."""
     return [ColumnScaler(inputCols=columns), VectorAssembler(inputCols=columns, outputCol="features")]
@@ -157,7 +165,8 @@ def game_model_metrics(model: PipelineModel, features: DataFrame) -> DataFrame:
 def player_model_metrics(model: PipelineModel, features: DataFrame, key: list[str]) -> DataFrame:
     """Root mean square error of each statistic on the rows held out of training, beside that of the mean."""
     names = [f"target_{t}" for t in PLAYER_TARGETS]
-    train, held = features.filter(in_training(*key)), features.filter(~in_training(*key))
+    split = _split(features, key)
+    train, held = features.filter(split), features.filter(~split)
     scored = model.transform(_with_mean(train, held, names))
     measures = {t: ("rmse", _root_mean_square(f"target_{t}", f"_{t}"), _root_mean_square(f"target_{t}", f"_mean_target_{t}")) for t in PLAYER_TARGETS}
     return _metric(scored, "player", measures)
@@ -228,10 +237,10 @@ def fit_player_model(
 ) -> PipelineModel:
     """Linear regressions of all predicted statistics on 33 features, from one pass over the rows.
 
-    ``features`` carries the targets under the name ``target_<statistic>``. With ``regressor`` (``linear``,
+    ``features`` carries the targets under the name ``target_<statistic>``, and the key or the split of each row. With ``regressor`` (``linear``,
     ``boosted``) each statistic is fitted by itself, on a shared vector.
     """
-    training = features.filter(in_training(*key))
+    training = features.filter(_split(features, key))
     if regressor is None:
         targets, outputs = [f"target_{t}" for t in PLAYER_TARGETS], [f"_{t}" for t in PLAYER_TARGETS]
         together = LinearTargets(inputCols=PLAYER_FEATURES, targetCols=targets, outputCols=outputs, regParam=PENALTY)

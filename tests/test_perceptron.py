@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
 
-from courtlake.plans import features, perceptron, prediction
+from courtlake.plans import catalog, features, perceptron, prediction
 from courtlake.session import cut_lineage
 
 
@@ -88,3 +89,16 @@ def test_a_fit_without_a_step_down_ends():
     assert weights.tolist() == [1, 1] and len(values) == 1
     weights, values = perceptron.minimized(lambda w: (float(w @ w), 2 * w), np.array([3.0, 4.0]), 50, 1e-9)
     assert weights == pytest.approx([0, 0], abs=1e-6) and all(b < a for a, b in zip(values, values[1:], strict=False))
+
+
+def test_player_rows_are_stored_without_their_key(spark, folder):
+    """The split that the key gave is stored in its place, and model and errors are those of the rows with a key."""
+    i, key = catalog.Inputs(spark, folder), ["person_id", *catalog.ORDER]
+    stored = catalog._player_matrix(i)
+    assert not set(key) & set(stored.columns)
+    targets = {f"target_{t}": F.coalesce(F.col(t), F.lit(0)).cast("double") for t in features.PLAYER_TARGETS}
+    rows = features.player_features(i.player_games.withColumns(targets), catalog.ORDER, leak_free=True, carry=tuple(targets))
+    assert stored.filter(prediction.IN_TRAINING).count() == rows.filter(prediction.in_training(*key)).count() < stored.count() == rows.count()
+    errors = [prediction.player_model_metrics(prediction.fit_player_model(d, key), d, key).orderBy("target").collect() for d in (stored, cut_lineage(rows))]
+    assert [r["n"] for r in errors[0]] == [r["n"] for r in errors[1]]
+    assert [r["value"] for r in errors[0]] == pytest.approx([r["value"] for r in errors[1]])
